@@ -66,10 +66,12 @@ def drop_lines(
     """
     t = Tables(docs.sparkSession, "lines")
     doc, key = order_key(F.col("doc_id")), F.xxhash64("text")
-    lines = (
-        docs.where(F.col("text").isNotNull())
-        .select(doc.alias("doc"), key.alias("tie"), context(F.col("text")).alias("context"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc", "tie", "context", "pos", F.explode(template_keys(F.col("line"), depth, min_tokens)).alias("key"))
+    # What is of the document is computed in a row of its own, below the explosion into lines.
+    whole = docs.where(F.col("text").isNotNull()).select(
+        doc.alias("doc"), key.alias("tie"), context(F.col("text")).alias("context"), F.split("text", "\n").alias("lines")
+    )
+    lines = whole.select("doc", "tie", "context", F.posexplode("lines").alias("pos", "line")).select(
+        "doc", "tie", "context", "pos", F.explode(template_keys(F.col("line"), depth, min_tokens)).alias("key")
     )
     lines = t.keep(lines, "lines")
     recurring = (
