@@ -90,9 +90,7 @@ def id_cuts(df: DataFrame, key: Column, rows_each: int = 512, most: int = 4096)
     buckets = max(1, min(most, -(-n // rows_each)))
     if buckets == 1:
         return [low]
-    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets <= 64 else F.transform(
-        F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i / F.lit(float(buckets))
-    )
+    at = F.split(F.lit(",".join(f"{i / buckets:.9f}" for i in range(1, buckets))), ",").cast("array<double>")
     found = df.agg(F.percentile_approx(key, at, F.lit(max(10_000, 20 * buckets)))).first()[0]
     return sorted({low, *found})
 
