@@ -48,7 +48,7 @@ def database_error(message: str, connection: str) -> str:
     out = re.sub(r"(\bpostgres(?:ql)?://)([^/?#\s]*)@", lambda m: f"{m[1]}{WITHHELD}@", message)
     for secret in credentials(connection):
         out = re.sub(rf"(?i)\b(user(?:name)?|password)\b([ =:\"']{{1,4}}){re.escape(secret)}", lambda m: f"{m[1]}{m[2]}{WITHHELD}", out)
-        if len(secret) >= 4:
+        if len(secret) >= 3:
             out = out.replace(secret, WITHHELD)
     out = re.sub(r"(?i)(authentication failed for )(user )?[\"']?[^\s\"')]+[\"']?", lambda m: f"{m[1]}{m[2] or ''}{WITHHELD}", out)
     return re.sub(r"\((user|username|password)[=:] ?[^)\s]+\)", lambda m: f"({m[1]}={WITHHELD})", out)
