@@ -6,8 +6,8 @@ belongs to two templates, (count, leading tokens, first half) and (count, leadin
 `depth` tokens belong to one template, lines of fewer than `min_tokens` to none.
 
 A template recurs if it occurs in documents of at least `min_docs` different contexts and these are at least `spread` of
-its documents. The context of a document is its longest word beside its greatest word, which copies of a text share: groups
-of copies are left to the near-duplicate operator. Lines of recurring templates are dropped from every document but the one
+its documents. The context of a line is the longest word beside the greatest word of its document's other lines, which copies
+of a text share: groups of copies are left to the near-duplicate operator. Lines of recurring templates are dropped from every document but the one
 with the lowest doc_id, so no text disappears altogether.
 """
 
@@ -45,14 +45,32 @@ def template_keys(line: Column, depth: int = DEPTH, min_tokens: int = MIN_TOKENS
     return let(tokens(line), of)
 
 
-def context(text: Column) -> Column:
-    """The longest word (ties: the greatest) and the greatest word of a text, hashed."""
+def leaders(lines: Column) -> Column:
+    """struct(long, great): the two lines with the longest words and the two with the greatest words, best first, each with its number."""
 
-    def of(w: Column) -> Column:
-        longest = F.array_max(F.transform(w, lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("w"), x)))
-        return F.xxhash64(longest["w"], F.array_max(w))
+    def of(l: Column, i: Column) -> Column:
+        def best(w: Column) -> Column:
+            longest = F.array_max(F.transform(w, lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("w"), x)))
+            return F.named_struct(F.lit("n"), longest["n"], F.lit("w"), longest["w"], F.lit("g"), F.array_max(w), F.lit("i"), i)
 
-    return let(F.split(text, "[ \t\n]+"), of)
+        return let(F.split(l, "[ \t]+"), best)
+
+    def two(per: Column) -> Column:
+        long = F.transform(per, lambda p: F.named_struct(F.lit("n"), p["n"], F.lit("w"), p["w"], F.lit("i"), p["i"]))
+        great = F.transform(per, lambda p: F.named_struct(F.lit("w"), p["g"], F.lit("i"), p["i"]))
+        return F.named_struct(F.lit("long"), F.slice(F.sort_array(long, False), 1, 2), F.lit("great"), F.slice(F.sort_array(great, False), 1, 2))
+
+    return let(F.transform(lines, of), two)
+
+
+def context(lead: Column, pos: Column) -> Column:
+    """The longest word (ties: the greatest) and the greatest word of a document's other lines, hashed."""
+
+    def other(two: Column) -> Column:
+        first = F.get(two, F.lit(0))
+        return F.coalesce(F.when(first["i"] == pos, F.get(two, F.lit(1))["w"]).otherwise(first["w"]), F.lit(""))
+
+    return F.xxhash64(other(lead["long"]), other(lead["great"]))
 
 
 def drop_lines(
@@ -67,12 +85,10 @@ def drop_lines(
     t = Tables(docs.sparkSession, "lines")
     doc, key = order_key(F.col("doc_id")), F.xxhash64("text")
     # What is of the document is computed in a row of its own, below the explosion into lines.
-    whole = docs.where(F.col("text").isNotNull()).select(
-        doc.alias("doc"), key.alias("tie"), context(F.col("text")).alias("context"), F.split("text", "\n").alias("lines")
-    )
-    lines = whole.select("doc", "tie", "context", F.posexplode("lines").alias("pos", "line")).select(
-        "doc", "tie", "context", "pos", F.explode(template_keys(F.col("line"), depth, min_tokens)).alias("key")
-    )
+    whole = docs.where(F.col("text").isNotNull()).select(doc.alias("doc"), key.alias("tie"), F.split("text", "\n").alias("lines"))
+    whole = whole.select("doc", "tie", "lines", leaders(F.col("lines")).alias("lead"))
+    lines = whole.select("doc", "tie", "lead", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.select("doc", "tie", "pos", context(F.col("lead"), F.col("pos")).alias("context"), F.explode(template_keys(F.col("line"), depth, min_tokens)).alias("key"))
     lines = t.keep(lines, "lines")
     recurring = (
         lines.groupBy("key", "context", "doc", "tie").agg(F.lit(1).alias("one"))
@@ -109,10 +125,10 @@ def drop_lines(
 #: DuckDB SQL with the result of op7 over the view documents.
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
-w AS (SELECT row_id, doc_id, text, regexp_split_to_array(text, '[ \t\n]+') AS words FROM d WHERE text IS NOT NULL),
-c AS (SELECT row_id, doc_id, text, list_max(list_transform(words, lambda x: {{'n': length(x), 'w': x}})).w || ' ' || list_max(words) AS context FROM w),
-l AS (SELECT row_id, doc_id, context, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM c),
-t AS (SELECT row_id, doc_id, context, pos, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[ \t]+'), lambda x: x <> '') AS toks FROM l),
+l AS (SELECT row_id, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
+w AS (SELECT row_id, pos, list_max(list_transform(regexp_split_to_array(line, '[ \t]+'), lambda x: {{'n': length(x), 'w': x}})) AS long, list_max(regexp_split_to_array(line, '[ \t]+')) AS great FROM l),
+c AS (SELECT a.row_id, a.pos, coalesce(max(b.long).w, '') || ' ' || coalesce(max(b.great), '') AS context FROM w a LEFT JOIN w b ON a.row_id = b.row_id AND a.pos <> b.pos GROUP BY a.row_id, a.pos),
+t AS (SELECT row_id, doc_id, context, pos, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[ \t]+'), lambda x: x <> '') AS toks FROM l JOIN c USING (row_id, pos)),
 h AS (SELECT *, len(toks) AS n, {DEPTH} + ceil((len(toks) - {DEPTH}) / 2.0)::INT AS half FROM t),
 k AS (
   SELECT row_id, doc_id, context, pos, {{'kind': 0, 'n': n, 'a': toks, 'b': []}} AS key FROM h WHERE n >= {MIN_TOKENS} AND n <= {DEPTH}
