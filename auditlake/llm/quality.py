@@ -168,4 +168,4 @@ def score(docs: DataFrame, model, *keys: str) -> DataFrame:
                     out.append(float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0)))))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, len(texts)) for c in keys], pa.array(out, pa.float64())], names=[*keys, "score"])
 
-    return docs.select(*keys, "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(run, schema)
