@@ -479,3 +479,90 @@ def j10_reverse_edges(spark, d) -> DataFrame:
     name = lambda c: F.concat(F.lit("pkg"), c.cast("string"))
     rows = table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("id"), F.array(F.lit("node")).alias("ecosystems"), name(F.when(k == 24, 23).otherwise(k)).alias("package_name"), F.array(name((k + 5) % 25), name((k * 3) % 25)).alias("dependency_names"))
     return scope.reverse_edges(rows)[0].select("dependency", "consumer", "name")
+
+
+# More joins, windows and scalars.
+
+
+@query("""WITH p AS (SELECT 'a' || c_custkey % 40 || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '/b' || c_custkey % 7 END AS root, c_custkey FROM customer UNION ALL SELECT '.', 0),
+r AS (SELECT root, max(CASE WHEN c_custkey % 11 = 0 THEN 'pnpm' WHEN c_custkey % 13 = 0 THEN 'yarn' END) AS own FROM p GROUP BY root)
+SELECT root, coalesce(own, (SELECT o.own FROM r o WHERE o.own IS NOT NULL AND o.root <> r.root AND (o.root = '.' OR starts_with(r.root, o.root || '/')) ORDER BY len(string_split(o.root, '/')) DESC, o.root LIMIT 1)) AS manager FROM r""")
+def j18_effective_manager(spark, d) -> DataFrame:
+    """A project's own package manager, else that of its nearest ancestor which has one."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(F.concat(F.lit("a"), (k % 40).cast("string"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("/b"), (k % 7).cast("string")))).alias("root"), k)
+    rows = rows.unionByName(spark.createDataFrame([(".", 0)], "root string, c_custkey bigint"))
+    own = rows.groupBy("root").agg(F.max(F.when(k % 11 == 0, "pnpm").when(k % 13 == 0, "yarn")).alias("package_manager"))
+    none = spark.createDataFrame([], "path string, kind string, size bigint")
+    return ownership.effective_manager(own, none).select("root", "manager")
+
+
+@query(f"""SELECT t AS threshold, coalesce((SELECT max(rank) FROM {sql_findings('now')} WHERE rule_id <> 'rule/3') >= r, FALSE) AND t <> 'none' AS reached FROM (VALUES ('info', 0), ('low', 1), ('medium', 2), ('high', 3), ('critical', 4), ('none', 9)) v(t, r)""")
+def f27_threshold(spark, d) -> DataFrame:
+    """Whether findings reach each threshold."""
+    rows = v_findings(spark, d, "now").where("rule_id <> 'rule/3'")
+    out = None
+    for t in (*core.SEVERITIES, "none"):
+        one = findings.reaches(rows, t).select(F.lit(t).alias("threshold"), "reached")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH c AS (SELECT 'm' || p_size AS module_id, p_brand || p_partkey AS scope, ['completed', 'failed', 'partial', 'skipped'][p_partkey % 4 + 1] AS status, p_partkey % 4 AS k FROM part),
+o AS (SELECT *, row_number() OVER (ORDER BY CASE k WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 3 END, module_id, scope) AS r, count(*) OVER () AS total FROM c)
+SELECT module_id, scope, status, total, least(total, 150) AS emitted, greatest(total - 150, 0) AS omitted FROM o WHERE r <= 150""")
+def w4_bounded_coverage(spark, d) -> DataFrame:
+    """The first 150 coverage rows, the grave ones first, with exact counts of all."""
+    status = F.get(F.array(*map(F.lit, ("completed", "failed", "partial", "skipped"))), (F.col("p_partkey") % 4).cast("int"))
+    rows = table(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("module_id"), F.concat("p_brand", F.col("p_partkey").cast("string")).alias("scope"), status.alias("status"))
+    return findings.bounded_coverage(rows, 150)
+
+
+@query("""WITH e AS (SELECT 'f' || l_orderkey % 50 AS importer_path, 'f' || l_partkey % 50 AS target_path, CASE WHEN l_linenumber % 2 = 0 THEN 'static' ELSE 'require' END AS kind, l_suppkey % 2 = 0 AS target_exists, l_linenumber AS line, l_quantity::INT AS col, l_orderkey * 100 + l_linenumber AS ordinal FROM lineitem)
+SELECT importer_path, target_path, kind, target_exists, min({'o': ordinal, 'l': line, 'c': col}).l AS line FROM e GROUP BY importer_path, target_path, kind, target_exists""")
+def w8_first_edges(spark, d) -> DataFrame:
+    """The first edge of each importer, target, kind and existence."""
+    name = lambda c: F.concat(F.lit("f"), (F.col(c) % 50).cast("string"))
+    n = F.col("l_linenumber")
+    rows = table(spark, d, "lineitem").select(name("l_orderkey").alias("importer_path"), name("l_partkey").alias("target_path"), F.when(n % 2 == 0, "static").otherwise("require").alias("kind"), (F.col("l_suppkey") % 2 == 0).alias("target_exists"),
+                                              n.cast("int").alias("line"), F.col("l_quantity").cast("int").alias("col"), (F.col("l_orderkey") * 100 + n).alias("ordinal"))
+    return closures.first_edges(rows, 2**31 - 1).select("importer_path", "target_path", "kind", "target_exists", F.col("line").cast("int").alias("line"))
+
+
+@query("""WITH p AS (SELECT 'pkg/' || s_suppkey % 60 || '/package.json' AS path FROM supplier), v AS (SELECT doc_id, 'x' || repeat('/node_modules/@s/p' || doc_id % 5, 1 + (doc_id % 3)::INT) || CASE WHEN doc_id % 4 = 0 THEN '/node_modules/q' || doc_id % 9 ELSE '' END AS path, CASE doc_id % 5 WHEN 0 THEN 'sha512-ab+/=' WHEN 1 THEN 'md5-x' WHEN 2 THEN NULL WHEN 3 THEN 'sha1-a sha256-b==' ELSE '' END AS integrity FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'q' || doc_id % 9 ELSE '@s/p' || doc_id % 5 END AS package_name, CASE WHEN integrity IS NULL THEN 'missing' WHEN doc_id % 5 IN (0, 3) THEN 'valid' ELSE 'invalid' END AS integrity FROM v""")
+def x27_lock_entries(spark, d) -> DataFrame:
+    """Package names of lockfile paths, and the state of their integrity."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("x"), F.repeat(F.concat(F.lit("/node_modules/@s/p"), (i % 5).cast("string")), (1 + i % 3).cast("int")), F.when(i % 4 == 0, F.concat(F.lit("/node_modules/q"), (i % 9).cast("string"))).otherwise(""))
+    value = F.when(i % 5 == 0, "sha512-ab+/=").when(i % 5 == 1, "md5-x").when(i % 5 == 3, "sha1-a sha256-b==").when(i % 5 == 4, "")
+    rows = table(spark, d, "documents").select("doc_id", path.alias("path"), value.alias("v"))
+    return rows.select("doc_id", packages.name_from_path(F.col("path")).alias("package_name"), packages.integrity_status(F.col("path"), F.lit(False), F.lit("secure-https"), F.lit(True), F.col("v").isNotNull(), F.col("v")).alias("integrity"))
+
+
+@query("""WITH c AS (SELECT r_name || CASE WHEN n_nationkey % 4 = 0 THEN '/package.json' ELSE '/' || n_name || '.ts' END AS path, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (0, 3, 8, 9)),
+own AS (SELECT 'project:' || r_name AS project_id, 'direct-change' AS reason, path AS source FROM c JOIN region ON starts_with(path, r_name || '/')),
+stale AS (SELECT 'project:' || r_name, 'workspace-dependent', path FROM region, c WHERE path LIKE '%/package.json' AND 'project:' || r_name NOT IN (SELECT project_id FROM own)) SELECT * FROM own UNION SELECT * FROM stale""")
+def g4_changed_scope(spark, d) -> DataFrame:
+    """Projects that changes reach, with every reason."""
+    place = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where(F.col("n_nationkey").isin(0, 3, 8, 9))
+    path = F.concat("r_name", F.when(F.col("n_nationkey") % 4 == 0, "/package.json").otherwise(F.concat(F.lit("/"), "n_name", F.lit(".ts"))))
+    changes = place.select(path.alias("path"), F.lit("modified").alias("status"), F.lit(None).cast("string").alias("previous_path"))
+    regions = table(spark, d, "region").select(P.project_id(F.col("r_name")).alias("id"), F.col("r_name").alias("root"), F.array(F.lit("node")).alias("ecosystems"), F.lower("r_name").alias("package_name"), F.array().cast("array<string>").alias("dependency_names"))
+    return scope.changed_scope(changes, regions)[0]
+
+
+@query("""WITH o AS (SELECT o_orderkey % 300 AS grp, 'n' || o_custkey AS name, o_orderkey AS a, o_orderkey + 1 + o_custkey % 40 AS b, o_custkey % 3 AS p FROM orders WHERE o_orderkey % 7 = 0) SELECT grp, count(*) AS n, count(DISTINCT p) AS kinds FROM o GROUP BY grp""")
+def a9_grouped_privileges(spark, d) -> DataFrame:
+    """Grants of each table with the number of distinct kinds."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").where(o % 7 == 0).groupBy((o % 300).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(c % 3).alias("kinds"))
+
+
+@query(f"""WITH {FILES}, t AS (SELECT doc_id, path, 'a/' || CASE WHEN doc_id % 5 = 0 THEN 'dist/x.ts' WHEN doc_id % 5 = 1 THEN 'fixtures/' || doc_id || '.ts' WHEN doc_id % 5 = 2 THEN 'distant/y.ts' ELSE 'out/deep/z.ts' END AS target FROM files)
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'declared-publication-output' WHEN doc_id % 5 = 0 OR doc_id % 5 > 2 THEN 'literal-ignored-output' WHEN doc_id % 5 = 1 THEN 'fixture-controlled' ELSE 'provable' END AS disposition FROM t""")
+def x60_missing_target_disposition(spark, d) -> DataFrame:
+    """Why a relative target may be missing: publication, ignore rules, fixtures; else it is provably missing."""
+    i = F.col("doc_id")
+    target = F.concat(F.lit("a/"), F.when(i % 5 == 0, "dist/x.ts").when(i % 5 == 1, F.concat(F.lit("fixtures/"), i.cast("string"), F.lit(".ts"))).when(i % 5 == 2, "distant/y.ts").otherwise("out/deep/z.ts"))
+    return v_files(spark, d).select("doc_id", resolution.disposition(i % 7 == 0, target, F.col("path"), F.array(F.lit("a/dist"), F.lit("a/out/deep"))).alias("disposition"))
