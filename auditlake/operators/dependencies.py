@@ -11,6 +11,7 @@ from auditlake.functions.core import evidence, findings
 
 MATCH = ["family", "path", "package_name", "section", "source_class", "severity", "confidence"]
 DOCTOR = "security/dependencies"
+PER_ROOT, TOTAL = 100, 1_000
 # Severity of each rule, and its wording here.
 RULES = {
     "missing-lockfile": ("medium", "A project with external dependencies has no npm lockfile"),

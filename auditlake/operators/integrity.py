@@ -10,6 +10,7 @@ from auditlake.functions.core import evidence, findings, json_list
 from auditlake.functions.imports import source_imports
 from auditlake.operators.closures import first_edges
 from auditlake.operators.findings import running_budget
+from auditlake.operators.lineage import cut
 from auditlake.operators.ownership import owned
 from auditlake.operators.resolution import resolve
 
@@ -33,7 +34,7 @@ def build_graph(files: DataFrame, contents: DataFrame, projects: DataFrame, mani
     read = chosen.join(contents, "path").select("path", source_imports("content").alias("s"))
     nodes = owned(chosen.select("path"), projects)
     found = read.select("path", F.explode("s.imports").alias("i")).select("path", "i.*")
-    resolved = resolve(found, files, projects, manifests, configs, ignored)
+    resolved = cut(resolve(cut(found), files, projects, manifests, configs, ignored))
     edges = first_edges(resolved.where("outcome = 'internal'"), EDGES).select("importer_path", "target_path", "kind", "target_exists", "missing_target_proof", "line", "col")
     boundaries = resolved.agg(F.count_if(F.col("outcome") == "external").alias("external")).join(read.agg(F.coalesce(F.sum("s.dynamic"), F.lit(0)).alias("dynamic")))
     broken = read.where("not s.parsed").select(F.concat("path", F.lit(": source syntax could not be parsed.")).alias("value"))

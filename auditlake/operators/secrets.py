@@ -15,6 +15,7 @@ from auditlake.functions.core import evidence, findings
 from auditlake.functions.lazy import lazy_udf
 from auditlake.functions.secrets import PEM_LABELS, secret_candidates, without_overlaps
 from auditlake.operators.findings import capped, running_budget
+from auditlake.operators.lineage import cut
 
 DOCTOR = "security/secrets"
 FILE_BYTES, TOTAL_BYTES, PER_FILE, TOTAL = 1_000_000, 100_000_000, 100, 1_000
@@ -47,7 +48,7 @@ def audit(files: DataFrame, contents: DataFrame, certificates: DataFrame | None
     """(findings within the caps; coverage limitations (value)). Sizes beyond the budgets are left out and said so."""
     sized = running_budget(files, FILE_BYTES, TOTAL_BYTES)
     text = sized.where("within").select("path").join(contents, "path")
-    found = matches(text)
+    found = cut(matches(text))
     notes = sized.where("oversize").select(F.concat("path", F.lit(f": file exceeds the {FILE_BYTES}-byte limit.")).alias("value"))
     notes = notes.unionByName(sized.where("not oversize and not within").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(f"Secret scanning stopped at the {TOTAL_BYTES}-byte total limit.").alias("value")))
     if certificates is not None:

@@ -14,6 +14,7 @@ from auditlake import schemas as S
 from auditlake.functions import paths as P
 from auditlake.functions.redaction import connection_string, database_error
 from auditlake.operators import closures, coverage, dependencies, findings, integrity, ownership, projects, rls, secrets, sqlrls
+from auditlake.operators.lineage import cut
 from auditlake.plans.scope import changed_scope
 from auditlake.sources import catalog as catalogs
 from auditlake.sources import configs, files, git, locks, migrations
@@ -125,14 +126,16 @@ def secrets_module(s: Snapshot) -> Outcome:
 
 
 def dependencies_module(s: Snapshot) -> Outcome:
-    managed = ownership.governing_root(ownership.effective_manager(s["projects"], s["files"]), s["workspaces"])
+    # Each of these feeds several rules, so it is made once.
+    managed = cut(ownership.governing_root(ownership.effective_manager(s["projects"], s["files"]), s["workspaces"]))
     targets, members, odd, free, notes = dependencies.select_targets(managed, s["files"], s["manifests"], s["workspaces"], s.get("affected"))
-    targets = targets.cache()
+    targets, members = cut(targets), cut(members)
     texts = targets.where("lockfile is not null").join(s["contents"], F.col("lockfile") == F.col("path")).select("lock_root", "content")
-    states, entries = locks.parse(texts)
+    states, entries = locks.parse(cut(texts))
     sections, bad = dependencies.manifest_sections(s["manifests"])
+    entries, sections = cut(entries), cut(sections)
     internal = s["projects"].where("package_name is not null").select(F.col("package_name").alias("name"), "root")
-    found = dependencies.matches(targets, members, sections, entries, internal)
+    found = findings.capped(dependencies.matches(targets, members, sections, entries, internal), ["path"], dependencies.match_order(), dependencies.PER_ROOT, dependencies.TOTAL)
     said = states.join(targets, "lock_root").select(F.explode("limitations").alias("l"), "lockfile").select(F.concat("lockfile", F.lit(": "), "l").alias("value"))
     unsupported = odd.select(F.concat("root", F.lit(": "), "ecosystem", F.lit(" dependency metadata is not supported.")).alias("value"))
     return Outcome(dependencies.dependency_findings(found), covered(s.spark, dependencies.DOCTOR, "repository", targets.count(), notes.unionByName(bad).unionByName(said).unionByName(unsupported)))
@@ -147,12 +150,13 @@ def sql_module(s: Snapshot) -> Outcome:
         streams = streams.join(keep, "stream_id", "left_semi")
         notes = gone.select(F.concat("stream_id", F.lit(": historical migration content is unavailable.")).alias("value"))
     ops, troubles = sqlrls.operations(streams, s["contents"])
+    ops = cut(ops)
     state = sqlrls.stream_coverage(ops, troubles)
     rows = state.select(F.lit(sqlrls.DOCTOR).alias("module_id"), "status", F.col("stream_id").alias("scope"), F.lit(None).cast("bigint").alias("files_examined"), "statements_examined", "statements_recognized", "limitations")
     if notes is not None:
         rows = rows.unionByName(notes.select(F.lit(sqlrls.DOCTOR).alias("module_id"), F.lit("partial").alias("status"), F.lit("history").alias("scope"), *[F.lit(None).cast("bigint").alias(c) for c in ("files_examined", "statements_examined", "statements_recognized")], F.array("value").alias("limitations")))
     empty = covered(s.spark, sqlrls.DOCTOR, "repository", 0, None).join(rows.agg((F.count(F.lit(1)) == 0).alias("e"))).where("e").drop("e")
-    return Outcome(sqlrls.static_findings(sqlrls.replay(ops)), rows.unionByName(empty))
+    return Outcome(sqlrls.static_findings(cut(sqlrls.replay(ops))), rows.unionByName(empty))
 
 
 def catalog_module(load: Callable[[Snapshot], Mapping[str, DataFrame]]) -> Function:
@@ -237,8 +241,8 @@ def run_modules(snapshot: Snapshot, modules: list[Module], allowed: frozenset[st
         try:
             out = m.run(snapshot)
             # An action here, so that what fails does so within its module.
-            f = None if out.findings is None else spark.createDataFrame(out.findings.collect(), S.FINDINGS)
-            c = None if out.coverage is None else spark.createDataFrame(out.coverage.collect(), S.COVERAGE)
+            f = None if out.findings is None else cut(out.findings)
+            c = None if out.coverage is None else cut(out.coverage)
         except Exception as e:  # noqa: BLE001
             runs.append((m.id, "failed", int(1000 * (time.monotonic() - began)), str(e).splitlines()[0][:500], None))
             continue
