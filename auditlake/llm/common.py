@@ -39,9 +39,10 @@ def driver_state() -> types.ModuleType:
 
 
 def worker_cache(key, make):
-    """make() once per Python worker process and key."""
+    """make() once per Python worker process and key. A worker holds one operator's cache at a time: executors keep workers between stages."""
     cache = driver_state().__dict__.setdefault("cache", {})
     if key not in cache:
+        cache.clear()
         cache[key] = make()
     return cache[key]
 

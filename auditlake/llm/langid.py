@@ -246,5 +246,6 @@ def identify(docs: DataFrame, model: tuple[str, list[str], np.ndarray], *keys: s
                     [*[batch.column(c).slice(first, len(texts)) for c in keys], pa.array(best, pa.string()), pa.array(sure, pa.float64())], names=[*keys, "lang_pred", "score"]
                 )
 
-    return docs.select(*dict.fromkeys([*keys, "text"])).mapInArrow(run, schema)
+    text = ["text"] if "text" in docs.columns else []  # else the one key column is a struct of whole rows
+    return docs.select(*dict.fromkeys([*keys, *text])).mapInArrow(run, schema)
 

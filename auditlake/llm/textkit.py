@@ -67,9 +67,12 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
 
 
 def slices(batch, column: str = "text", chars: int = 1_000_000):
-    """(first row, texts) of an Arrow batch, a bounded number of characters at a time; null texts are empty."""
+    """(first row, texts) of an Arrow batch, a bounded number of characters at a time; null texts are empty.
+
+    A batch of whole rows (one struct column) has its text inside.
+    """
     texts, start, size = [], 0, 0
-    for i, t in enumerate(batch.column(column)):
+    for i, t in enumerate(batch.column(column) if column in batch.schema.names else batch.column(0).field(column)):
         texts.append(t.as_py() or "")
         size += len(texts[-1])
         if size >= chars:

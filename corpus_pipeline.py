@@ -17,7 +17,7 @@ from auditlake.llm.common import Tables, documents, order_key
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: no letter, or no language with a posterior of one half."""
     model = langid.fit(docs.where(langid.learning_rows(docs)))
-    found = langid.identify(docs.select(F.struct("*").alias("row"), "text"), model, "row")
+    found = langid.identify(docs.select(F.struct("*").alias("row")), model, "row")
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("row.*")
 
 
