@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import Tables, let, order_key
 
-DEPTH, MIN_TOKENS, MIN_DOCS, SPREAD = 6, 4, 5, 0.4
+DEPTH, MIN_TOKENS, MIN_DOCS, SPREAD = 6, 4, 3, 0.4
 
 
 def tokens(line: Column) -> Column:
