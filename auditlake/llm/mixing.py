@@ -94,11 +94,11 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]]) ->
     return scored.select("doc", "tie", F.col("r.n").alias("n_tokens"), soft(F.col("r.s")).alias("p"))
 
 
-def fit_rates(table: DataFrame, targets: list[float], grid: int = GRID, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE, stretch: float = 1.0):
+def fit_rates(table: DataFrame, targets: list[float], grid: int = GRID, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE, stretch: float = 1.0, anchor: int | None = None):
     """(cells with cell and rate, report) for a table of posteriors.
 
     targets: wanted shares of the domains in the mixture. Its size is the largest that needs no domain more often than it
-    is there, times stretch. Without any token every rate is 1.
+    is there, or that uses the anchor domain once, whatever the others have; times stretch. Without any token every rate is 1.
     """
     spark, k = table.sparkSession, len(targets)
     cells = table.withColumn("cell", F.transform("p", lambda x: F.round(x * grid).cast("int"))).groupBy("cell").agg(
@@ -109,7 +109,7 @@ def fit_rates(table: DataFrame, targets: list[float], grid: int = GRID, ridge: f
     have = [sum(r[2 + i] for r in rows) for i in range(k)]
     if not total:
         return small_frame(spark, [(r[0], 1.0) for r in rows], "cell array<int>, rate double"), {"have": have, "want": have, "got": have}
-    size = stretch * min(have[i] / targets[i] for i in range(k) if targets[i] > 0)
+    size = stretch * min(have[i] / targets[i] for i in range(k) if targets[i] > 0 and anchor in (None, i))
     tau = [size * t / total for t in targets]
     # The mean posterior of a cell stands for its documents.
     frame = small_frame(
@@ -161,7 +161,7 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, stretch: float = 1.0, **fit) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, stretch: float = 1.0, anchor: str | None = None, **fit) -> DataFrame:
     """doc, tie, n_tokens, p, rate for each row of docs.
 
     Null texts and texts without words have 0 tokens and the prior as posterior; rows with equal ids and texts get equal
@@ -172,7 +172,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     model = train(docs, labelled, names)
     table = t.keep(posteriors(docs, model), "posteriors")
     grid = fit.get("grid", GRID)
-    cells, _ = fit_rates(table, [targets[n] for n in names], stretch=stretch, **fit)
+    cells, _ = fit_rates(table, [targets[n] for n in names], stretch=stretch, anchor=None if anchor is None else names.index(anchor), **fit)
     # At most as many rows as the grid of posteriors has cells.
     return (
         table.withColumn("cell", F.transform("p", lambda x: F.round(x * grid).cast("int")))

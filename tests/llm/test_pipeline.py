@@ -36,3 +36,10 @@ def test_stages(spark, real, odd, none):
 def test_run_keeps_clean_documents(spark):
     out = cp.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.select("doc_id").distinct().count() > 150
+
+
+def test_mixing_keeps_good_documents(spark, real):
+    """Also where another domain is scarce."""
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    kept = cp.mix_sources(spark, real, SF).select("doc_id").distinct()
+    assert good.join(kept, "doc_id", "left_anti").count() == 0
