@@ -8,9 +8,10 @@
 3. Each text gets BANDS x ROWS consistent weighted samples. Two texts agree in a sample with the probability of their
    weighted Jaccard similarity. Texts that agree in all rows of a band meet in a bucket.
 4. Equal texts are one member of a bucket. Members are compared with the bucket's hub, the one that meets most others in all
-   its buckets (the original of a group of copies). A member that is not similar to it meets the rest of the bucket again in
-   finer groups, which also agree in one more band, then in two more, each with a new hub, four rounds in
-   all; groups in which nobody is open end earlier. The work is proportional to bucket memberships: no bucket is expanded into pairs, and none is cut off.
+   its buckets (the original of a group of copies), and what is similar is contracted to classes. Members of buckets that still
+   hold several classes are compared by an exact prefix join: shingles are ordered from rare to frequent, and two texts of
+   similarity s share a shingle within the leading 1 - s of their weight, a passage that a crowd shares coming last. Every pair
+   that shares a bucket is so compared, of one class already, or proven unlike; no bucket is cut off.
 5. Compared pairs are verified by their exact weighted Jaccard similarity. Links are contracted to connected classes by
    alternating large-star and small-star steps; every step is a written table.
 """
@@ -24,6 +25,7 @@ import zlib
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import LONG_MIN, Tables, order_key, worker_cache
@@ -31,10 +33,10 @@ from auditlake.llm.textkit import GOLD, MIX1, U, mix, odd_constants, shingles, s
 
 WIDTH, SIMILAR, BANDS, ROWS, IDF, COUNTERS, BLOCKS = 5, 0.8, 12, 4, 0.25, 1 << 20, 64
 LEVELS = 16
-#: Rounds at whose start groups are refined by one more band.
-REFINED = (1, 3)
 #: Bands whose buckets are worked on at a time: a group of copies brings that many rows a copy into a join.
 STRIDE = 6
+#: Slack of bounds on sums of weights.
+SLACK = 1e-6
 SHINGLE_SCHEMA = "doc bigint, shingles binary, weights binary"
 
 
@@ -275,7 +277,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     text = F.coalesce("text", F.lit(""))
     own = docs.select(order_key(F.col("doc_id")).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
     n = own.count()
-    levels = idf_levels(document_frequencies(own), n, idf)
+    counters = document_frequencies(own)
+    levels = idf_levels(counters, n, idf)
     sketch = t.keep(sketches(own, levels, bands, rows), "sketch")
     # One member for each text: the lowest id. Ids may repeat, so members are named by a hash of the text.
     texts = t.keep(
@@ -297,16 +300,27 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     store = t.keep(_store(own, wanted, levels), "store")
     for k, rank in enumerate(ranks):
         met = spark.read.schema("key bigint, band int, member bigint, n bigint").parquet(t.path(f"met{k}"))
-        links += _linked(t, k, met.join(rank, "member").select("key", "band", "member", "rank", F.lit(True).alias("open")), texts, store, similar)
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    edges = t.keep(edges.distinct(), "edges")
-    found = t.keep(classes_of(spark, edges.select(F.col("doc").alias("a"), F.col("hub").alias("b")), t), "classes")
+        links.append(_hub_links(t, k, met.join(rank, "member").select("key", "member", "rank"), store, similar))
+    near = t.keep(_union(links).distinct(), "near")
+    hubs = t.keep(classes_of(spark, near.select(F.col("doc").alias("a"), F.col("hub").alias("b")), t), "hubclasses")
+    mixed = []
+    for k in range(len(parts)):
+        met = spark.read.schema("key bigint, band int, member bigint, n bigint").parquet(t.path(f"met{k}"))
+        both = met.join(hubs.withColumnRenamed("node", "member"), "member", "left").select("key", "member", F.coalesce("class", "member").alias("class"))
+        of = W.partitionBy("key")
+        both = both.withColumns({"_a": F.min("class").over(of), "_b": F.max("class").over(of)}).where("_a < _b")
+        mixed.append(t.keep(both.select("member", "class").distinct(), f"mixed{k}"))
+    rest = _prefix_links(t, t.keep(_union(mixed).distinct(), "mixed"), store, frequency_levels(counters, n), similar)
+    edges = t.keep(near.unionByName(rest).distinct(), "edges")
+    # Classes of classes: the links of the prefix join, between the classes of the hubs.
+    start, end = (hubs.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class")) for c in ("doc", "hub"))
+    between = rest.join(start, "doc", "left").join(end, "hub", "left").select(F.coalesce("doc_class", "doc").alias("a"), F.coalesce("hub_class", "hub").alias("b"))
+    joint = t.keep(classes_of(spark, between, Tables(spark, "neardup")), "joint").select(F.col("node").alias("class"), F.col("class").alias("_joint"))
     ends = edges.select(F.col("doc").alias("member")).unionByName(edges.select(F.col("hub").alias("member")))
     degree = ends.groupBy("member").agg(F.count(F.lit(1)).alias("n_links"))
-    named = texts.select("t1", "t2", "first", "member").join(found.withColumnRenamed("node", "member"), "member", "left").join(degree, "member", "left")
-    named = named.select("t1", "t2", "first", F.coalesce("class", "member").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    named = texts.select("t1", "t2", "first", "member").join(hubs.withColumnRenamed("node", "member"), "member", "left").join(degree, "member", "left")
+    named = named.withColumn("class", F.coalesce("class", "member")).join(joint, "class", "left")
+    named = named.select("t1", "t2", "first", F.coalesce("_joint", "class").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     named = t.keep(named, "named")
     least = named.groupBy("class").agg(F.min("first").alias("class_id"))
     final = t.keep(named.join(t.keep(least, "least"), "class").select("t1", "t2", "class_id", "n_links"), "final")
@@ -316,31 +330,67 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     )
 
 
-def _linked(t: Tables, part: int, groups: DataFrame, texts: DataFrame, store: DataFrame, similar: float) -> list[DataFrame]:
-    """Verified links (doc, hub) of members that share groups (key, band, member, rank, open), round by round."""
-    groups, links, step = t.keep(groups, f"groups{part}-0"), [], 0
-    while True:
-        at = f"{part}-{step}"
-        best = t.keep(groups.groupBy("key").agg(F.max_by("member", F.struct("rank", "member")).alias("hub")), f"hubs{at}")
-        pairs = groups.where("open").join(best, "key").where("member <> hub").select(F.greatest("member", "hub").alias("doc"), F.least("member", "hub").alias("hub")).distinct()
-        sims = t.keep(verified(pairs, store), f"sims{at}")
-        good = t.keep(sims.where(F.col("sim") >= similar).select("doc", "hub"), f"links{at}")
-        links.append(good)
-        # The hub has met all of its group and leaves it. Members similar to it are settled, but stay as hubs for the others.
-        ends = good.select(F.col("doc").alias("member"), "hub").unionByName(good.select(F.col("hub").alias("member"), F.col("doc").alias("hub"))).withColumn("_s", F.lit(True))
-        left = groups.join(best, "key").where("member <> hub").join(ends, ["member", "hub"], "left").select("key", "band", "member", "rank", (F.col("open") & F.col("_s").isNull()).alias("open"))
-        left = t.keep(left, f"left{at}")
-        step += 1
-        if step in REFINED:
-            # Whoever is still open looks for others that agree in one more band.
-            some = left.join(t.keep(left.groupBy("key").agg(F.bool_or("open").alias("_o")).where("_o").select("key"), f"open{at}"), "key")
-            more = some.join(texts.select("member", "bands"), "member").select("key", "band", "member", "rank", "open", F.posexplode("bands").alias("_b", "_v")).where("_b > band")
-            left = more.select(F.xxhash64("key", "_b", "_v").alias("key"), F.col("_b").alias("band"), "member", "rank", "open")
-        live = left.groupBy("key").agg(F.bool_or("open").alias("_o"), F.count(F.lit(1)).alias("_n")).where("_o and _n > 1").select("key")
-        before, groups = f"groups{at}", t.keep(left.join(t.keep(live, f"live{at}"), "key"), f"groups{part}-{step}")
-        t.drop(before, f"left{at}", f"sims{at}")
-        if step > max(REFINED) or groups.isEmpty():
-            return links
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _hub_links(t: Tables, part: int, groups: DataFrame, store: DataFrame, similar: float) -> DataFrame:
+    """Verified links (doc, hub) of members with the hubs of their groups (key, member, rank)."""
+    best = F.max(F.struct("rank", "member")).over(W.partitionBy("key"))["member"]
+    pairs = groups.select("member", best.alias("hub")).where("member <> hub").select(F.greatest("member", "hub").alias("doc"), F.least("member", "hub").alias("hub")).distinct()
+    return t.keep(verified(pairs, store).where(F.col("sim") >= similar).select("doc", "hub"), f"links{part}")
+
+
+def frequency_levels(counters: np.ndarray, n: int) -> np.ndarray:
+    """Document frequencies on a logarithmic grid, by which shingles are ordered from rare to frequent."""
+    load = max(0.0, (counters.sum() - counters.max(initial=0)) / len(counters))
+    return np.minimum(np.round(6 * np.log2(np.clip(counters - load, 1, max(1, n)))), 255).astype(np.uint8)
+
+
+def prefix(s: np.ndarray, weights: np.ndarray, order: np.ndarray, similar: float):
+    """(total weight, leading shingles, the weight from each on): those with at least `similar` of the weight from there on.
+
+    Two texts' common weight lies at and after their first common shingle, and is at least `similar` of either's weight.
+    """
+    w = _WEIGHT[weights]
+    by = np.lexsort((s, order[s >> np.uint32(32 - COUNTERS.bit_length() + 1)]))
+    rest = np.cumsum(w[by][::-1])[::-1]
+    n = int((rest >= similar * rest[0] - SLACK).sum())
+    return float(rest[0]), s[by[:n]].astype(np.int64), rest[:n]
+
+
+def _prefix_links(t: Tables, members: DataFrame, store: DataFrame, order: np.ndarray, similar: float) -> DataFrame:
+    """Verified links (doc, hub) between members (member, class) of different classes: all pairs that are similar."""
+    levels = members.sparkSession.sparkContext.broadcast(order)  # COUNTERS bytes
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, classes = batch.column("doc").to_numpy(), batch.column("class").to_numpy()
+            found = [prefix(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), np.uint8), levels.value, similar) for a, b in zip(batch.column("shingles"), batch.column("weights"))]
+            n = [len(s) for _, s, _ in found]
+            if found:
+                cols = [np.concatenate([s for _, s, _ in found]), np.repeat(ids, n), np.repeat(classes, n), np.repeat([x for x, _, _ in found], n), np.concatenate([r for _, _, r in found])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["shingle", "member", "class", "total", "rest"])
+
+    texts = store.join(members.withColumnRenamed("member", "doc"), "doc").select("doc", "class", "shingles", "weights")
+    rows = t.keep(texts.mapInArrow(run, "shingle bigint, member bigint, class bigint, total double, rest double"), "prefixes")
+    # Shingles of one class need no comparison; of the others, all but the largest class meet everyone.
+    of = rows.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("n", "class")).alias("main"))
+    rows = t.keep(rows.join(of.where("classes > 1").select("shingle", "main"), "shingle"), "shared_prefixes")
+    a, b = rows.where("class <> main").drop("main"), rows.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("member", "class", "total", "rest")])
+    # The lighter text of a pair shares a shingle within an even shorter part: the common weight is s / (1 + s) of both weights at least.
+    light, heavy = F.least("total", "o_total"), F.greatest("total", "o_total")
+    least = F.lit(similar / (1 + similar)) * (light + heavy) - F.lit(SLACK)
+    alike = (F.col("class") != F.col("o_class")) & (light >= F.lit(similar) * heavy - F.lit(SLACK)) & (F.least("rest", "o_rest") >= least)
+    pairs = a.join(b, "shingle").where(alike).select(F.greatest("member", "o_member").alias("doc"), F.least("member", "o_member").alias("hub")).distinct()
+    good = t.keep(verified(t.keep(pairs, "prefix_pairs"), store).where(F.col("sim") >= similar).select("doc", "hub"), "prefix_links")
+    t.drop("prefixes", "shared_prefixes")
+    return good
 
 
 def _store(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:

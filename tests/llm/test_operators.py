@@ -143,6 +143,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {i: root(i) for i, _ in rows}
 
 
+def test_near_copies_within_a_crowd_that_shares_a_passage(spark):
+    """Each text is as like the whole crowd (about 0.75) as nearly to be linked, and similar (over 0.8) to one of it alone."""
+    draw = random.Random(7)
+    passage, rows = [f"p{i}" for i in range(330)], []
+    for i in range(400):
+        own = [f"o{i}x{j}" for j in range(35)]
+        rows += [(2 * i + k, " ".join(passage + own + [f"n{draw.randrange(10**9)}" for _ in range(18)])) for k in range(2)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == 11 and none.transform(neardup.near_duplicates).count() == 0
