@@ -1,14 +1,17 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
-Plain patterns find assignments, access keys and long hexadecimal runs. Beside them, every token of a line that names
-something sensitive is measured: a compressor primed with a dictionary of identifiers, code words and the text around the
+Plain patterns find assignments, access keys and long hexadecimal runs. Beside them, every token around a word that names
+something sensitive, over line ends and from a BEGIN marker to its END, is measured: a compressor primed with a dictionary of identifiers, code words and the text around the
 token compresses the line's context with and without it, and the difference is the token's marginal compressed size. Words,
-paths and repeated names cost few bytes; random strings cost nearly all theirs and are reported as `novel`.
+paths and repeated names cost few bytes; random strings cost nearly all theirs and are reported as `novel`. Words that the
+dictionary lacks cost zstandard as much as random letters, so a token of one letter case costs the less of its marginal size
+and its size in a code of letter pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -21,10 +24,10 @@ KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns, letters of the names in either case; matches that fail the length are dropped after matching.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
-#: Words whose line is searched for novel tokens.
+#: Words around which novel tokens are searched.
 SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "auth", "private", "bearer", "access", "akia", "-----begin")
 WORDS = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+TOKEN, TOKEN_CHAR = re.compile(r"[A-Za-z0-9+/_=-]{12,}"), re.compile(r"[A-Za-z0-9+/_=-]")
 #: Identifiers and code words that are no secrets, whatever stands around them.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_secret client_id refresh_token "
@@ -34,8 +37,19 @@ IDENTIFIERS = (
     "string number integer boolean object array http https localhost application/json content-type abcdefghijklmnopqrstuvwxyz "
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000000000000000 xxxxxxxxxxxxxxxxxxxx"
 )
-#: Characters of context on either side, marginal bytes for each character of a novel token, and the least number of character kinds.
-AROUND, NOVEL, CLASSES = 200, 0.6, 2
+#: Characters of context on either side, and marginal bytes for each character of a novel token.
+AROUND, NOVEL = 200, 0.6
+MARKER, BODY = re.compile("-----(BEGIN|END)", re.IGNORECASE | re.ASCII), re.compile(r"[ \t]*[A-Za-z0-9+/=]+[ \t\r]*(?:\n|\Z)")
+#: The letters that commonly follow each letter in words; a following letter is one of them with the probability COMMON.
+FOLLOWERS = dict(
+    word.split(":")
+    for word in (
+        "a:ntlrscdibmug b:eloarui c:oheatkirlu d:eiaosu e:rnsdacltmxivpf f:oiefraut g:ehrainlou h:eaiotr i:ntosceldavmgr j:uoea k:einsao "
+        "l:eilaoydut m:eaipomb n:tdgesiaocnk o:nrufmltswpvdoc p:reoalpithu q:u r:eiaotsdnumyr s:teishauopc t:hieoartus u:rnstlpcmedbg "
+        "v:eiao w:oahiens x:ptiaec y:soepmt z:eaiu"
+    ).split()
+)
+COMMON, SEPARATOR_BITS = 0.88, 3
 
 
 def _dictionary():
@@ -55,6 +69,28 @@ def marginal(before: str, token: str, after: str) -> float:
     return (len(z.compress(around + token_bytes)) - len(z.compress(around))) / len(token_bytes)
 
 
+def letter_pairs(token: str) -> float:
+    """Bytes of a token of letters in a code of letter pairs, for each of its characters."""
+    bits, last = 0.0, ""
+    for c in token.lower():
+        if not c.isalpha():
+            bits += SEPARATOR_BITS
+        elif last not in FOLLOWERS:
+            bits += math.log2(26)
+        else:
+            k = len(FOLLOWERS[last])
+            bits += math.log2(k / COMMON) if c in FOLLOWERS[last] else math.log2((26 - k) / (1 - COMMON))
+        last = c
+    return bits / 8 / len(token)
+
+
+def is_novel(before: str, token: str, after: str, least: float = NOVEL) -> bool:
+    kinds = any(c.isdigit() for c in token), any(c.islower() for c in token), any(c.isupper() for c in token)
+    if kinds in ((False, True, False), (False, False, True)) and letter_pairs(token) < least:
+        return False
+    return marginal(before, token, after) >= least
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the plain patterns, by start and then kind."""
     out = []
@@ -67,13 +103,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def key_ends(text: str) -> dict[int, int]:
+    """The end of what each BEGIN marker opens: its END marker, or the last line of key characters where there is none."""
+    marks, out = [*MARKER.finditer(text)], {}
+    for m, after in zip(marks, [*marks[1:], None]):
+        if m[1].upper() == "BEGIN":
+            if after is not None and after[1].upper() == "END":
+                out[m.start()] = after.start()
+                continue
+            end = text.find("\n", m.end()) + 1 or len(text)
+            while end < len(text) and (line := BODY.match(text, end)):
+                end = line.end()
+            out[m.start()] = end
+    return out
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]], around: int = AROUND, least: float = NOVEL) -> list[tuple[int, int, int]]:
-    """Incompressible tokens near sensitive words (in the same line, within `around` characters), outside the known spans."""
+    """Incompressible tokens near sensitive words (within `around` characters, or up to the END of a BEGIN marker), outside the known spans."""
     out, done = [], 0
+    ends = key_ends(text) if "-----" in text else {}
     for m in WORDS.finditer(text):
-        left = max(done, m.start() - around, text.rfind("\n", 0, m.start()) + 1)
-        stop = text.find("\n", m.end())
-        right = min(len(text) if stop < 0 else stop, m.end() + around)
+        left = max(done, m.start() - around)
+        while left > done and TOKEN_CHAR.match(text, left - 1):  # no token is cut
+            left -= 1
+        right = min(len(text), max(m.end() + around, ends.get(m.start(), 0)))
         if right <= left:
             continue
         for t in TOKEN.finditer(text, left):
@@ -81,12 +134,11 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], around: int = AROU
             if a >= right:
                 break
             done = max(done, b)
-            token = t[0]
-            kinds = any(c.isdigit() for c in token) + any(c.islower() for c in token) + any(c.isupper() for c in token)
-            if kinds < CLASSES or any(a < e and s < b for s, e, _ in known):
+            if any(a < e and s < b for s, e, _ in known):
                 continue
-            if marginal(text[max(0, a - around) : a], token, text[b : b + around]) >= least:
+            if is_novel(text[max(0, a - around) : a], t[0], text[b : b + around], least):
                 out.append((a, b, 3))
+        done = max(done, right)
     return out
 
 
