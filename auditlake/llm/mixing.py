@@ -94,11 +94,12 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]]) ->
     return scored.select("doc", "tie", F.col("r.n").alias("n_tokens"), soft(F.col("r.s")).alias("p"))
 
 
-def fit_rates(table: DataFrame, targets: list[float], grid: int = GRID, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE, stretch: float = 1.0, anchor: int | None = None):
+def fit_rates(table: DataFrame, targets: list[float], grid: int = GRID, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE, stretch: float = 1.0, anchor: int | None = None, most: float | None = None):
     """(cells with cell and rate, report) for a table of posteriors.
 
     targets: wanted shares of the domains in the mixture. Its size is the largest that needs no domain more often than it
-    is there, or that uses the anchor domain once, whatever the others have; times stretch. Without any token every rate is 1.
+    is there, or that uses the anchor domain once, whatever the others have; times stretch. Rates are at most `most`, where it is given: with 1, what is fitted is what a draw keeps. Without any token
+    every rate is 1.
     """
     spark, k = table.sparkSession, len(targets)
     cells = table.withColumn("cell", F.transform("p", lambda x: F.round(x * grid).cast("int"))).groupBy("cell").agg(
@@ -127,6 +128,7 @@ def fit_rates(table: DataFrame, targets: list[float], grid: int = GRID, ridge: f
         def move(s: Column, h: Column) -> Column:
             slope = sum((F.get("p", F.lit(i)) * h["g"][i] for i in range(k)), F.lit(0.0)) + F.lit(ridge) * (s["y"] - 1)
             x = F.greatest(F.lit(0.0), s["y"] - F.lit(step) * slope)
+            x = x if most is None else F.least(F.lit(float(most)), x)
             return let(x, lambda v: F.named_struct(F.lit("x"), v, F.lit("y"), v + h["m"] * (v - s["x"])))
 
         return F.aggregate(flat, state, move)

@@ -44,10 +44,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn by their rates; those at rate 1 and above always stay. The mixture is sized by the good documents, so
-    that a scarce domain doesn't cost any of them."""
+    """Documents are drawn by their rates, which are fitted within 0 and 1; those at rate 1 always stay. The mixture is sized by
+    the good documents, so that a scarce domain doesn't cost any of them."""
     labels = mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed = mixing.mix(docs, labels, stretch=1.1, anchor="good")
+    mixed = mixing.mix(docs, labels, stretch=1.1, anchor="good", most=1.0)
     stay = mixed.where(mixing.keeps(F.col("doc"), F.col("tie"), F.col("rate"))).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"))
     return _keyed(docs).join(stay, ["_doc", "_tie"], "left_semi").select(docs.columns)
 

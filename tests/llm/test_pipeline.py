@@ -2,8 +2,11 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from auditlake.llm import langid, linededup, neardup, packing
+from auditlake.llm import langid, linededup, mixing, neardup, packing
+from auditlake.llm.common import documents
 from tests.llm.test_operators import check_pieces
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +46,18 @@ def test_mixing_keeps_good_documents(spark, real):
     good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
     kept = cp.mix_sources(spark, real, SF).select("doc_id").distinct()
     assert good.join(kept, "doc_id", "left_anti").count() == 0
+
+
+def test_mixing_fits_what_it_keeps(spark, monkeypatch):
+    """The fitted totals are those of the documents drawn, and the shares reached are those the README names."""
+    sf, reports = "/root/testdata/sf0.01", []
+    fit = mixing.fit_rates
+    monkeypatch.setattr(mixing, "fit_rates", lambda *a, **k: reports.append(fit(*a, **k)) or reports[-1])
+    docs = documents(spark, sf)
+    kept = cp.mix_sources(spark, docs, sf)
+    cells, report = reports[0]
+    assert cells.where("rate > 1").count() == 0
+    model = mixing.train(docs, mixing.quality_domains(spark.read.parquet(f"{sf}/labels.parquet")), list(mixing.TARGETS))
+    got = mixing.posteriors(kept, model).agg(*[F.sum(F.col("n_tokens") * F.get("p", F.lit(i))) for i in range(3)]).first()
+    assert all(abs(g / sum(got) - share) < 0.002 for g, share in zip(got, (0.895, 0.085, 0.020)))
+    assert all(abs(g - f) <= 0.02 * sum(report["got"]) for g, f in zip(got, report["got"]))
