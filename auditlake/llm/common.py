@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
 import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.operators.lineage import shared_dir
+
 LONG_MIN = -(2**63)
 
 
@@ -18,21 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        state = driver_state()
-        base = state.__dict__.get("local_dir")
-        if base is None:
-            base = state.local_dir = tempfile.mkdtemp(prefix="auditlake-")
-            import shutil
-
-            atexit.register(shutil.rmtree, base, True)
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def driver_state() -> types.ModuleType:
     """Process-wide state that outlives the unpickled copies of this package's functions."""
     return sys.modules.setdefault("_auditlake_state", types.ModuleType("_auditlake_state"))
@@ -48,10 +33,20 @@ def worker_cache(key, make):
 
 
 class Tables:
-    """Intermediate tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Intermediate tables written to the shared folder: they cut lineage and survive lost executors.
+
+    Frames that operators return read some of them later, so what is not dropped before stays until the session's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/auditlake/{name}-{uuid.uuid4().hex[:12]}"
+        path, files = self._at(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _at(self, where: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -64,10 +59,9 @@ class Tables:
 
     def drop(self, *names: str) -> None:
         """Removes tables that no frame still to be evaluated reads."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            path, files = self._at(self.path(name))
+            files.delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -75,6 +69,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def clear_of(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until it is none of the taken ones (whose case doesn't count)."""
+    low, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def order_key(column: Column) -> Column:
     """The id as ordered by the operators: nulls first."""
     return F.coalesce(column.cast("bigint"), F.lit(LONG_MIN))

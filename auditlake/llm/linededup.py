@@ -1,14 +1,16 @@
 """Line dedup by a log-template tree, with DataFrame functions alone.
 
-A line's tokens are split at spaces and tabs and each run of digits in them becomes `<*>`. The tree is of fixed depth:
-token count, then the leading tokens (`depth` of them). Below, the rest is cut in halves and either half may vary: a line
-belongs to two templates, (count, leading tokens, first half) and (count, leading tokens, second half). Lines of at most
-`depth` tokens belong to one template, lines of fewer than `min_tokens` to none.
-
-A template recurs if it occurs in documents of at least `min_docs` different contexts and these are at least `spread` of
-its documents. The context of a line is the longest word beside the greatest word of its document's other lines, which copies
-of a text share: groups of copies are left to the near-duplicate operator. Lines of recurring templates are dropped from every document but the one
-with the lowest doc_id, so no text disappears altogether.
+A line's tokens are split at spaces and tabs; a token with a digit in it is a variable field. The tree is of fixed depth: token
+count, then the leading tokens (`depth` of them), which name a leaf. Within a leaf, a token that lines of fewer than `min_docs`
+documents have at its position is a variable field too; what is left are the constants of the line's template, and they must be
+at least `alike` of its tokens. Lines of fewer than `min_tokens` tokens have no template.
+
+A template recurs if it stands in at least `min_docs` different documents. Copies and near copies of one text are no different
+documents: they are left to the near-duplicate operator. What tells documents apart is the context of a line, the ten longest
+words of the document's other lines (the whole text, where there is no such word). Of a template's documents, those that share
+half of these words with its most frequent context count as one, and each context beside them counts once; so a group of any
+number of copies neither makes its own lines recur nor hides those that stand elsewhere too. Recurring lines are dropped from
+every document but the one with the lowest doc_id, so no text disappears altogether.
 """
 
 from __future__ import annotations
@@ -18,127 +20,129 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import Tables, let, order_key
 
-DEPTH, MIN_TOKENS, MIN_DOCS, SPREAD = 6, 4, 3, 0.4
+DEPTH, MIN_TOKENS, MIN_DOCS, ALIKE = 2, 3, 3, 0.5
+#: Words of a context, their least length, and how many of a document's longest ones are looked through for it.
+WORDS, LETTERS, LOOKED = 10, 8, 40
 
 
 def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(line, "[0-9]+", "<*>"), "[ \t]+"), "")
+    return F.array_remove(F.split(line, "[ \t]+"), "")
 
 
-def template_keys(line: Column, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> Column:
-    """array<bigint>: hashes of the templates the line belongs to."""
+def leaf(line: Column, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> Column:
+    """The token count and the leading tokens; null for lines of fewer than min_tokens tokens."""
 
     def of(t: Column) -> Column:
-        n = F.size(t)
-        half = F.lit(depth) + F.ceil((n - depth) / 2).cast("int")
-        return (
-            F.when(n < min_tokens, F.array().cast("array<bigint>"))
-            .when(n <= depth, F.array(F.xxhash64(F.lit(0), n, t)))
-            .otherwise(
-                F.array(
-                    F.xxhash64(F.lit(1), n, F.slice(t, F.lit(1), half)),
-                    F.xxhash64(F.lit(2), n, F.slice(t, F.lit(1), F.lit(depth)), F.slice(t, half + 1, n)),
-                )
-            )
-        )
+        lead = F.transform(F.slice(t, 1, depth), lambda x: F.when(F.rlike(x, F.lit("[0-9]")), "<*>").otherwise(x))
+        return F.when(F.size(t) >= min_tokens, F.concat_ws(" ", F.size(t).cast("string"), lead))
 
     return let(tokens(line), of)
 
 
-def leaders(lines: Column) -> Column:
-    """struct(long, great): the two lines with the longest words and the two with the greatest words, best first, each with its number."""
+def long_words(lines: Column) -> Column:
+    """array<struct<h, i>>: hashes of the document's longest words (ties: the greatest) with the numbers of their lines, longest first."""
 
-    def of(l: Column, i: Column) -> Column:
-        def best(w: Column) -> Column:
-            longest = F.array_max(F.transform(w, lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("w"), x)))
-            return F.named_struct(F.lit("n"), longest["n"], F.lit("w"), longest["w"], F.lit("g"), F.array_max(w), F.lit("i"), i)
+    def of(line: Column, i: Column) -> Column:
+        return F.transform(F.filter(F.split(line, "[ \t]+"), lambda w: F.length(w) >= LETTERS), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"), (-i).alias("i")))
 
-        return let(F.split(l, "[ \t]+"), best)
+    best = F.slice(F.sort_array(F.flatten(F.transform(lines, of)), False), 1, LOOKED)
+    return F.transform(best, lambda x: F.struct(F.xxhash64(x["w"]).alias("h"), (-x["i"]).alias("i")))
 
-    def two(per: Column) -> Column:
-        long = F.transform(per, lambda p: F.named_struct(F.lit("n"), p["n"], F.lit("w"), p["w"], F.lit("i"), p["i"]))
-        great = F.transform(per, lambda p: F.named_struct(F.lit("w"), p["g"], F.lit("i"), p["i"]))
-        return F.named_struct(F.lit("long"), F.slice(F.sort_array(long, False), 1, 2), F.lit("great"), F.slice(F.sort_array(great, False), 1, 2))
 
-    return let(F.transform(lines, of), two)
+def context(long: Column, pos: Column, text_hash: Column) -> Column:
+    """The hashes of the longest words of the other lines; the text's own hash where there are none."""
+    words = F.slice(F.array_distinct(F.transform(F.filter(long, lambda x: x["i"] != pos), lambda x: x["h"])), 1, WORDS)
+    return let(words, lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(text_hash)))
 
 
-def context(lead: Column, pos: Column) -> Column:
-    """The longest word (ties: the greatest) and the greatest word of a document's other lines, hashed."""
+def _recurring(rows: DataFrame, key: str, min_docs: int, t: Tables, name: str) -> DataFrame:
+    """key, first (the lowest doc): the keys that stand in at least min_docs different documents."""
+    per = rows.groupBy(key, "context", "doc", "tie").agg(F.min("pos").alias("pos"), F.first("words").alias("words"))
+    per = per.groupBy(key, "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at"), F.first("words").alias("words"))
+    per = t.keep(per, f"{name}_contexts")
+    first = F.struct(F.col("n"), (-F.col("at.doc").cast("decimal(20,0)")).alias("doc"), (-F.col("at.pos")).alias("pos"))
+    most = per.groupBy(key).agg(F.max_by("words", first).alias("most"), F.min("at.doc").alias("first"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_docs)
+    other = 2 * F.size(F.array_intersect("words", "most")) < F.greatest(F.size("words"), F.size("most"))
+    found = per.join(most, key).groupBy(key).agg(F.min("first").alias("first"), F.sum(other.cast("int")).alias("others"))
+    return t.keep(found.where(F.col("others") >= min_docs - 1).select(key, "first"), name)
 
-    def other(two: Column) -> Column:
-        first = F.get(two, F.lit(0))
-        return F.coalesce(F.when(first["i"] == pos, F.get(two, F.lit(1))["w"]).otherwise(first["w"]), F.lit(""))
 
-    return F.xxhash64(other(lead["long"]), other(lead["great"]))
-
-
-def drop_lines(
-    docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, spread: float = SPREAD
-) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
     """docs with recurring lines removed from text, plus n_lines and n_dropped.
 
     Null texts stay null with 0 lines; an empty text is one line; a text that loses every line becomes empty. Rows with
     equal doc_id count as documents of their own; null ids come first. Columns named n_lines or n_dropped are replaced,
-    all other columns stay. Lines are separated by \\n alone.
+    all other columns stay, whatever their names. Lines are separated by \\n alone. An empty table gives an empty result.
     """
     t = Tables(docs.sparkSession, "lines")
-    doc, key = order_key(F.col("doc_id")), F.xxhash64("text")
+    doc, tie = order_key(F.col("doc_id")), F.xxhash64("text")
     # What is of the document is computed in a row of its own, below the explosion into lines.
-    whole = docs.where(F.col("text").isNotNull()).select(doc.alias("doc"), key.alias("tie"), F.split("text", "\n").alias("lines"))
-    whole = whole.select("doc", "tie", "lines", leaders(F.col("lines")).alias("lead"))
-    lines = whole.select("doc", "tie", "lead", F.posexplode("lines").alias("pos", "line"))
-    lines = lines.select("doc", "tie", "pos", context(F.col("lead"), F.col("pos")).alias("context"), F.explode(template_keys(F.col("line"), depth, min_tokens)).alias("key"))
-    lines = t.keep(lines, "lines")
-    recurring = (
-        lines.groupBy("key", "context", "doc", "tie").agg(F.lit(1).alias("one"))
-        .groupBy("key", "context").agg(F.count("one").alias("n"), F.min("doc").alias("first"))
-        .groupBy("key").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("contexts"), F.min("first").alias("first"))
-        .where((F.col("contexts") >= min_docs) & (F.col("contexts") >= F.lit(spread) * F.col("docs")))
-        .select("key", "first")
-    )
-    recurring = t.keep(recurring, "recurring")
+    whole = docs.where(F.col("text").isNotNull()).select(doc.alias("doc"), tie.alias("tie"), F.split("text", "\n").alias("lines"))
+    whole = whole.select("doc", "tie", "lines", long_words(F.col("lines")).alias("long"))
+    lines = whole.select("doc", "tie", "long", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.select("doc", "tie", "pos", leaf(F.col("line"), depth, min_tokens).alias("leaf"), context(F.col("long"), F.col("pos"), F.col("tie")).alias("words"), "line")
+    lines = t.keep(lines.select("*", F.xxhash64("words").alias("context")), "lines").where(F.col("leaf").isNotNull())
+    # Most leaves are of one document: two contexts at least are told by the least and the greatest.
+    busy = lines.groupBy("leaf").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a < b").select("leaf")
+    rows = t.keep(lines.join(busy, "leaf"), "busy")
+    rows = t.keep(rows.join(_recurring(rows, "leaf", min_docs, t, "leaves"), "leaf", "left_semi"), "rows")
+    each = rows.select("leaf", "context", "doc", "tie", "pos", F.posexplode(tokens(F.col("line"))).alias("at", "token")).where(~F.rlike("token", F.lit("[0-9]")))
+    constant = each.groupBy("leaf", "at", "token", "context").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "token").agg(F.count("one").alias("n"))
+    constant = t.keep(constant.where(F.col("n") >= min_docs).select("leaf", "at", "token"), "constant")
+    fixed = each.join(constant, ["leaf", "at", "token"], "left_semi").groupBy("leaf", "doc", "tie", "pos").agg(F.array_sort(F.collect_set(F.struct("at", "token"))).alias("fixed"))
+    fixed = fixed.where(F.size("fixed") >= F.lit(alike) * F.split_part("leaf", F.lit(" "), F.lit(1)).cast("int"))
+    fixed = fixed.select("doc", "tie", "pos", F.concat(F.col("leaf"), F.lit(": "), F.to_json("fixed")).alias("template"))
+    placed = t.keep(rows.select("doc", "tie", "pos", "context", "words").join(fixed, ["doc", "tie", "pos"]), "placed")
     dropped = (
-        lines.join(recurring, "key")
-        .where(F.col("doc") != F.col("first"))
-        .groupBy("doc", "tie").agg(F.collect_set("pos").alias("_gone"))
+        placed.join(_recurring(placed, "template", min_docs, t, "templates"), "template").where(F.col("doc") != F.col("first"))
+        .groupBy("doc", "tie").agg(F.collect_set("pos").alias("gone"))
     )
-    own = docs.drop("n_lines", "n_dropped")
-    a = own.withColumns({"_doc": doc, "_tie": key})
-    b = dropped.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "_gone")
+    dropped = t.keep(dropped, "dropped")
+    t.drop("lines", "busy", "rows", "constant", "placed", "leaves", "leaves_contexts", "templates", "templates_contexts")
     # No row of docs is lost: the left side keeps documents without dropped lines.
-    joined = a.join(b, ["_doc", "_tie"], "left").drop("_doc", "_tie")
-    all_lines, gone = F.split("text", "\n"), F.coalesce("_gone", F.array().cast("array<int>"))
+    joined = docs.select(doc.alias("doc"), tie.alias("tie"), F.struct("*").alias("row")).join(dropped, ["doc", "tie"], "left")
+    before, gone = F.col("row.text"), F.coalesce("gone", F.array().cast("array<int>"))
+    all_lines = F.split(before, "\n")
 
     def rest(l: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(l) - 1), gone)
         return F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(l, i)), "\n")
 
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(all_lines, rest))
+    text = F.when(F.col("gone").isNull(), before).otherwise(let(all_lines, rest))
     return joined.select(
-        *[text.alias(c) if c == "text" else joined[c] for c in own.columns],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("bigint").alias("n_lines"),
+        *[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        F.when(before.isNull(), F.lit(0)).otherwise(F.size(all_lines)).cast("bigint").alias("n_lines"),
         F.size(gone).cast("bigint").alias("n_dropped"),
     )
 
 
+def _sql_recurring(name: str, rows: str, key: str) -> str:
+    """Common table expressions of DuckDB: `name` holds the keys of `rows` that recur, and their first documents."""
+    return f"""{name}_c AS (SELECT {key} AS k, words, count(DISTINCT row_id) AS n, min({{'doc': doc_id, 'pos': pos}}) AS loc FROM {rows} GROUP BY {key}, words),
+{name}_m AS (SELECT k, max_by(words, {{'n': n, 'doc': -loc.doc, 'pos': -loc.pos}}) AS most, min(loc.doc) AS first FROM {name}_c GROUP BY k HAVING count(*) >= {MIN_DOCS}),
+{name} AS (SELECT k, any_value(first) AS first FROM {name}_c JOIN {name}_m USING (k) WHERE 2 * len(list_intersect(words, most)) < greatest(len(words), len(most)) GROUP BY k HAVING count(*) >= {MIN_DOCS} - 1)"""
+
+
 #: DuckDB SQL with the result of op7 over the view documents.
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
-l AS (SELECT row_id, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
-w AS (SELECT row_id, pos, list_max(list_transform(regexp_split_to_array(line, '[ \t]+'), lambda x: {{'n': length(x), 'w': x}})) AS long, list_max(regexp_split_to_array(line, '[ \t]+')) AS great FROM l),
-c AS (SELECT a.row_id, a.pos, coalesce(max(b.long).w, '') || ' ' || coalesce(max(b.great), '') AS context FROM w a LEFT JOIN w b ON a.row_id = b.row_id AND a.pos <> b.pos GROUP BY a.row_id, a.pos),
-t AS (SELECT row_id, doc_id, context, pos, list_filter(regexp_split_to_array(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[ \t]+'), lambda x: x <> '') AS toks FROM l JOIN c USING (row_id, pos)),
-h AS (SELECT *, len(toks) AS n, {DEPTH} + ceil((len(toks) - {DEPTH}) / 2.0)::INT AS half FROM t),
-k AS (
-  SELECT row_id, doc_id, context, pos, {{'kind': 0, 'n': n, 'a': toks, 'b': []}} AS key FROM h WHERE n >= {MIN_TOKENS} AND n <= {DEPTH}
-  UNION ALL SELECT row_id, doc_id, context, pos, {{'kind': 1, 'n': n, 'a': toks[1:half], 'b': []}} FROM h WHERE n > {DEPTH}
-  UNION ALL SELECT row_id, doc_id, context, pos, {{'kind': 2, 'n': n, 'a': toks[1:{DEPTH}], 'b': toks[half + 1:n]}} FROM h WHERE n > {DEPTH}),
-r AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key
-  HAVING count(DISTINCT context) >= {MIN_DOCS} AND count(DISTINCT context) >= {SPREAD} * count(DISTINCT row_id)),
-g AS (SELECT DISTINCT row_id, pos FROM k JOIN r USING (key) WHERE doc_id <> first),
-o AS (SELECT l.row_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text
+l AS (SELECT row_id, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
+w AS (SELECT row_id, pos, unnest(list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: length(x) >= {LETTERS})) AS w FROM l),
+b AS (SELECT row_id, list(w ORDER BY length(w) DESC, w DESC, pos)[1:{LOOKED}] AS long, list(pos ORDER BY length(w) DESC, w DESC, pos)[1:{LOOKED}] AS places FROM w GROUP BY row_id),
+o AS (SELECT l.row_id, doc_id, l.pos, line, list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: x <> '') AS toks, text,
+  list_filter(list_zip(long, places), lambda x: x[2] <> l.pos) AS others FROM l LEFT JOIN b USING (row_id)),
+c AS (SELECT row_id, doc_id, pos, toks, CASE WHEN coalesce(len(others), 0) = 0 THEN [' ' || text] ELSE list_transform(list_filter(others, lambda x, i: i = list_position(list_transform(others, lambda y: y[1]), x[1])), lambda x: x[1])[1:{WORDS}] END AS words,
+  {{'n': len(toks), 'lead': list_transform(toks[1:{DEPTH}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END)}} AS leaf FROM o WHERE len(toks) >= {MIN_TOKENS}),
+{_sql_recurring('leaves', 'c', 'leaf')},
+r AS (SELECT c.* FROM c JOIN leaves ON leaf = k),
+e AS (SELECT row_id, pos, leaf, words, unnest(toks) AS token, generate_subscripts(toks, 1) AS loc FROM r),
+f AS (SELECT leaf, loc, token FROM e WHERE NOT regexp_matches(token, '[0-9]') GROUP BY leaf, loc, token HAVING count(DISTINCT words) >= {MIN_DOCS}),
+x AS (SELECT row_id, pos, leaf, list({{'at': loc, 'token': token}} ORDER BY loc) AS fixed FROM e JOIN f USING (leaf, loc, token) GROUP BY row_id, pos, leaf),
+p AS (SELECT r.row_id, r.doc_id, r.pos, r.words, {{'leaf': r.leaf, 'fixed': fixed}} AS template FROM r JOIN x ON r.row_id = x.row_id AND r.pos = x.pos WHERE len(fixed) >= {ALIKE} * r.leaf.n),
+{_sql_recurring('templates', 'p', 'template')},
+g AS (SELECT DISTINCT row_id, pos FROM p JOIN templates ON template = k WHERE doc_id <> first),
+s AS (SELECT l.row_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text
   FROM l LEFT JOIN g ON l.row_id = g.row_id AND l.pos = g.pos GROUP BY l.row_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
-FROM d LEFT JOIN o USING (row_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
+FROM d LEFT JOIN s USING (row_id)
 """

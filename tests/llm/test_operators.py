@@ -295,6 +295,43 @@ def test_line_dedup_equals_sql(spark, real, odd, none, tmp_path):
     assert linededup.drop_lines(odd).count() == 11 and "bands" in linededup.drop_lines(odd).columns
 
 
+def lines_left(spark, texts):
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    return [r["n_dropped"] for r in linededup.drop_lines(df).orderBy("doc_id").collect()]
+
+
+def prose(draw, n):
+    return " ".join("".join(draw.choice("abcdefghijkl") for _ in range(draw.randrange(3, 13))) for _ in range(n))
+
+
+def test_line_templates(spark):
+    """Word fields, fields in both halves and short lines are generalised; one-line documents count; copies don't."""
+    draw = random.Random(5)
+    logs = [f"{prose(draw, 40)}\nserver accepted user {prose(draw, 1)} from host node{i} after {prose(draw, 1)} left" for i in range(30)]
+    rights = [f"{prose(draw, 40)}\nAll rights reserved." for _ in range(5)]
+    assert lines_left(spark, logs + rights) == [0] + [1] * 29 + [0] + [1] * 4
+    assert lines_left(spark, [f"job {i} finished on host {i * 7}" for i in range(50)]) == [0] + [1] * 49
+    base = [prose(draw, 30) for _ in range(6)]
+    near = []
+    for _ in range(300):
+        words = "\n".join(base).split(" ")
+        for _ in range(5):
+            words[draw.randrange(len(words))] = prose(draw, 1)
+        near.append(" ".join(words))
+    assert sum(lines_left(spark, ["\n".join(base)] * 300 + near)) == 0
+    # A line of the hot group that stands elsewhere too goes from both.
+    shared = [f"{prose(draw, 60)}\n{base[0]}\n{prose(draw, 60)}" for _ in range(10)]
+    assert lines_left(spark, ["\n".join(base)] * 300 + shared) == [0] + [1] * 309
+
+
+def test_names_of_columns_do_not_clash(spark):
+    names = ["_doc", "_tie", "_copy", "_gone", "row", "doc", "tie", "gone", "n_lines"]
+    rows = [(i, f"zz{i} {prose(random.Random(i), 30)}\nthe same line of several words here", *range(len(names))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names))
+    out = linededup.drop_lines(df).collect()
+    assert [sorted(r[n] for r in out) for n in names[:-1]] == [[i] * 6 for i in range(len(names) - 1)] and sum(r["n_dropped"] for r in out) == 5
+
+
 # 8
 
 
