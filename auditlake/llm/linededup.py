@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree, with DataFrame functions alone.
 
-A line's tokens are split at spaces and tabs; a token with a digit in it is a variable field. The tree is of fixed depth: token
-count, then the leading tokens (`depth` of them), which name a leaf. Within a leaf, a token that lines of fewer than `min_docs`
-documents have at its position is a variable field too; what is left are the constants of the line's template, and they must be
-at least `alike` of its tokens. Lines of fewer than `min_tokens` tokens have no template.
+A line's tokens are split at spaces and tabs; a token with a digit in it is a variable field, `<*>`. The tree is of fixed depth:
+token count, then the leading tokens (`depth` of them), which name a leaf. Below the leaf, the other tokens are cut into BLOCKS
+blocks (of one token each, in lines of few tokens). A block that lines of fewer than `min_docs` contexts have there is a variable
+field too; what is left are the constants of the line's template, and they must be at least `alike` of the tokens below the leaf.
+Lines of fewer than `min_tokens` tokens have no template.
 
 A template recurs if it stands in at least `min_docs` different documents. Copies and near copies of one text are no different
 documents: they are left to the near-duplicate operator. What tells documents apart is the context of a line, the ten longest
@@ -11,6 +12,9 @@ words of the document's other lines (the whole text, where there is no such word
 half of these words with its most frequent context count as one, and each context beside them counts once; so a group of any
 number of copies neither makes its own lines recur nor hides those that stand elsewhere too. Recurring lines are dropped from
 every document but the one with the lowest doc_id, so no text disappears altogether.
+
+Most lines' leaves hold one document. They are left out before anything is shuffled by a bitmap of fixed size that is broadcast,
+and exactly by the join behind it.
 """
 
 from __future__ import annotations
@@ -20,33 +24,54 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import Tables, let, order_key
 
-DEPTH, MIN_TOKENS, MIN_DOCS, ALIKE = 2, 3, 3, 0.5
+DEPTH, MIN_TOKENS, MIN_DOCS, ALIKE, BLOCKS = 2, 3, 3, 0.6, 8
 #: Words of a context, their least length, and how many of a document's longest ones are looked through for it.
-WORDS, LETTERS, LOOKED = 10, 8, 40
+WORDS, LETTERS, LOOKED = 10, 10, 40
+#: Bits of the bitmap of leaves: 2 MB.
+BITS = 1 << 24
 
 
 def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, "[ \t]+"), "")
+    return F.array_remove(F.split(F.replace(line, F.lit("\t"), F.lit(" ")), " "), "")
+
+
+def masked(words: Column) -> Column:
+    return F.transform(words, lambda x: F.when(F.rlike(x, F.lit("[0-9]")), "<*>").otherwise(x))
 
 
-def leaf(line: Column, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> Column:
+def leaf(words: Column, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> Column:
     """The token count and the leading tokens; null for lines of fewer than min_tokens tokens."""
+    return F.when(F.size(words) >= min_tokens, F.concat_ws(" ", F.size(words).cast("string"), masked(F.slice(words, 1, depth))))
 
-    def of(t: Column) -> Column:
-        lead = F.transform(F.slice(t, 1, depth), lambda x: F.when(F.rlike(x, F.lit("[0-9]")), "<*>").otherwise(x))
-        return F.when(F.size(t) >= min_tokens, F.concat_ws(" ", F.size(t).cast("string"), lead))
 
-    return let(tokens(line), of)
+def blocks(words: Column, depth: int = DEPTH) -> Column:
+    """array<struct<at, n, block>>: the blocks below the leaf that hold tokens, with their number of tokens."""
 
+    def of(w: Column) -> Column:
+        m = F.size(w) - depth
+        edge = lambda j: F.floor(j * m / BLOCKS).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.struct(j.alias("at"), (edge(j + 1) - edge(j)).alias("n"), F.array_join(F.slice(w, edge(j) + depth + 1, edge(j + 1) - edge(j)), " ").alias("block")))
+        return F.filter(cut, lambda b: b["n"] > 0)
 
-def long_words(lines: Column) -> Column:
-    """array<struct<h, i>>: hashes of the document's longest words (ties: the greatest) with the numbers of their lines, longest first."""
+    return let(masked(words), of)
+
+
+def cut_lines(text: Column, depth: int, min_tokens: int) -> Column:
+    """array<struct<line, leaf, long>>: each line, its leaf, and its long words (length, word, less the line's number)."""
 
     def of(line: Column, i: Column) -> Column:
-        return F.transform(F.filter(F.split(line, "[ \t]+"), lambda w: F.length(w) >= LETTERS), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"), (-i).alias("i")))
+        def parts(w: Column) -> Column:
+            long = F.transform(F.filter(w, lambda x: F.length(x) >= LETTERS), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"), (-i).alias("i")))
+            return F.struct(line.alias("line"), leaf(w, depth, min_tokens).alias("leaf"), long.alias("long"))
 
-    best = F.slice(F.sort_array(F.flatten(F.transform(lines, of)), False), 1, LOOKED)
-    return F.transform(best, lambda x: F.struct(F.xxhash64(x["w"]).alias("h"), (-x["i"]).alias("i")))
+        return let(tokens(line), parts)
+
+    return F.transform(F.split(text, "\n"), of)
+
+
+def longest(long: Column) -> Column:
+    """array<struct<h, i>>: hashes of the document's longest words (ties: the greatest) with the numbers of their lines, longest first."""
+    return F.transform(F.slice(F.sort_array(F.flatten(long), False), 1, LOOKED), lambda x: F.struct(F.xxhash64(x["w"]).alias("h"), (-x["i"]).alias("i")))
 
 
 def context(long: Column, pos: Column, text_hash: Column) -> Column:
@@ -67,6 +92,16 @@ def _recurring(rows: DataFrame, key: str, min_docs: int, t: Tables, name: str) -
     return t.keep(found.where(F.col("others") >= min_docs - 1).select(key, "first"), name)
 
 
+def _in_bitmap(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines whose leaf may be one of the leaves. What is broadcast are BITS bits, whatever the number of leaves."""
+    bit = F.pmod(F.xxhash64("leaf"), F.lit(BITS)) + 1
+    maps = leaves.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.getbit(byte, (at % 8).cast("int")) == 1
+    return lines.join(F.broadcast(maps), (F.bitmap_bucket_number(bit) == F.col("bucket")) & there, "left_semi")
+
+
 def drop_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
     """docs with recurring lines removed from text, plus n_lines and n_dropped.
 
@@ -77,20 +112,24 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS
     t = Tables(docs.sparkSession, "lines")
     doc, tie = order_key(F.col("doc_id")), F.xxhash64("text")
     # What is of the document is computed in a row of its own, below the explosion into lines.
-    whole = docs.where(F.col("text").isNotNull()).select(doc.alias("doc"), tie.alias("tie"), F.split("text", "\n").alias("lines"))
-    whole = whole.select("doc", "tie", "lines", long_words(F.col("lines")).alias("long"))
-    lines = whole.select("doc", "tie", "long", F.posexplode("lines").alias("pos", "line"))
-    lines = lines.select("doc", "tie", "pos", leaf(F.col("line"), depth, min_tokens).alias("leaf"), context(F.col("long"), F.col("pos"), F.col("tie")).alias("words"), "line")
-    lines = t.keep(lines.select("*", F.xxhash64("words").alias("context")), "lines").where(F.col("leaf").isNotNull())
-    # Most leaves are of one document: two contexts at least are told by the least and the greatest.
-    busy = lines.groupBy("leaf").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a < b").select("leaf")
-    rows = t.keep(lines.join(busy, "leaf"), "busy")
+    whole = docs.where(F.col("text").isNotNull()).select(doc.alias("doc"), tie.alias("tie"), cut_lines(F.col("text"), depth, min_tokens).alias("per"))
+    whole = whole.select("doc", "tie", "per", longest(F.col("per.long")).alias("long"))
+    # The outer form, as an array of lines is never empty: the other one has its filter compute all of it once more.
+    lines = whole.select("doc", "tie", "long", F.posexplode_outer("per").alias("pos", "l"))
+    lines = lines.select("doc", "tie", "pos", F.col("l.leaf").alias("leaf"), context(F.col("long"), F.col("pos"), F.col("tie")).alias("words"), F.col("l.line").alias("line"))
+    lines = t.keep(lines.select("*", F.xxhash64("words").alias("context")), "lines", **{"parquet.enable.dictionary#line": "false"}).where(F.col("leaf").isNotNull())
+    # Two contexts at least are told by the least and the greatest.
+    busy = t.keep(lines.groupBy("leaf").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a < b").select("leaf"), "busyleaves")
+    rows = t.keep(_in_bitmap(lines, busy).join(busy, "leaf"), "busy")
     rows = t.keep(rows.join(_recurring(rows, "leaf", min_docs, t, "leaves"), "leaf", "left_semi"), "rows")
-    each = rows.select("leaf", "context", "doc", "tie", "pos", F.posexplode(tokens(F.col("line"))).alias("at", "token")).where(~F.rlike("token", F.lit("[0-9]")))
-    constant = each.groupBy("leaf", "at", "token", "context").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "token").agg(F.count("one").alias("n"))
-    constant = t.keep(constant.where(F.col("n") >= min_docs).select("leaf", "at", "token"), "constant")
-    fixed = each.join(constant, ["leaf", "at", "token"], "left_semi").groupBy("leaf", "doc", "tie", "pos").agg(F.array_sort(F.collect_set(F.struct("at", "token"))).alias("fixed"))
-    fixed = fixed.where(F.size("fixed") >= F.lit(alike) * F.split_part("leaf", F.lit(" "), F.lit(1)).cast("int"))
+    each = rows.select("leaf", "context", "doc", "tie", "pos", F.explode_outer(blocks(tokens(F.col("line")), depth)).alias("b")).select("leaf", "context", "doc", "tie", "pos", "b.*")
+    each = t.keep(each, "blocks")
+    constant = each.groupBy("leaf", "at", "block").agg(F.min("context").alias("a"), F.max("context").alias("b")).where("a < b").select("leaf", "at", "block")
+    constant = each.join(constant, ["leaf", "at", "block"], "left_semi").groupBy("leaf", "at", "block", "context").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "block").agg(F.count("one").alias("n"))
+    constant = t.keep(constant.where(F.col("n") >= min_docs).select("leaf", "at", "block"), "constant")
+    fixed = each.join(constant, ["leaf", "at", "block"], "left_semi").groupBy("leaf", "doc", "tie", "pos")
+    fixed = fixed.agg(F.sum("n").alias("n"), F.array_sort(F.collect_set(F.struct("at", "block"))).alias("fixed"))
+    fixed = fixed.where(F.col("n") >= F.lit(alike) * (F.split_part("leaf", F.lit(" "), F.lit(1)).cast("int") - depth))
     fixed = fixed.select("doc", "tie", "pos", F.concat(F.col("leaf"), F.lit(": "), F.to_json("fixed")).alias("template"))
     placed = t.keep(rows.select("doc", "tie", "pos", "context", "words").join(fixed, ["doc", "tie", "pos"]), "placed")
     dropped = (
@@ -98,7 +137,7 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS
         .groupBy("doc", "tie").agg(F.collect_set("pos").alias("gone"))
     )
     dropped = t.keep(dropped, "dropped")
-    t.drop("lines", "busy", "rows", "constant", "placed", "leaves", "leaves_contexts", "templates", "templates_contexts")
+    t.drop("lines", "busyleaves", "busy", "rows", "blocks", "constant", "placed", "leaves", "leaves_contexts", "templates", "templates_contexts")
     # No row of docs is lost: the left side keeps documents without dropped lines.
     joined = docs.select(doc.alias("doc"), tie.alias("tie"), F.struct("*").alias("row")).join(dropped, ["doc", "tie"], "left")
     before, gone = F.col("row.text"), F.coalesce("gone", F.array().cast("array<int>"))
@@ -135,10 +174,12 @@ c AS (SELECT row_id, doc_id, pos, toks, CASE WHEN coalesce(len(others), 0) = 0 T
   {{'n': len(toks), 'lead': list_transform(toks[1:{DEPTH}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END)}} AS leaf FROM o WHERE len(toks) >= {MIN_TOKENS}),
 {_sql_recurring('leaves', 'c', 'leaf')},
 r AS (SELECT c.* FROM c JOIN leaves ON leaf = k),
-e AS (SELECT row_id, pos, leaf, words, unnest(toks) AS token, generate_subscripts(toks, 1) AS loc FROM r),
-f AS (SELECT leaf, loc, token FROM e WHERE NOT regexp_matches(token, '[0-9]') GROUP BY leaf, loc, token HAVING count(DISTINCT words) >= {MIN_DOCS}),
-x AS (SELECT row_id, pos, leaf, list({{'at': loc, 'token': token}} ORDER BY loc) AS fixed FROM e JOIN f USING (leaf, loc, token) GROUP BY row_id, pos, leaf),
-p AS (SELECT r.row_id, r.doc_id, r.pos, r.words, {{'leaf': r.leaf, 'fixed': fixed}} AS template FROM r JOIN x ON r.row_id = x.row_id AND r.pos = x.pos WHERE len(fixed) >= {ALIKE} * r.leaf.n),
+m AS (SELECT row_id, pos, leaf, words, list_transform(toks, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks, len(toks) - {DEPTH} AS m, unnest(range(0, {BLOCKS})) AS loc FROM r),
+e AS (SELECT row_id, pos, leaf, words, loc, (loc + 1) * m // {BLOCKS} - loc * m // {BLOCKS} AS size, array_to_string(toks[{DEPTH} + 1 + loc * m // {BLOCKS} : {DEPTH} + (loc + 1) * m // {BLOCKS}], ' ') AS block FROM m
+  WHERE (loc + 1) * m // {BLOCKS} > loc * m // {BLOCKS}),
+f AS (SELECT leaf, loc, block FROM e GROUP BY leaf, loc, block HAVING count(DISTINCT words) >= {MIN_DOCS}),
+x AS (SELECT row_id, pos, leaf, sum(size) AS n, list({{'at': loc, 'block': block}} ORDER BY loc) AS fixed FROM e JOIN f USING (leaf, loc, block) GROUP BY row_id, pos, leaf),
+p AS (SELECT r.row_id, r.doc_id, r.pos, r.words, {{'leaf': r.leaf, 'fixed': fixed}} AS template FROM r JOIN x ON r.row_id = x.row_id AND r.pos = x.pos WHERE x.n >= {ALIKE} * (r.leaf.n - {DEPTH})),
 {_sql_recurring('templates', 'p', 'template')},
 g AS (SELECT DISTINCT row_id, pos FROM p JOIN templates ON template = k WHERE doc_id <> first),
 s AS (SELECT l.row_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text
