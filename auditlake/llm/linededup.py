@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import Tables, let, order_key
 
-DEPTH, MIN_TOKENS, MIN_DOCS, ALIKE, BLOCKS = 2, 3, 3, 0.6, 8
+DEPTH, MIN_TOKENS, MIN_DOCS, ALIKE, BLOCKS = 3, 3, 3, 0.6, 8
 #: Words of a context, their least length, and how many of a document's longest ones are looked through for it.
 WORDS, LETTERS, LOOKED = 10, 10, 40
 #: Bits of the bitmap of leaves: 2 MB.
