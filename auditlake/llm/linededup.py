@@ -3,8 +3,8 @@
 A line's tokens are split at spaces and tabs; a token with a digit in it is a variable field, `<*>`. The tree is of fixed depth:
 token count, then the leading tokens (`depth` of them), which name a leaf. Below the leaf, the other tokens are cut into BLOCKS
 blocks (of one token each, in lines of few tokens). A block that lines of fewer than `min_docs` contexts have there is a variable
-field too; what is left are the constants of the line's template, and they must be at least `alike` of the tokens below the leaf.
-Lines of fewer than `min_tokens` tokens have no template.
+field too; what is left makes the line's template, at least `alike` of the tokens below the leaf, and half of all tokens must be
+no field. Lines of fewer than `min_tokens` tokens have no template.
 
 A template recurs if it stands in at least `min_docs` different documents. Copies and near copies of one text are no different
 documents: they are left to the near-duplicate operator. What tells documents apart is the context of a line, the ten longest
@@ -39,19 +39,27 @@ def masked(words: Column) -> Column:
     return F.transform(words, lambda x: F.when(F.rlike(x, F.lit("[0-9]")), "<*>").otherwise(x))
 
 
+def constants(words: Column) -> Column:
+    return F.size(F.filter(words, lambda x: x != "<*>"))
+
+
 def leaf(words: Column, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> Column:
     """The token count and the leading tokens; null for lines of fewer than min_tokens tokens."""
     return F.when(F.size(words) >= min_tokens, F.concat_ws(" ", F.size(words).cast("string"), masked(F.slice(words, 1, depth))))
 
 
 def blocks(words: Column, depth: int = DEPTH) -> Column:
-    """array<struct<at, n, block>>: the blocks below the leaf that hold tokens, with their number of tokens."""
+    """array<struct<at, n, firm, block>>: the blocks below the leaf that hold tokens (or an empty one), with their tokens and those that are no field."""
 
     def of(w: Column) -> Column:
         m = F.size(w) - depth
         edge = lambda j: F.floor(j * m / BLOCKS).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.struct(j.alias("at"), (edge(j + 1) - edge(j)).alias("n"), F.array_join(F.slice(w, edge(j) + depth + 1, edge(j + 1) - edge(j)), " ").alias("block")))
-        return F.filter(cut, lambda b: b["n"] > 0)
+        cut = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.struct(j.alias("at"), F.slice(w, edge(j) + depth + 1, edge(j + 1) - edge(j)).alias("part")))
+        none = F.array(F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("part")))
+        return F.transform(
+            F.when(m > 0, F.filter(cut, lambda b: F.size(b["part"]) > 0)).otherwise(none),
+            lambda b: F.struct(b["at"].alias("at"), F.size(b["part"]).alias("n"), constants(b["part"]).alias("firm"), F.array_join(b["part"], " ").alias("block")),
+        )
 
     return let(masked(words), of)
 
@@ -128,8 +136,9 @@ def drop_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS
     constant = each.join(constant, ["leaf", "at", "block"], "left_semi").groupBy("leaf", "at", "block", "context").agg(F.lit(1).alias("one")).groupBy("leaf", "at", "block").agg(F.count("one").alias("n"))
     constant = t.keep(constant.where(F.col("n") >= min_docs).select("leaf", "at", "block"), "constant")
     fixed = each.join(constant, ["leaf", "at", "block"], "left_semi").groupBy("leaf", "doc", "tie", "pos")
-    fixed = fixed.agg(F.sum("n").alias("n"), F.array_sort(F.collect_set(F.struct("at", "block"))).alias("fixed"))
-    fixed = fixed.where(F.col("n") >= F.lit(alike) * (F.split_part("leaf", F.lit(" "), F.lit(1)).cast("int") - depth))
+    fixed = fixed.agg(F.sum("n").alias("n"), F.sum("firm").alias("firm"), F.array_sort(F.collect_set(F.struct("at", "block"))).alias("fixed"))
+    size = F.split_part("leaf", F.lit(" "), F.lit(1)).cast("int")
+    fixed = fixed.where((F.col("n") >= F.lit(alike) * (size - depth)) & (2 * (F.col("firm") + constants(F.split("leaf", " ")) - 1) >= size))
     fixed = fixed.select("doc", "tie", "pos", F.concat(F.col("leaf"), F.lit(": "), F.to_json("fixed")).alias("template"))
     placed = t.keep(rows.select("doc", "tie", "pos", "context", "words").join(fixed, ["doc", "tie", "pos"]), "placed")
     dropped = (
@@ -175,11 +184,11 @@ c AS (SELECT row_id, doc_id, pos, toks, CASE WHEN coalesce(len(others), 0) = 0 T
 {_sql_recurring('leaves', 'c', 'leaf')},
 r AS (SELECT c.* FROM c JOIN leaves ON leaf = k),
 m AS (SELECT row_id, pos, leaf, words, list_transform(toks, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks, len(toks) - {DEPTH} AS m, unnest(range(0, {BLOCKS})) AS loc FROM r),
-e AS (SELECT row_id, pos, leaf, words, loc, (loc + 1) * m // {BLOCKS} - loc * m // {BLOCKS} AS size, array_to_string(toks[{DEPTH} + 1 + loc * m // {BLOCKS} : {DEPTH} + (loc + 1) * m // {BLOCKS}], ' ') AS block FROM m
-  WHERE (loc + 1) * m // {BLOCKS} > loc * m // {BLOCKS}),
+q AS (SELECT row_id, pos, leaf, words, loc, toks[{DEPTH} + 1 + loc * m // {BLOCKS} : {DEPTH} + (loc + 1) * m // {BLOCKS}] AS part FROM m WHERE (loc + 1) * m // {BLOCKS} > loc * m // {BLOCKS} OR m <= 0 AND loc = 0),
+e AS (SELECT row_id, pos, leaf, words, loc, len(part) AS size, len(list_filter(part, lambda x: x <> '<*>')) AS firm, array_to_string(part, ' ') AS block FROM q),
 f AS (SELECT leaf, loc, block FROM e GROUP BY leaf, loc, block HAVING count(DISTINCT words) >= {MIN_DOCS}),
-x AS (SELECT row_id, pos, leaf, sum(size) AS n, list({{'at': loc, 'block': block}} ORDER BY loc) AS fixed FROM e JOIN f USING (leaf, loc, block) GROUP BY row_id, pos, leaf),
-p AS (SELECT r.row_id, r.doc_id, r.pos, r.words, {{'leaf': r.leaf, 'fixed': fixed}} AS template FROM r JOIN x ON r.row_id = x.row_id AND r.pos = x.pos WHERE x.n >= {ALIKE} * (r.leaf.n - {DEPTH})),
+x AS (SELECT row_id, pos, leaf, sum(size) AS n, sum(firm) AS firm, list({{'at': loc, 'block': block}} ORDER BY loc) AS fixed FROM e JOIN f USING (leaf, loc, block) GROUP BY row_id, pos, leaf),
+p AS (SELECT r.row_id, r.doc_id, r.pos, r.words, {{'leaf': r.leaf, 'fixed': fixed}} AS template FROM r JOIN x ON r.row_id = x.row_id AND r.pos = x.pos WHERE x.n >= {ALIKE} * (r.leaf.n - {DEPTH}) AND 2 * (x.firm + len(list_filter(r.leaf.lead, lambda y: y <> '<*>'))) >= r.leaf.n),
 {_sql_recurring('templates', 'p', 'template')},
 g AS (SELECT DISTINCT row_id, pos FROM p JOIN templates ON template = k WHERE doc_id <> first),
 s AS (SELECT l.row_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS text

@@ -311,6 +311,7 @@ def test_line_templates(spark):
     rights = [f"{prose(draw, 40)}\nAll rights reserved." for _ in range(5)]
     assert lines_left(spark, logs + rights) == [0] + [1] * 29 + [0] + [1] * 4
     assert lines_left(spark, [f"job {i} finished on host {i * 7}" for i in range(50)]) == [0] + [1] * 49
+    assert lines_left(spark, [f"{i} {i * 3} {i + 7} x{i}" for i in range(50)]) == [0] * 50  # nothing but fields
     base = [prose(draw, 30) for _ in range(6)]
     near = []
     for _ in range(300):
