@@ -1,14 +1,14 @@
 """Mixing sources to target weights by soft membership, with DataFrame functions alone.
 
 A labelled table trains a multinomial naive Bayes classifier over hashed words, which gives each document a posterior over
-domains. Nonnegative document rates x are then fitted by accelerated projected gradient to
-    1/2 |sum_d x_d w_d p_d - tau|^2 + ridge/2 sum_d w_d (x_d - 1)^2,
+domains. Each document's nonnegative rate x_d is then fitted by projected gradient descent to
+    1/2 r' M r + ridge/2 sum_d w_d (x_d - 1)^2,   r = sum_d x_d w_d p_d - tau,
 where w_d is the document's share of all tokens, p_d its posterior and tau the wanted tokens of each domain as a share of
-all tokens: expected domain totals match the targets, and rates stay near 1 where they may.
+all tokens: expected domain totals match the targets, and rates stay near 1 where they may. M, the inverse of the documents'
+second moments sum_d w_d p_d p_d', weighs domains alike, however small, and lets the descent converge in few steps.
 
-The gradient at a document depends on its posterior alone, so documents of equal posterior (on a grid of 1/grid) share one
-rate and are summed before the descent; a step then reads the cells of the grid, whose number is bounded whatever the
-number of documents. Tokens are words between white space.
+A step is one pass over the documents' posteriors and rates; only its sums (a number for each domain) reach the driver. The
+rates are written every few steps, so plans stay short. Tokens are words between white space.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import Tables, let, order_key, small_frame
+from auditlake.llm.common import Tables, let, order_key
 
-BINS, SAMPLE, GRID, RIDGE, STEPS, TOLERANCE = 1 << 14, 10_000, 32, 0.002, 50, 1e-4
+BINS, SAMPLE, RIDGE, STEPS, TOLERANCE = 1 << 14, 10_000, 1e-4, 1000, 1e-5
+#: Steps between two written tables of rates.
+STRIDE = 8
 
 
 def words(text: Column) -> Column:
@@ -94,62 +96,74 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]]) ->
     return scored.select("doc", "tie", F.col("r.n").alias("n_tokens"), soft(F.col("r.s")).alias("p"))
 
 
-def fit_rates(table: DataFrame, targets: list[float], grid: int = GRID, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE, stretch: float = 1.0, anchor: int | None = None, most: float | None = None):
-    """(cells with cell and rate, report) for a table of posteriors.
+def inverse(m: list[list[float]]) -> list[list[float]]:
+    """The inverse of a small positive matrix, by elimination."""
+    k = len(m)
+    rows = [[*r, *(float(i == j) for j in range(k))] for i, r in enumerate(m)]
+    for i in range(k):
+        best = max(range(i, k), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[best] = rows[best], rows[i]
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        for j in range(k):
+            if j != i:
+                rows[j] = [x - rows[j][i] * y for x, y in zip(rows[j], rows[i])]
+    return [r[k:] for r in rows]
+
+
+def fit_rates(
+    table: DataFrame, targets: list[float], ridge: float = RIDGE, steps: int = STEPS, tolerance: float = TOLERANCE, stretch: float = 1.0, anchor: int | None = None, most: float | None = None
+) -> tuple[DataFrame, dict]:
+    """(table with rate, report) for a table of posteriors.
 
     targets: wanted shares of the domains in the mixture. Its size is the largest that needs no domain more often than it
-    is there, or that uses the anchor domain once, whatever the others have; times stretch. Rates are at most `most`, where it is given: with 1, what is fitted is what a draw keeps. Without any token
-    every rate is 1.
+    is there, or that uses the anchor domain once, whatever the others have; times stretch. Rates are at most `most`, where
+    it is given: with 1, what is fitted is what a draw keeps. Without any token every rate is 1. A descent that has not come
+    to rest (a step moves rates by less than `tolerance`, as a mean square) after `steps` steps is an error.
     """
-    spark, k = table.sparkSession, len(targets)
-    cells = table.withColumn("cell", F.transform("p", lambda x: F.round(x * grid).cast("int"))).groupBy("cell").agg(
-        F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.get("p", F.lit(i))).alias(f"n{i}") for i in range(k)]
-    )
-    rows = sorted(tuple(r) for r in cells.collect())  # as many as the grid has cells, at most
-    total = sum(r[1] for r in rows)
-    have = [sum(r[2 + i] for r in rows) for i in range(k)]
+    k, t = len(targets), Tables(table.sparkSession, "rates")
+    p = lambda i: F.get("p", F.lit(i))
+    total, *sums = table.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * p(i)) for i in range(k)], *[F.sum(F.col("n_tokens") * p(i) * p(j)) for i in range(k) for j in range(k)]).first()
     if not total:
-        return small_frame(spark, [(r[0], 1.0) for r in rows], "cell array<int>, rate double"), {"have": have, "want": have, "got": have}
+        return table.withColumn("rate", F.lit(1.0)), {"have": [0.0] * k, "want": [0.0] * k, "got": [0.0] * k, "steps": 0}
+    have, moments = sums[:k], [x / total for x in sums[k:]]
     size = stretch * min(have[i] / targets[i] for i in range(k) if targets[i] > 0 and anchor in (None, i))
-    tau = [size * t / total for t in targets]
-    # The mean posterior of a cell stands for its documents.
-    frame = small_frame(
-        spark, [(r[0], r[1] / total, [x / r[1] if r[1] else 0.0 for x in r[2:]]) for r in rows], "cell array<int>, w double, p array<double>"
-    ).cache()
-    step, history, t, gap = 1.0 / (1.0 + ridge), [], 1.0, 1.0
-
-    def rate(past: list[tuple[list[float], float]]) -> Column:
-        """struct(x, y): the rate and its extrapolation after the past (residuals, momentum) steps."""
-        state = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
-        if not past:
-            return state
-        flat = F.array(*[F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(m).alias("m")) for g, m in past])
-
-        def move(s: Column, h: Column) -> Column:
-            slope = sum((F.get("p", F.lit(i)) * h["g"][i] for i in range(k)), F.lit(0.0)) + F.lit(ridge) * (s["y"] - 1)
-            x = F.greatest(F.lit(0.0), s["y"] - F.lit(step) * slope)
-            x = x if most is None else F.least(F.lit(float(most)), x)
-            return let(x, lambda v: F.named_struct(F.lit("x"), v, F.lit("y"), v + h["m"] * (v - s["x"])))
-
-        return F.aggregate(flat, state, move)
-
-    got = [0.0] * k
-    for _ in range(steps):
-        at = frame.select("w", "p", rate(history).alias("s"))
-        sums = at.agg(
-            *[F.sum(F.col("s.y") * F.col("w") * F.get("p", F.lit(i))) for i in range(k)],
-            *[F.sum(F.col("s.x") * F.col("w") * F.get("p", F.lit(i))) for i in range(k)],
-        ).first()
-        residual, got = [sums[i] - tau[i] for i in range(k)], [sums[k + i] for i in range(k)]
-        before, gap = gap, max(abs(got[i] - tau[i]) for i in range(k))
-        if history and abs(before - gap) < tolerance and gap < 10 * tolerance:
+    tau = [size * x / total for x in targets]
+    # A little of the trace keeps the matrix invertible where domains can't be told apart.
+    slack = 1e-6 * sum(moments[i * k + i] for i in range(k))
+    metric = inverse([[moments[i * k + j] + slack * (i == j) for j in range(k)] for i in range(k)])
+    state = table.select("doc", "tie", "n_tokens", "p", (F.col("n_tokens") / F.lit(float(total))).alias("w"), *[p(i).alias(f"p{i}") for i in range(k)], F.lit(1.0).alias("x"), F.lit(1.0).alias("before"))
+    now = last = [x / total for x in have]
+    step, age, written = 1.0 / (1.0 + ridge), 1.0, None
+    for n in range(1, steps + 1):
+        after = (1 + math.sqrt(1 + 4 * age * age)) / 2
+        push = (age - 1) / after
+        age = after
+        # Sums are linear in the rates, so those of the extrapolated ones need no pass of their own.
+        residual = [a + push * (a - b) - c for a, b, c in zip(now, last, tau)]
+        pull = [sum(metric[i][j] * residual[j] for j in range(k)) for i in range(k)]
+        ahead = state.withColumn("y", F.col("x") + F.lit(push) * (F.col("x") - F.col("before")))
+        slope = sum((F.col(f"p{i}") * F.lit(pull[i]) for i in range(k)), F.lit(ridge) * (F.col("y") - 1))
+        moved = F.greatest(F.lit(0.0), F.col("y") - F.lit(step) * slope)
+        state = ahead.select("doc", "tie", "n_tokens", "p", "w", *[f"p{i}" for i in range(k)], (moved if most is None else F.least(moved, F.lit(float(most)))).alias("x"), F.col("x").alias("before"), "y")
+        if n % STRIDE == 0:
+            state = t.keep(state, f"step{n}")
+            if written:
+                t.drop(written)
+            written = f"step{n}"
+        x, y, w = F.col("x"), F.col("y"), F.col("w")
+        got = state.agg(*[F.sum(w * x * F.col(f"p{i}")) for i in range(k)], F.sum(w * (x - y) * (x - y)), F.sum(w * (y - x) * (x - F.col("before")))).first()
+        now, last = list(got[:k]), now
+        if math.sqrt(got[k]) < tolerance:
             break
-        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        history.append((residual, (t - 1) / after))
-        t = after
-    out = frame.select("cell", rate(history)["x"].alias("rate")).collect()
-    frame.unpersist()
-    return small_frame(spark, [(r[0], r[1]) for r in out], "cell array<int>, rate double"), {"have": have, "want": [x * total for x in tau], "got": [x * total for x in got], "steps": len(history)}
+        if got[k + 1] > 0:  # the extrapolation went too far
+            age = 1.0
+    else:
+        gaps = ", ".join(f"{abs(a - b) / b:.2g}" if b else "-" for a, b in zip(now, tau))
+        raise RuntimeError(f"the rates did not come to rest in {steps} steps; relative gaps {gaps}")
+    out = t.keep(state.select("doc", "tie", "n_tokens", "p", F.col("x").alias("rate")), "rates")
+    if written:
+        t.drop(written)
+    return out, {"have": have, "want": [x * total for x in tau], "got": [x * total for x in now], "steps": n}
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -167,20 +181,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     """doc, tie, n_tokens, p, rate for each row of docs.
 
     Null texts and texts without words have 0 tokens and the prior as posterior; rows with equal ids and texts get equal
-    rates; an empty table gives an empty result.
+    rates; long texts count whole; columns beside doc_id and text are not read; an empty table gives an empty result.
     """
     t = Tables(docs.sparkSession, "mix")
     names = list(targets)
     model = train(docs, labelled, names)
     table = t.keep(posteriors(docs, model), "posteriors")
-    grid = fit.get("grid", GRID)
-    cells, _ = fit_rates(table, [targets[n] for n in names], stretch=stretch, anchor=None if anchor is None else names.index(anchor), **fit)
-    # At most as many rows as the grid of posteriors has cells.
-    return (
-        table.withColumn("cell", F.transform("p", lambda x: F.round(x * grid).cast("int")))
-        .join(F.broadcast(cells), "cell", "left")
-        .select("doc", "tie", "n_tokens", "p", F.coalesce("rate", F.lit(1.0)).alias("rate"))
-    )
+    rates, _ = fit_rates(table, [targets[n] for n in names], stretch=stretch, anchor=None if anchor is None else names.index(anchor), **fit)
+    return rates
 
 
 def keeps(doc: Column, tie: Column, rate: Column) -> Column:

@@ -265,12 +265,37 @@ def test_column_generation_is_optimal():
 # 6
 
 
-def test_mixing_matches_targets(spark, real, odd, none):
-    p = np.random.default_rng(2).dirichlet((2, 1, 1), 300)
-    rows = [(i, i, int(10 + i % 50), [float(x) for x in r]) for i, r in enumerate(p)]
-    table = spark.createDataFrame(rows, "doc bigint, tie bigint, n_tokens bigint, p array<double>")
-    _, report = mixing.fit_rates(table, [0.6, 0.3, 0.1], steps=120, ridge=1e-3, tolerance=1e-7)
-    assert max(abs(g - w) / sum(report["want"]) for g, w in zip(report["got"], report["want"])) < 0.02
+def brute_rates(n, p, targets, most=None, ridge=mixing.RIDGE):
+    """The same objective, descended on plain arrays until it rests."""
+    w = n / n.sum()
+    size = min((w @ p)[i] / x for i, x in enumerate(targets))
+    tau = size * np.array(targets)
+    moments = (p * w[:, None]).T @ p
+    metric = np.linalg.inv(moments + 1e-6 * np.trace(moments) * np.eye(len(targets)))
+    x = np.ones(len(n))
+    for _ in range(150_000):
+        x = np.clip(x - (p @ (metric @ (w * x @ p - tau)) + ridge * (x - 1)) / (1 + ridge), 0, most)
+    return x, size
+
+
+@pytest.mark.parametrize("most", [None, 1.0])
+def test_rates_match_plain_descent(spark, most):
+    """Registered parameters; a rate for each document."""
+    p = np.random.default_rng(2).dirichlet((2, 1, 0.2), 300)
+    n = np.array([10 + i % 50 for i in range(300)])
+    table = spark.createDataFrame([(i, i, int(n[i]), [float(x) for x in p[i]]) for i in range(300)], "doc bigint, tie bigint, n_tokens bigint, p array<double>")
+    targets = list(mixing.TARGETS.values())
+    rates, report = mixing.fit_rates(table, targets, most=most)
+    want, size = brute_rates(n, p, targets, most)
+    got = {r["doc"]: r["rate"] for r in rates.collect()}
+    assert max(abs(got[i] - x) for i, x in enumerate(want)) < 0.02
+    if most is None:
+        assert len({round(x, 6) for x in got.values()}) > 100 and all(abs(g - x) / x < 5e-3 for g, x in zip(report["got"], report["want"]))
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(table, targets, steps=2, most=most)
+
+
+def test_mixing_of_odd_rows(real, odd, none):
     labels = real.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "good").otherwise("low").alias("domain"))
     for df in (real, odd):
         out = mixing.mix(df, labels, {"good": 0.5, "low": 0.5}).collect()
@@ -278,6 +303,25 @@ def test_mixing_matches_targets(spark, real, odd, none):
     assert mixing.mix(none, labels, {"good": 0.5, "low": 0.5}).count() == 0
 
 
+def test_posteriors_match_naive_bayes(spark, real):
+    """The query's posteriors against naive Bayes over the same bins, counted in Python."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    domains = mixing.quality_domains(labels)
+    names = list(mixing.TARGETS)
+    texts = {r["doc_id"]: (r["text"] or "").lower().split() for r in real.collect()}
+    of = {r["doc_id"]: r["domain"] for r in domains.collect()}
+    words = sorted({w for t in texts.values() for w in t})
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+    bins = {r["w"]: r["b"] for r in frame.select("w", mixing.bin_of(F.col("w"), mixing.BINS).alias("b")).collect()}
+    counts = {n: Counter(bins[w] for i, d in of.items() if d == n and i in texts for w in texts[i]) for n in names}
+    docs = Counter(d for i, d in of.items() if i in texts)
+    logs = {n: {b: math.log((counts[n][b] + 0.5) / (sum(counts[n].values()) + 0.5 * mixing.BINS)) for b in set(bins.values())} for n in names}
+    for r in mixing.posteriors(real, mixing.train(real, domains, names)).collect():
+        s = np.array([math.log(docs[n] + 0.5) + sum(logs[n][bins[w]] for w in texts[r["doc"]]) for n in names])
+        e = np.exp(s - s.max())
+        assert r["n_tokens"] == len(texts[r["doc"]]) and np.allclose(r["p"], e / e.sum(), atol=2e-3)
+
+
 # 7
 
 
