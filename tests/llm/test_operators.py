@@ -439,13 +439,62 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_long_words_are_scored_whole():
+    """A run of thousands of letters: one forward pass without a cut, in exact logarithms."""
+    pieces = ["▁", "a", "b", "ab", "ba", "▁a", "abab"]
+    lex = langid.Lexicon(pieces)
+    prob = np.random.default_rng(4).random((len(pieces) + 2, 2)) / 10
+    prob[0], at = 0, {p: i + 1 for i, p in enumerate(pieces)}
+    draw = random.Random(1)
+    words = ["".join(draw.choice("ab") for _ in range(n)) for n in (5000, 70, 3)]
+    for word, got in zip(words, langid.word_scores(lex, prob, words)):
+        text = "▁" + word
+        logs = [np.zeros(2)] + [None] * len(text)
+        for j in range(1, len(text) + 1):
+            terms = [logs[i] + np.log(prob[at[text[i:j]]]) for i in range(max(0, j - 5), j) if text[i:j] in at]
+            logs[j] = np.logaddexp.reduce(terms)
+        assert np.allclose(got, logs[-1], rtol=1e-5)
+
+
+def test_expectation_counts_uses():
+    """Expected uses against all segmentations, listed."""
+    pieces = ["▁", "a", "b", "ab", "ba", "▁a", "abab"]
+    lex = langid.Lexicon(pieces)
+    prob = np.random.default_rng(9).random(len(pieces) + 2)
+    prob[0], at = 0, {p: i + 1 for i, p in enumerate(pieces)}
+
+    def cuts(text):
+        if not text:
+            yield 1.0, Counter()
+        for n in range(1, len(text) + 1):
+            i = at.get(text[:n])
+            if i:
+                for q, c in cuts(text[n:]):
+                    yield q * prob[i], c + Counter([i])
+
+    words, weights = ["abababab", "abab", "ba"], np.array([2.0, 1.0, 5.0])
+    want = np.zeros(len(prob))
+    for w, k in zip(words, weights):
+        all_cuts = [*cuts("▁" + w)]
+        for q, c in all_cuts:
+            for i, n in c.items():
+                want[i] += k * n * q / sum(x for x, _ in all_cuts)
+    size, ends = lex.lattice(words)
+    seen = np.zeros(len(prob))
+    langid.expect(size, [*ends], weights, prob, lex.longest, seen)
+    assert np.allclose(seen, want)
+
+
 def test_language_id(real, odd, none):
     model = langid.fit(real.where(langid.learning_rows(real)))
-    out = langid.identify(real, model, "doc_id", "lang").collect()
+    out = langid.identify(real, model, "doc_id", "lang").where(~langid.learning_rows(real)).collect()  # rows it hasn't learned from
     assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.97
     got = langid.identify(odd, model, "doc_id", "text").collect()
     assert {r["lang_pred"] for r in got if r["text"] in (None, "", "... !!! 123")} == {"und"} and all(0 <= r["score"] <= 1 for r in got)
     assert langid.identify(none, model, "doc_id").count() == 0
+    many = real.limit(90).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string")))
+    assert len(langid.fit(many)[1]) == 90 == len(langid.fit(many.repartition(7), per_language=1)[1])  # each language is learned
+    assert langid.sample(real, 5) == langid.sample(real.repartition(7), 5)
     empty = langid.fit(none)
     assert {r["lang_pred"] for r in langid.identify(odd, empty, "doc_id").collect()} == {"und"}
 
