@@ -1,9 +1,9 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, by DataFrame functions alone.
 
-A sketch keeps every distinct shingle hash below a fixed fraction (1/scale) of the hash range, so sketches of very
-unequal documents share one hash threshold, their union is the sketch of the joined documents, and the share of the
-smaller one found in the larger estimates containment. A document with no hash below the threshold is represented by
-its least hash, so that short texts are still compared.
+A sketch keeps every distinct shingle hash below a fixed fraction (1/scale) of the hash range, and the number of distinct
+shingles beside them. Sketches of very unequal documents share one hash threshold, the union of two is the sketch of the joined
+documents, and the share of the smaller one found in the larger estimates containment. Where the smaller sketch holds fewer than
+LEAST hashes the estimate is undefined (null); who has both texts compares all their shingles.
 
 Words are maximal runs of letters, marks and digits, in lower case. A shingle is `width` words in a row; a text of
 fewer words has one shingle of all of them; a text without words (also a null or empty one) has the empty sketch.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import LONG_MIN, bucket_of, id_cuts, let, longs, order_key
 
-WIDTH, SCALE = 5, 8
+WIDTH, SCALE, LEAST = 5, 8, 32
 
 
 def threshold(scale: int) -> int:
@@ -42,44 +42,53 @@ def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
 
 
 def sketch(text: Column, width: int = WIDTH, scale: int = SCALE) -> Column:
-    """The sorted sketch of a text."""
-    return let(shingle_hashes(text, width), lambda h: _reduced(h, scale))
+    """struct<n, hashes>: the number of distinct shingles, and the sorted hashes below the threshold."""
+    return let(F.array_distinct(shingle_hashes(text, width)), lambda h: F.struct(F.size(h).alias("n"), F.sort_array(F.filter(h, lambda x: x < F.lit(threshold(scale)))).alias("hashes")))
 
 
-def _reduced(hashes: Column, scale: int) -> Column:
-    kept = F.sort_array(F.array_distinct(F.filter(hashes, lambda x: x < F.lit(threshold(scale)))))
-    return let(kept, lambda k: F.when((F.size(k) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(k))
+def merge(a: Column, b: Column) -> Column:
+    """The sorted hashes of the sketch of both documents' shingles together."""
+    return F.sort_array(F.array_union(a["hashes"], b["hashes"]))
 
 
-def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of both documents' shingles together."""
-    return let(F.array_union(a, b), lambda h: _reduced(h, scale))
+def _share(a: Column, b: Column) -> Column:
+    """The share of the smaller set that lies in the larger."""
+    return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller shingle set that lies in the larger; two empty sketches are alike (1), one is not (0)."""
-    least = F.least(F.size(a), F.size(b))
+def containment(a: Column, b: Column, least: int = LEAST) -> Column:
+    """Estimated share of the smaller shingle set that lies in the larger; two empty sets are alike (1), one is not (0); null where a sketch is too small to tell."""
+    some = F.least(F.size(a["hashes"]), F.size(b["hashes"]))
     return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-        .when(least == 0, F.lit(0.0))
-        .otherwise(F.size(F.array_intersect(a, b)) / least)
-    )
+        F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).when((a["n"] == 0) | (b["n"] == 0), F.lit(0.0))
+        .when(some >= least, _share(a["hashes"], b["hashes"]))
+    )
+
+
+def resemblance(a: Column, b: Column, least: int = LEAST) -> Column:
+    """Estimated Jaccard likeness of the shingle sets; null where the sketches together are too small to tell."""
+    both, all_ = F.size(F.array_intersect(a["hashes"], b["hashes"])), F.size(F.array_union(a["hashes"], b["hashes"]))
+    return F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).when((a["n"] == 0) | (b["n"] == 0), F.lit(0.0)).when(all_ >= least, both / all_)
+
 
+def exact(a: Column, b: Column, jaccard: bool, width: int = WIDTH) -> Column:
+    """Containment or Jaccard likeness of two texts, each of which has words, by all their shingles."""
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of the shingle sets."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    def of(x: Column, y: Column) -> Column:
+        return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) if jaccard else _share(x, y)
+
+    shingle_set = lambda t: F.array_distinct(shingle_hashes(t, width))
+    return let(shingle_set(a), lambda x: let(shingle_set(b), lambda y: of(x, y)))
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
-    """doc_id, sketch for each row. Other columns are ignored; repeated ids give a row each."""
+    """doc_id, sketch for each row. Other columns are ignored; repeated ids give a row each; texts of any length count whole."""
     return docs.select("doc_id", sketch(F.col("text"), width, scale).alias("sketch"))
 
 
 def as_text(s: Column) -> Column:
-    """A sketch as fixed-width hexadecimal, 16 digits a hash."""
-    return F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """A sketch as the number of shingles, a colon, and fixed-width hexadecimal, 16 digits a hash."""
+    return F.concat(s["n"].cast("string"), F.lit(":"), F.array_join(F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def with_next(docs: DataFrame, columns: list[str], cuts: list[int]) -> DataFrame:
@@ -121,5 +130,11 @@ def edited_pairs(docs: DataFrame, width: int = WIDTH, scale: int = SCALE, rows_e
     n = F.length("text").cast("bigint")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", (n - quarter).cast("int")), F.left("next.text", quarter))
-    out = paired.select("doc_id", "text", "sketch", F.col("next.sketch").alias("next_sketch"), n.alias("n_chars"), edited.alias("edited"))
+    out = paired.select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"), n.alias("n_chars"), edited.alias("edited"))
     return out.withColumn("edited_sketch", sketch(F.col("edited"), width, scale))
+
+
+def likeness(text: str, other: str, jaccard: bool = False) -> Column:
+    """Of two texts and their sketches (columns text and sketch, `other` and its sketch): by the sketches, or exactly where those can't tell."""
+    a, b = F.col("sketch"), F.col(f"{other}_sketch")
+    return F.coalesce((resemblance if jaccard else containment)(a, b), exact(F.col(text), F.col("edited" if other == "edited" else f"{other}_text"), jaccard))

@@ -84,7 +84,10 @@ def pairs(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each whole text (null: empty) as UTF-8, padded and stored as WAV."""
+    """doc_id, n_bytes, media: each whole text (null: empty) as UTF-8, padded and made a WAV.
+
+    Repeated rows give a row each, equal texts equal bytes; only doc_id and text are read; an empty table gives an empty result.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -100,8 +103,19 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
 
 
+def store(docs: DataFrame, out: str) -> DataFrame:
+    """Writes encode()'s rows as a table of media columns and returns the table written."""
+    rows = encode(docs)
+    rows.write.parquet(out)
+    return docs.sparkSession.read.schema(rows.schema).parquet(out)
+
+
 def features(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32, times, codes of encode()'s rows, from the stored bytes."""
+    """doc_id, n_bytes, media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32, times, codes of encode()'s rows, from the stored bytes.
+
+    Each row is read by itself, so equal media have equal features, also of repeated rows; other columns are not read; an empty
+    table gives an empty result. A payload without a peak pair has empty arrays.
+    """
 
     def run(batches):
         import pyarrow as pa

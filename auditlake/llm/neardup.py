@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BAND
     class_id is the lowest doc_id of the class; n_links counts the verified links of the row's text to other texts. Equal
     texts are of one class, also texts without words (null counts as empty), which are like no other text. Rows with equal
     ids and different texts are compared like any others, but share one id: they are told apart by tie, xxhash64 of the
-    text. Null ids come first. An empty table gives an empty result.
+    text. Null ids come first. Texts of any length count whole; only doc_id and text are read, whatever other columns there are.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     t = Tables(spark, "neardup")

@@ -50,8 +50,11 @@ def priced_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[fl
     return float(value[room]), counts
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, amounts) of the linear program: fewest sequences that hold all items. sizes ascend; demand is positive."""
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns, amounts) of the linear program: fewest sequences that hold all items. sizes ascend; demand is positive.
+
+    A program that is not solved after `most` pivots is an error.
+    """
     m = len(sizes)
     patterns = np.diag(room // sizes).astype(float)  # column p: items of each class
     inverse, amounts = np.diag(1.0 / (room // sizes)), demand / (room // sizes)
@@ -59,7 +62,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most: in
         prices = inverse.sum(0)  # each pattern costs one sequence
         value, counts = priced_pattern(prices, sizes, room)
         if value <= 1 + 1e-7:
-            break
+            return patterns.astype(np.int64), amounts
         way = inverse @ counts
         ratio = np.where(way > 1e-9, amounts / np.where(way > 1e-9, way, 1), np.inf)
         out = int(ratio.argmin())
@@ -70,8 +73,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most: in
         inverse = inverse - np.outer(way, pivot)
         inverse[out] = pivot
         patterns[:, out] = counts
-    assert patterns.shape == (m, m)
-    return patterns.astype(np.int64), amounts
+    raise RuntimeError(f"the linear program of {m} classes is not solved after {most} pivots")
 
 
 def packed_patterns(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:

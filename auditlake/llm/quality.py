@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditlake.llm.common import Tables
 from auditlake.llm.textkit import U, mix, odd_constants, slices
 
 COLUMNS, SAMPLE, GRAM, COST, EPOCHS, BLEND = 1 << 18, 6000, 4, 1.0, 8, 0.25
+#: Distinct n-grams of all sampled documents together: 128 MB.
+CELLS = 32 << 20
 _ODD = odd_constants(64, 31)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -113,11 +116,15 @@ def train(rows: list[np.ndarray], labels: np.ndarray, columns: int = COLUMNS) ->
     return full[:-1] * ratio, ratio**2, a * full[-1] + b, a
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most `sample` labelled documents (the lowest hashes of doc_id): what reaches the driver."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cells: int = CELLS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of a bounded sample of labelled documents, those with the lowest hashes of doc_id: what reaches the driver.
+
+    At most `sample` documents, and no more than have `cells` distinct n-grams together; of rows with one id the text with the
+    lowest hash counts.
+    """
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        .select("doc_id", "quality", F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(sample)
     )
 
     def run(batches):
@@ -127,13 +134,27 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
         for batch in batches:
             for first, texts in slices(batch):
                 data = [distinct(features(t), scratch).astype("<u4").tobytes() for t in texts]
-                keys = [batch.column(c).slice(first, len(texts)) for c in ("doc_id", "quality")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(data, pa.binary())], names=["doc_id", "quality", "data"])
+                keys = [batch.column(c).slice(first, len(texts)) for c in ("doc_id", "draw", "quality", "tie")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "draw", "quality", "tie", "n", "data"])
 
+    t = Tables(docs.sparkSession, "quality")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    found = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "doc_id bigint, quality int, data binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["data"])))
-    return [np.frombuffer(r["data"], "<u4").astype(np.int64) for r in found], np.array([r["quality"] for r in found])
+    rows = rows.select("doc_id", "draw", F.col("quality").cast("int").alias("quality"), F.xxhash64("text").alias("tie"), "text")
+    found = t.keep(rows.mapInArrow(run, "doc_id bigint, draw bigint, quality int, tie bigint, n bigint, data binary"), "sample")
+    one = found.groupBy("draw", "doc_id").agg(F.min(F.struct("tie", "n")).alias("least")).orderBy("draw", "doc_id")
+    total, last = 0, None
+    for r in one.collect():  # numbers of at most `sample` documents
+        total += r["least"]["n"]
+        if total > cells and last is not None:
+            break
+        last = r["draw"], r["doc_id"]
+    if last is None:
+        return [], np.zeros(0, int)
+    within = (F.col("draw") < last[0]) | (F.col("draw") == last[0]) & (F.col("doc_id") <= last[1])
+    kept = found.where(within).join(one.select("doc_id", F.col("least.tie").alias("tie")), ["doc_id", "tie"], "left_semi").dropDuplicates(["doc_id"])
+    rows = sorted(((r["doc_id"], r["quality"], r["data"]) for r in kept.select("doc_id", "quality", "data").collect()), key=lambda r: r[0])
+    t.drop("sample")
+    return [np.frombuffer(data, "<u4").astype(np.int64) for _, _, data in rows], np.array([q for _, q, _ in rows])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
@@ -145,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 def score(docs: DataFrame, model, *keys: str) -> DataFrame:
     """The key columns and score, the probability of label 1, of each whole text (null: empty).
 
-    Only text is read. A text without n-grams gets the score of the bias; without a model every score is 0.5.
+    Only text is read, whole. A text without n-grams gets the score of the bias; without a model every score is 0.5. Equal texts
+    have equal scores, also in repeated rows; of other columns none is read but the keys; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers a column, fixed
     schema = T.StructType([*[docs.schema[c] for c in keys], T.StructField("score", T.DoubleType())])

@@ -13,12 +13,11 @@ from auditlake.llm.common import Tables, documents
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.edited_pairs(documents(spark, sf_dir))
-    both = ("sketch", "edited_sketch"), ("sketch", "next_sketch")
     return pairs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        *[fingerprints.containment(F.col(a), F.col(b)).alias(n) for (a, b), n in zip(both, ("near_edited", "near_next"))],
-        *[fingerprints.resemblance(F.col(a), F.col(b)).alias(n) for (a, b), n in zip(both, ("resemblance_edited", "resemblance_next"))],
+        *[fingerprints.likeness("text", other).alias(f"near_{other}") for other in ("edited", "next")],
+        *[fingerprints.likeness("text", other, jaccard=True).alias(f"resemblance_{other}") for other in ("edited", "next")],
     )
 
 
@@ -34,9 +33,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.features(media.encode(documents(spark, sf_dir)))
-    feature = F.sha2(F.to_json(F.struct("times", "codes")), 256)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.size("codes").alias("n_pairs"))
+    stored = media.store(documents(spark, sf_dir), Tables(spark, "media").path("wav"))
+    digest = F.sha2(F.to_json(F.struct("times", "codes")), 256).alias("feature")
+    return media.features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", digest, "times", "codes")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

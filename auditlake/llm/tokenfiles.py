@@ -33,7 +33,11 @@ def layout(row_group: int = ROW_GROUP, page: int = PAGE, codec: str = "zstd") ->
 
 
 def tokenized(docs: DataFrame, path: str | None = None, end_id: int | None = 1) -> DataFrame:
-    """doc_id, n_tokens, tokens of each row, in the order of the rows; null texts are empty; end_id ends each document."""
+    """doc_id, n_tokens, tokens of each row, in the order of the rows.
+
+    Null texts are empty; end_id ends each document, also an empty one; repeated rows give a row each; long texts are encoded whole;
+    only doc_id and text are read; an empty table gives an empty result.
+    """
     where = path or vocabulary()
 
     def run(batches):
@@ -90,7 +94,9 @@ def _place():
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
-    """doc_id, file, row, n_tokens, ids_crc32 of read_tokens()' rows: the checksum of the ids as little-endian unsigned 32-bit integers."""
+    """doc_id, file, row, n_tokens, ids_crc32 of read_tokens()' rows: the checksum of the ids as little-endian
+    unsigned 32-bit integers. Equal lists have equal checksums; an empty list has 0; an empty table gives an empty result.
+    """
 
     def run(batches):
         import pyarrow as pa

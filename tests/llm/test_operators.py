@@ -50,14 +50,49 @@ def test_sketches_estimate_containment(spark, real):
     rows = fingerprints.fingerprints(real).join(real.select("doc_id", "text"), "doc_id").collect()
     sets = {r["doc_id"]: (r["sketch"], shingle_set(r["text"])) for r in rows}
     for s, exact in sets.values():
-        assert s == sorted({*s}) and (len(exact) == 0) == (len(s) == 0)
-    big = [(s, e) for s, e in sets.values() if len(e) > 400]
+        assert s["hashes"] == sorted({*s["hashes"]}) and len(exact) == s["n"] and all(x < fingerprints.threshold(fingerprints.SCALE) for x in s["hashes"])
+    big = [(s["hashes"], e) for s, e in sets.values() if len(e) > 400]
     assert all(abs(len(s) * fingerprints.SCALE / len(e) - 1) < 0.6 for s, e in big)
-    pair = spark.createDataFrame([("a b c d e f g h i j", "a b c d e f g h i j"), ("", "!!"), ("a", ""), ("x y", "z")], "a string, b string")
-    got = pair.select(fingerprints.containment(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("c")).collect()
-    assert [r["c"] for r in got] == [1.0, 1.0, 0.0, 0.0]
-    merged = pair.select(fingerprints.merge(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("m"), fingerprints.sketch(F.col("a")).alias("s")).collect()
-    assert merged[0]["m"] == merged[0]["s"] and merged[2]["m"] == merged[2]["s"]
+    draw = random.Random(1)
+    long = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(2000)) for _ in range(20)]
+    pairs = [("a b c", ""), ("", "!!"), *[(" ".join(t.split()[300:900]), t) for t in long], *[(" ".join(t.split()[300:307]), t) for t in long]]
+    one, two = F.col("a"), F.col("b")
+    a, b = fingerprints.sketch(one), fingerprints.sketch(two)
+    both = spark.createDataFrame(pairs, "a string, b string").select(a.alias("x"), b.alias("y"), one, two)
+    got = both.select(fingerprints.containment(F.col("x"), F.col("y")).alias("c"), fingerprints.merge(F.col("x"), F.col("y")).alias("m"), "x", "y").collect()
+    # Parts are wholly contained; a part too short for an estimate has none.
+    assert [r["c"] for r in got] == [0.0, 1.0] + [1.0] * 20 + [None] * 20
+    assert all(r["m"] == sorted({*r["x"]["hashes"], *r["y"]["hashes"]}) for r in got)
+
+
+def test_fingerprint_query(spark, real):
+    """op1: likenesses follow from the fingerprints returned, or from all shingles where these are too small."""
+    docs = ordered(real)
+    got = {r["doc_id"]: r for r in queries.op1_fingerprints(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+
+    def read(text):
+        n, hashes = text.split(":")
+        return int(n), {hashes[i : i + 16] for i in range(0, len(hashes), 16)}
+
+    def want(a, b, x, y):
+        if not x[0] or not y[0]:
+            return float(x[0] == y[0]), float(x[0] == y[0])
+        both = x[1] & y[1]
+        s, t = shingle_set(a), shingle_set(b)
+        contained = len(both) / min(len(x[1]), len(y[1])) if min(len(x[1]), len(y[1])) >= fingerprints.LEAST else len(s & t) / min(len(s), len(t))
+        alike = len(both) / len(x[1] | y[1]) if len(x[1] | y[1]) >= fingerprints.LEAST else len(s & t) / len(s | t)
+        return contained, alike
+
+    for i, (key, text) in enumerate(docs):
+        r, after = got[key], docs[(i + 1) % len(docs)]
+        q = len(text) // 4
+        edited = text[: len(text) - q] + after[1][:q]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        mine = read(r["fingerprint"])
+        assert mine[0] == len(shingle_set(text)) and read(r["edited_fingerprint"])[0] == len(shingle_set(edited))
+        assert np.allclose((r["near_edited"], r["resemblance_edited"]), want(text, edited, mine, read(r["edited_fingerprint"])))
+        assert np.allclose((r["near_next"], r["resemblance_next"]), want(text, after[1], mine, read(got[after[0]]["fingerprint"])))
 
 
 def test_buckets_are_even(spark):
@@ -92,10 +127,34 @@ def test_token_files(spark, real, odd, none):
             want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
         assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got), key=lambda r: r[1]) == want
+    assert len(got) == 0
     some = tokenfiles.read_tokens(spark, out, 1, 3)
     assert "PushedFilters" in some._jdf.queryExecution().executedPlan().toString()
 
 
+def test_token_query_and_file_layout(spark, real, monkeypatch):
+    """op2 over the whole table; its files have dictionary or delta encodings, several pages and page indexes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    roots = []
+    path = Tables.path
+    monkeypatch.setattr(Tables, "path", lambda self, name: roots.append(path(self, name)) or roots[-1])
+    library, start = bpe.Encoder(bpe.vocabulary()).library, 0
+    got = {r["doc_id"]: r for r in queries.op2_token_files(spark, "/root/testdata/sf0.001").collect()}
+    for key, text in ordered(real):
+        ids = library.encode(text, add_special_tokens=False).ids + [1]
+        r = got[key]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    for file in glob.glob(f"{roots[0]}/*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema.split(".")[0]: group.column(i) for i in range(group.num_columns)}
+        assert "RLE_DICTIONARY" in columns["tokens"].encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
+        assert all(c.has_offset_index and c.has_column_index for c in (columns["doc_id"], columns["n_tokens"]))
+
+
 # 3
 
 
@@ -144,6 +203,46 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {i: root(i) for i, _ in rows}
 
 
+@pytest.mark.parametrize("edits", [0.01, 0.02, 0.03])
+def test_recall_of_near_copies(spark, edits):
+    """Of the pairs whose weighted similarity is 0.8 or more, at most one in fifty is not found; of less similar ones, none is."""
+    draw = random.Random(int(edits * 100))
+    rows = []
+    for i in range(150):
+        words = [f"v{draw.randrange(30_000)}" for _ in range(300)]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(f"n{draw.randrange(10**8)}" if draw.random() < edits else w for w in words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    idf = neardup.idf_levels(neardup.document_frequencies(df.select("text")), len(rows), neardup.IDF)
+    like = [exact_similarity(rows[2 * i][1], rows[2 * i + 1][1], None, None, idf) >= neardup.SIMILAR for i in range(150)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    found = [got[2 * i + 1] == 2 * i for i in range(150)]
+    assert not any(f and not k for f, k in zip(found, like)) and sum(found) >= 0.98 * sum(like)
+
+
+def test_near_dedup_query(spark, real):
+    """op3 over the whole table against all pairs."""
+    docs = ordered(real)
+    idf = neardup.idf_levels(neardup.document_frequencies(real.select(F.coalesce("text", F.lit("")).alias("text"))), len(docs), neardup.IDF)
+    parent, links = {i: i for i, _ in docs}, {t: set() for _, t in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(docs, 2):
+        if a == b or exact_similarity(a, b, None, None, idf) >= neardup.SIMILAR:
+            x, y = sorted((root(i), root(j)))
+            parent[y] = x
+            if a != b:
+                links[a].add(b)
+                links[b].add(a)
+    got = {r["doc_id"]: r for r in queries.op3_near_dedup(spark, "/root/testdata/sf0.001").collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {i: root(i) for i, _ in docs}
+    assert all(r["n_links"] <= len(links[t]) for i, t in docs for r in [got[i]])
+
+
 def test_near_copies_within_a_crowd_that_shares_a_passage(spark):
     """Each text is as like the whole crowd (about 0.75) as nearly to be linked, and similar (over 0.8) to one of it alone."""
     draw = random.Random(7)
@@ -199,6 +298,45 @@ def test_peak_pairs_follow_a_tone():
         assert (w.getnchannels(), w.getsampwidth(), w.getnframes()) == (1, 1, 8000)
 
 
+def plain_pairs(payload):
+    """The fingerprint by a plain Fourier sum of each frame and a loop over its peaks."""
+    x = [b - 128 for b in payload]
+    n = max(1, math.ceil(max(0, len(x) - media.FRAME) / media.HOP) + 1)
+    x += [0] * ((n - 1) * media.HOP + media.FRAME - len(x))
+    k = np.arange(media.FRAME)
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), k) / media.FRAME)
+    window = np.hanning(media.FRAME)
+    size = [np.abs(waves @ (window * x[t * media.HOP : t * media.HOP + media.FRAME])) for t in range(n)]
+    best = [[max(range(a, b), key=lambda f: round(s[f], 2)) for a, b in media.BANDS] for s in size]
+    peaks = []
+    for t in range(n):
+        for band in range(len(media.BANDS)):
+            own = size[t][best[t][band]]
+            sides = [size[u][best[u][band]] for u in (t - 1, t + 1) if 0 <= u < n]
+            if own > 1e-2 and all(own >= s - 1e-6 for s in sides):
+                peaks.append((t, best[t][band]))
+    out = []
+    for i, (t, f) in enumerate(peaks):
+        out += [(t, f << 16 | g << 8 | u - t) for u, g in peaks[i + 1 : i + 1 + media.FAN] if u - t <= media.REACH]
+    return sorted(out)
+
+
+def test_media_query(spark, real):
+    """op4 over the whole table: what is stored, and the arrays of short payloads against plain Fourier sums."""
+    got = {r["doc_id"]: r for r in queries.op4_media_columns(spark, "/root/testdata/sf0.001").collect()}
+    close = []
+    for key, text in ordered(real):
+        r, raw = got[key], text.encode()
+        payload = raw + b"\0" * ((-len(raw)) % 64 or (64 if not raw else 0))
+        wav = media.to_wav(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(wav)) and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(wav).hexdigest())
+        if len(payload) < 3000:
+            want, mine = {*plain_pairs(payload)}, {*zip(r["times"], r["codes"])}
+            close.append(len(want & mine) / max(1, len(want | mine)))
+    assert len(got) == real.count() and len(close) > 50 and np.mean(close) > 0.98
+
+
 # 5
 
 
@@ -241,6 +379,11 @@ def test_packing(real, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_query(spark, real):
+    pieces = queries.op5_packing(spark, "/root/testdata/sf0.001").collect()
+    assert check_pieces(ordered(real), pieces) <= 0.02 * sum(p["length"] for p in pieces) + packing.SEQ
+
+
 def test_column_generation_is_optimal():
     draw = random.Random(5)
     for room in (17, 64, 256):
@@ -296,6 +439,18 @@ def test_rates_match_plain_descent(spark, most):
         mixing.fit_rates(table, targets, steps=2, most=most)
 
 
+def test_mixing_query(spark, real):
+    """op6 over the whole table, with its registered parameters, against plain descent on its own posteriors."""
+    rows = queries.op6_mixing(spark, "/root/testdata/sf0.001").collect()
+    p = np.array([[r[f"p_{d}"] for d in mixing.TARGETS] for r in rows])
+    n = np.array([r["n_tokens"] for r in rows], float)
+    want, _ = brute_rates(n, p, [*mixing.TARGETS.values()])
+    rate = np.array([r["rate"] for r in rows])
+    totals = (rate * n) @ p
+    assert len(rows) == real.count() and np.allclose(totals / totals.sum(), [*mixing.TARGETS.values()], rtol=0.02)
+    assert np.abs((rate - want)[n > 0]).max() < 0.05
+
+
 def test_mixing_of_odd_rows(real, odd, none):
     labels = real.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "good").otherwise("low").alias("domain"))
     for df in (real, odd):
@@ -559,9 +714,32 @@ def test_language_id(real, odd, none):
     assert {r["lang_pred"] for r in langid.identify(odd, empty, "doc_id").collect()} == {"und"}
 
 
+def test_language_query(spark, real):
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, "/root/testdata/sf0.001").collect()}
+    rows = real.collect()
+    assert len(got) == len(rows) and all(got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if got[r["doc_id"]]["held_out"] and any(c.isalpha() for c in r["text"] or "")]
+    assert len(held) > 30 and np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held]) > 0.97
+
+
 # 10
 
 
+def test_quality_query(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op10_quality(spark, sf).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5) for i, r in got.items())
+    held = [r for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").collect() if got[r["doc_id"]]["held_out"]]
+    assert len(held) > 100 and np.mean([got[r["doc_id"]]["predicted"] == r["quality"] for r in held]) > 0.95
+
+
+def test_quality_sample_is_bounded(spark, real):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows, y = quality.labelled(real.unionByName(real), labels, cells=20_000)
+    every, _ = quality.labelled(real, labels)
+    assert 0 < len(rows) < len(every) and sum(map(len, rows)) <= 20_000 and len(rows) == len(y)
+
+
 def test_quality(spark, odd, none):
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
