@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import Tables, let, order_key
 
-BINS, SAMPLE, RIDGE, STEPS, TOLERANCE = 1 << 14, 10_000, 1e-4, 1000, 1e-5
+BINS, SAMPLE, RIDGE, STEPS, TOLERANCE = 1 << 14, 10_000, 1e-4, 1000, 1e-4
 #: Steps between two written tables of rates.
 STRIDE = 8
 
