@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import paths as P
 from auditlake.functions.core import evidence, findings
 from auditlake.functions.lazy import lazy_udf
-from auditlake.functions.secrets import PEM_LABELS, secret_candidates, without_overlaps
+from auditlake.functions.secrets import PEM_LABELS, secret_candidates
 from auditlake.operators.findings import capped, running_budget
 from auditlake.operators.lineage import cut
 
@@ -41,7 +41,7 @@ def changed_files(files: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
 def matches(contents: DataFrame) -> DataFrame:
     """path and the spans that remain, one row each; texts with a NUL are binary and skipped."""
     text = contents.where(~F.contains("content", F.lit("\0")))
-    return text.select("path", secret_candidates("content").alias("c")).select("path", F.explode(without_overlaps(F.col("c"))).alias("s")).select("path", "s.*")
+    return text.select("path", F.explode(secret_candidates("content")).alias("s")).select("path", "s.*")
 
 
 def audit(files: DataFrame, contents: DataFrame, certificates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
