@@ -45,7 +45,20 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def main(argv: list[str] | None = None) -> int:
+def connect(at: str):
+    """A DB-API connection through whichever PostgreSQL driver is installed."""
+    import importlib
+
+    for driver in ("psycopg", "psycopg2"):
+        try:
+            return importlib.import_module(driver).connect(at)
+        except ModuleNotFoundError as missing:
+            if missing.name != driver:
+                raise
+    raise RuntimeError("no PostgreSQL driver is installed")
+
+
+def main(argv: list[str] | None = None, connect=connect) -> int:
     args = parser().parse_args(argv)
     if args.json and args.format not in (None, "json"):
         parser().error("--json and another --format exclude each other")
@@ -63,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
                              schemas(getattr(args, "database_schema", None)), getattr(args, "database_timeout", 10_000))
     try:
         old = baseline(spark, args.baseline) if args.baseline else None
-        result = engine.scan(spark, request)
+        result = engine.scan(spark, request, load=engine.catalog_loader(connect, None, os.environ))
         result = result.with_baseline(old) if old is not None else result
         kind = "json" if args.json else args.format or "text"
         color = sys.stdout.isatty() and "NO_COLOR" not in os.environ

@@ -104,7 +104,7 @@ def joined(base: Column, value: Column) -> Column:
     """A value below a base directory, normalised; null if it is absolute, has a backslash or NUL, or leaves the repository."""
     bad = lambda v: F.contains(v, F.lit("\\")) | F.contains(v, F.lit("\0")) | F.startswith(v, F.lit("/"))
     out = lambda w: (w == "..") | F.startswith(w, F.lit("../"))
-    at = lambda v: normalized(F.when(base == ".", v).otherwise(F.concat(base, F.lit("/"), v)))
+    at = lambda v: normalized(F.when(v == "", base).when(base == ".", v).otherwise(F.concat(base, F.lit("/"), v)))
     return let(value, lambda v: let(at(v), lambda w: F.when(~bad(v) & ~out(w), w)))
 
 
@@ -219,6 +219,11 @@ def is_fixture(path: Column) -> Column:
     return F.arrays_overlap(segments(path), F.array(*map(F.lit, FIXTURE_SEGMENTS)))
 
 
+def line_count(content: Column) -> Column:
+    """Lines of a text; an empty one has none, and a line end at the very end begins no line."""
+    return F.when(content == "", F.lit(0)).otherwise(F.size(F.split(content, "\n")) - F.endswith(content, F.lit("\n")).cast("int"))
+
+
 def project_id(root: Column) -> Column:
     return F.when(root == ".", F.lit("root")).otherwise(F.concat(F.lit("project:"), root))
 

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.functions.core import SEVERITIES, STATUS_PRIORITY, finding_order, ranked, severity_rank
+from auditlake.operators.lineage import cut
 
 # Reasons that a path may head in a limitation.
 PATH_REASONS = (
@@ -99,7 +101,10 @@ def bounded_limitations(values: DataFrame, inline: int = INLINE, sample: int = S
     and counts, the rest stay, at most `inline` of them; the summary has exact totals."""
     path, reason = path_scoped(F.col("value"))
     rows = values.select("value").distinct().withColumns({"path": path, "reason": reason})
-    groups = rows.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("total"), F.slice(F.array_sort(F.collect_list("path")), 1, sample).alias("sample_paths"))
+    scoped = rows.where("reason is not null")
+    first = scoped.withColumn("_r", F.row_number().over(W.partitionBy("reason").orderBy("path"))).where(F.col("_r") <= sample)
+    first = first.groupBy("reason").agg(F.array_sort(F.collect_list("path")).alias("sample_paths"))
+    groups = scoped.groupBy("reason").agg(F.count(F.lit(1)).alias("total")).join(first, "reason").select("reason", "total", "sample_paths")
     groups = groups.where(F.col("total") > sample).withColumn("omitted_path_count", F.col("total") - sample)
     loose = rows.join(groups.select("reason"), "reason", "left_anti").select("value")
     kept = loose.orderBy("value").limit(inline)
@@ -126,24 +131,47 @@ def merged_changes(*views: DataFrame) -> DataFrame:
 
 
 def running_budget(files: DataFrame, each: int, total: int, group: list[str] | None = None) -> DataFrame:
-    """files with oversize, and within: whether the sizes up to here, by path, fit the total. What no longer fits ends the run."""
+    """files with oversize, and within: whether the sizes up to here, by path, fit the total. What no longer fits ends the run.
+
+    Without groups the sums are of two levels: ranges of paths, and paths in a range.
+    """
     small = files.where(F.col("size") <= each)
     over = files.where(F.col("size") > each).select("*", F.lit(True).alias("oversize"), F.lit(False).alias("within"))
-    w = W.partitionBy(*(group or [F.lit(0)])).orderBy("path").rowsBetween(W.unboundedPreceding, 0)
-    return small.select("*", F.lit(False).alias("oversize"), (F.sum("size").over(w) <= total).alias("within")).unionByName(over)
+    if group:
+        w = W.partitionBy(*group).orderBy("path").rowsBetween(W.unboundedPreceding, 0)
+        return small.select("*", F.lit(False).alias("oversize"), (F.sum("size").over(w) <= total).alias("within")).unionByName(over)
+    parted = cut(small.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
+    sums, before, rows = parted.groupBy("_part").agg(F.sum("size").alias("n")).orderBy("_part").collect(), 0, []  # a row for each partition
+    for r in sums:
+        rows.append((r["_part"], before))
+        before += r["n"]
+    start = F.broadcast(files.sparkSession.createDataFrame(rows, "_part int, _before bigint"))
+    w = W.partitionBy("_part").orderBy("path").rowsBetween(W.unboundedPreceding, 0)
+    summed = parted.withColumn("_sum", F.sum("size").over(w)).join(start, "_part")
+    return summed.select(*files.columns, F.lit(False).alias("oversize"), (F.col("_sum") + F.col("_before") <= total).alias("within")).unionByName(over)
 
 
 def skipping_budget(files: DataFrame, each: int, total: int) -> DataFrame:
     """files with within: an ordered fold in which what doesn't fit is skipped and a later, smaller one may still fit.
 
-    The fold is sequential by nature: the sizes of one group (column `grp`) are gathered in an array.
+    The fold is sequential by nature: a group (column `grp`) is read in order by one task, which keeps nothing but the sum.
     """
-    rows = files.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("f"))
-    empty = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("ok"))
-
-    def step(s, x):
-        fits = (x["size"] <= each) & (s["used"] + x["size"] <= total)
-        return F.when(fits, F.struct((s["used"] + x["size"]).alias("used"), F.concat(s["ok"], F.array(x["path"])).alias("ok"))).otherwise(s)
-
-    done = rows.select("grp", F.aggregate("f", empty, step)["ok"].alias("ok"))
-    return files.join(done, "grp").withColumn("within", F.array_contains("ok", F.col("path"))).drop("ok")
+    kept = files.select("grp", "path", "size").repartition("grp").sortWithinPartitions("grp", "path")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        group, used, first = None, 0, True
+        for batch in batches:
+            out = []
+            for g, size in zip(batch.column("grp").to_pylist(), batch.column("size").to_pylist()):
+                if first or g != group:
+                    group, used, first = g, 0, False
+                fits = size is not None and size <= each and used + size <= total
+                used += size if fits else 0
+                out.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, "within"])
+
+    done = kept.mapInArrow(fold, T.StructType([*kept.schema.fields, T.StructField("within", T.BooleanType())]))
+    rest = [c for c in files.columns if c not in ("grp", "path", "size")]
+    return done if not rest else files.join(done.drop("size"), ["grp", "path"])

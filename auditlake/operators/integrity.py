@@ -28,7 +28,7 @@ def select_sources(files: DataFrame, each: int = FILE_BYTES, total: int = TOTAL_
     return sized.where("within").select("path", "size"), links.unionByName(big).unionByName(stop)
 
 
-def build_graph(files: DataFrame, contents: DataFrame, projects: DataFrame, manifests: DataFrame, configs: DataFrame, ignored: list[str] | None = None):
+def build_graph(files: DataFrame, contents: DataFrame, projects: DataFrame, manifests: DataFrame, configs: DataFrame, ignored: DataFrame | None = None):
     """(nodes, edges, boundaries, limitations): selection, imports, resolution, first edge of each key, ownership."""
     chosen, notes = select_sources(files)
     read = chosen.join(contents, "path").select("path", source_imports("content").alias("s"))

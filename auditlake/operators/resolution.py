@@ -106,12 +106,13 @@ RELATIVE_NOTES = {
 }
 
 
-def resolve(imports: DataFrame, files: DataFrame, projects: DataFrame, manifests: DataFrame, configs: DataFrame, ignored: list[str] | None = None) -> DataFrame:
+def resolve(imports: DataFrame, files: DataFrame, projects: DataFrame, manifests: DataFrame, configs: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
     """imports (path, kind, specifier, line, col, ordinal) with outcome (internal, external, unsupported), target_path,
     target_exists, missing_target_proof and limitation.
 
     Relative specifiers are looked up first, then schemes are external, then aliases of the nearest configuration apply in
-    the order of their pattern text, then workspace packages by a unique name; all else is external.
+    the order of their pattern text, then workspace packages by a unique name; all else is external. ignored: prefix, the paths
+    that literal ignore rules cover; a target lies under one if an ancestor of it is one, by equality.
     """
     sources = files.where("kind = 'file'").where(P.is_source(F.col("path"))).select("path").distinct()
     key = ["importer_path", "ordinal"]
@@ -125,7 +126,14 @@ def resolve(imports: DataFrame, files: DataFrame, projects: DataFrame, manifests
     rel = rows.where(F.startswith(spec, F.lit("."))).withColumn("candidates", candidate_paths(P.dirname(importer), spec, importer))
     rel = first_hit(rel, sources, key)
     rel = publication_outputs(rel, manifests)
-    prefixes = F.array(*map(F.lit, ignored)).cast("array<string>") if ignored else F.array().cast("array<string>")
+    none_under = F.array().cast("array<string>")
+    if ignored is None:
+        rel = rel.withColumn("_under", none_under)
+    else:
+        up = rel.where("not target_exists").select(*key, F.explode(P.ancestors(F.col("target_path"))).alias("prefix"))
+        under = up.join(ignored.select("prefix").distinct(), "prefix").groupBy(*key).agg(F.collect_set("prefix").alias("_under"))
+        rel = rel.join(under, key, "left").withColumn("_under", F.coalesce("_under", none_under))
+    prefixes = F.col("_under")
     why = F.when(F.col("target_exists") | ~P.is_explicit_target(spec), "provable").otherwise(disposition(F.col("published"), F.col("target_path"), importer, prefixes))
     said = F.lit("relative source target was not found in the current inventory.")
     for name, text in RELATIVE_NOTES.items():

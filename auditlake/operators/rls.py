@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import rls as R
-from auditlake.functions.core import evidence, findings, json_list
+from auditlake.functions.core import SEVERITIES, evidence, findings, json_list, severity_rank
 from auditlake.operators.closures import component, reachable
 
 DOCTOR = "database/rls"
@@ -159,6 +159,39 @@ def catalog_findings(catalog: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def policies_by_table(policies: DataFrame) -> DataFrame:
+    """schema, table, policies (all fields of each, by name)."""
+    fields = [c for c in policies.columns if c not in ("schema", "table", "name")]
+    return policies.groupBy("schema", "table").agg(F.array_sort(F.collect_list(F.struct("name", *fields))).alias("policies"))
+
+
+def privileges_by_table(privileges: DataFrame) -> DataFrame:
+    """schema, table, privileges (all fields of each, by privilege and grantee)."""
+    fields = [c for c in privileges.columns if c not in ("schema", "table", "privilege", "grantee")]
+    return privileges.groupBy("schema", "table").agg(F.array_sort(F.collect_list(F.struct("privilege", "grantee", *fields))).alias("privileges"))
+
+
+def summary(tables: DataFrame, policies: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: tables, without_rls, policies, findings of each severity and in all, and the highest severity (`none` without any)."""
+    t = tables.agg(F.count(F.lit(1)).alias("tables"), F.count_if(~F.col("rls_enabled")).alias("without_rls"))
+    p = policies.agg(F.count(F.lit(1)).alias("policies"))
+    f = found.agg(
+        *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], F.count(F.lit(1)).alias("findings"), F.coalesce(F.max_by("severity", severity_rank(F.col("severity"))), F.lit("none")).alias("highest")
+    )
+    return t.join(p).join(f)  # a row each
+
+
+def fails(found: DataFrame, threshold: str) -> DataFrame:
+    """failed: whether a finding reaches the threshold; `none` never fails."""
+    least = SEVERITIES.index(threshold) if threshold != "none" else len(SEVERITIES)
+    return found.agg(F.coalesce(F.max(severity_rank(F.col("severity"))) >= least, F.lit(False)).alias("failed"))
+
+
+def of_table(found: DataFrame, schema: str, name: str) -> DataFrame:
+    """The findings on one table."""
+    return found.where(F.exists("evidence", lambda e: (e["schema"] == schema) & (e["table"] == name)))
+
+
 def relevant_roles(catalog: dict[str, DataFrame]) -> DataFrame:
     """name: roles connected to any role that owns, grants or is granted something, or serves the application."""
     members = catalog["memberships"]

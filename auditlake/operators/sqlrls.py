@@ -214,6 +214,11 @@ def affected_streams(streams: DataFrame, changes: DataFrame) -> DataFrame:
     return _streams_of(streams, touched)
 
 
+def unselected_streams(streams: DataFrame, changes: DataFrame) -> DataFrame:
+    """stream_id of streams that no change touches: a changed scope leaves them out, and says so."""
+    return streams.select("stream_id").distinct().join(affected_streams(streams, changes), "stream_id", "left_anti")
+
+
 def _streams_of(streams: DataFrame, paths: DataFrame) -> DataFrame:
     from auditlake.functions.paths import ancestors
 

@@ -17,8 +17,10 @@ from auditlake.operators import closures, coverage, dependencies, findings, inte
 from auditlake.operators.lineage import cut
 from auditlake.plans.scope import changed_scope
 from auditlake.sources import catalog as catalogs
-from auditlake.sources import configs, files, git, locks, migrations
+from auditlake.sources import commands, configs, files, git, locks, migrations
 
+#: Limitations that a coverage row names; the number of the others stands behind them. Bytes of files whose contents are read.
+NOTES, CONTENT_BYTES = 10_000, 20_000_000
 CAPABILITIES = {"run_checks": "checks:execute", "network": "network:access"}
 
 
@@ -60,6 +62,7 @@ class Snapshot:
 class Outcome:
     findings: DataFrame | None = None
     coverage: DataFrame | None = None
+    error: str | None = None
 
 
 class Module(Protocol):
@@ -91,13 +94,18 @@ class Function:
 
 def covered(spark: SparkSession, module: str, scope: str, files_: int, limitations: DataFrame | None, statements: tuple[int, int] | None = None) -> DataFrame:
     """A coverage row: partial with limitations, not-applicable for nothing to examine, else completed."""
-    notes = [r[0] for r in limitations.distinct().orderBy("value").limit(10_000).collect()] if limitations is not None else []
+    notes = []
+    if limitations is not None:
+        rows = limitations.select("value").distinct()
+        notes = [r[0] for r in rows.orderBy("value").limit(NOTES + 1).collect()]
+        if len(notes) > NOTES:
+            notes = [*notes[:NOTES], f"{rows.count() - NOTES} additional limitations omitted after deterministic sampling."]
     status = "partial" if notes else "not-applicable" if not files_ else "completed"
     return spark.createDataFrame([(module, status, scope, files_, *(statements or (None, None)), notes)], S.COVERAGE)
 
 
 def project_module(s: Snapshot) -> Outcome:
-    return Outcome(projects.structural_findings(s["projects"], s["files"], s["manifests"], s["workspaces"]), covered(s.spark, "project", "repository", s["files"].count(), None))
+    return Outcome(projects.structural_findings(s["projects"], s["files"], s["manifests"], s["workspaces"]), covered(s.spark, "project", "repository", s["files"].count(), s["content_notes"]))
 
 
 def graph_module(s: Snapshot) -> Outcome:
@@ -112,8 +120,14 @@ def integrity_module(s: Snapshot) -> Outcome:
 
 
 def checks_module(s: Snapshot) -> Outcome:
+    """Runs the planned checks, unless their runs are given. One that ran out of time fails the module."""
     runs = s.get("check_runs")
-    return Outcome(None if runs is None else projects.check_findings(runs), covered(s.spark, "checks", "repository", s["plans"].count(), None))
+    if runs is None:
+        runs = cut(commands.run_plans(s.spark, s.request.root, s["plans"]))
+        s.frames["check_runs"] = runs
+    late = [r[0] for r in runs.where("timed_out").select("label").orderBy("label").collect()]
+    skipped = runs.where("status = 'skipped'").select(F.concat("label", F.lit(" could not be started.")).alias("value"))
+    return Outcome(projects.check_findings(runs), covered(s.spark, "checks", "repository", s["plans"].count(), skipped), f"{', '.join(late)} ran out of time." if late else None)
 
 
 def secrets_module(s: Snapshot) -> Outcome:
@@ -146,6 +160,7 @@ def sql_module(s: Snapshot) -> Outcome:
     notes = None
     if s.request.changed:
         keep = sqlrls.affected_streams(streams, s["changes"])
+        left_out = cut(sqlrls.unselected_streams(streams, s["changes"]))
         gone = sqlrls.missing_history(streams, s["changes"])
         streams = streams.join(keep, "stream_id", "left_semi")
         notes = gone.select(F.concat("stream_id", F.lit(": historical migration content is unavailable.")).alias("value"))
@@ -155,6 +170,9 @@ def sql_module(s: Snapshot) -> Outcome:
     rows = state.select(F.lit(sqlrls.DOCTOR).alias("module_id"), "status", F.col("stream_id").alias("scope"), F.lit(None).cast("bigint").alias("files_examined"), "statements_examined", "statements_recognized", "limitations")
     if notes is not None:
         rows = rows.unionByName(notes.select(F.lit(sqlrls.DOCTOR).alias("module_id"), F.lit("partial").alias("status"), F.lit("history").alias("scope"), *[F.lit(None).cast("bigint").alias(c) for c in ("files_examined", "statements_examined", "statements_recognized")], F.array("value").alias("limitations")))
+    if s.request.changed:
+        said = F.array(F.lit("No changed migration is part of this stream."))
+        rows = rows.unionByName(left_out.select(F.lit(sqlrls.DOCTOR).alias("module_id"), F.lit("not-selected").alias("status"), F.col("stream_id").alias("scope"), *[F.lit(None).cast("bigint").alias(c) for c in ("files_examined", "statements_examined", "statements_recognized")], said.alias("limitations")))
     empty = covered(s.spark, sqlrls.DOCTOR, "repository", 0, None).join(rows.agg((F.count(F.lit(1)) == 0).alias("e"))).where("e").drop("e")
     return Outcome(sqlrls.static_findings(cut(sqlrls.replay(ops))), rows.unionByName(empty))
 
@@ -203,15 +221,15 @@ def take_snapshot(spark: SparkSession, request: Request, runner: git.Runner = gi
     listed = files.walk(request.root, patterns)
     s.frames["files"] = spark.createDataFrame(listed, S.FILES).cache()
     text_paths = [p for p, kind, _ in listed if kind == "file"]
-    s.frames["contents"] = files.contents(spark, request.root, text_paths, 20_000_000).cache()
+    s.frames["contents"] = files.contents(spark, request.root, text_paths, CONTENT_BYTES).cache()
+    s.frames["content_notes"] = s["files"].where(F.col("size") > CONTENT_BYTES).select(F.concat("path", F.lit(f": content exceeds the {CONTENT_BYTES}-byte limit and was not read.")).alias("value"))
     s.frames["manifests"] = files.manifests(s["files"], s["contents"]).cache()
     s.frames["projects"] = projects.detect(s["files"], s["manifests"]).cache()
     s.frames["workspaces"] = projects.workspaces(s["manifests"], s["projects"]).cache()
     aliases, alias_notes = configs.alias_configs(s["files"], s["contents"])
     prefixes, big = files.ignore_prefixes(s["files"], s["contents"])
-    ignored = [r[0] for r in prefixes.orderBy("prefix").limit(10_000).collect()]
-    nodes, edges, boundaries, notes = integrity.build_graph(s["files"], s["contents"], s["projects"], s["manifests"], aliases, ignored)
-    s.frames |= {"nodes": nodes.cache(), "edges": edges.cache(), "boundaries": boundaries, "graph_notes": notes.unionByName(alias_notes).unionByName(big).distinct().cache()}
+    nodes, edges, boundaries, notes = integrity.build_graph(s["files"], s["contents"], s["projects"], s["manifests"], aliases, prefixes)
+    s.frames |= {"nodes": nodes.cache(), "edges": edges.cache(), "boundaries": boundaries, "graph_notes": notes.unionByName(alias_notes).unionByName(big).unionByName(s["content_notes"]).distinct().cache()}
     if request.changed:
         s.base, changes = git.changes(spark, request.root, request.base, runner)
         s.frames["changes"] = changes.cache()
@@ -248,7 +266,7 @@ def run_modules(snapshot: Snapshot, modules: list[Module], allowed: frozenset[st
             continue
         found += [f] if f is not None else []
         cover += [c] if c is not None else []
-        runs.append((m.id, "completed", int(1000 * (time.monotonic() - began)), None, None))
+        runs.append((m.id, "failed" if out.error else "completed", int(1000 * (time.monotonic() - began)), out.error, None))
     return findings.union(*found), findings.union(*cover), spark.createDataFrame(runs, S.RUNS)
 
 

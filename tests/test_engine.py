@@ -2,11 +2,13 @@
 
 import json
 import subprocess
+import time
 
 import pytest
 
 from auditlake import cli
 from auditlake.plans import engine, reports
+from auditlake.sources import catalog, commands
 from auditlake.sources import files as sources
 
 TOKEN = "gh" + "p_" + "a1B2c3D4e5F6g7H8i9J0k1L2"
@@ -99,3 +101,82 @@ def test_command_line(capsys):
         cli.main(["audit", ".", "--json", "--format", "text"])
     assert cli.schemas([" a ", "a", "b", ""]) == ("a", "b") and cli.schemas(None) == ("public",)
     capsys.readouterr()
+
+
+class Catalog:
+    """A database that answers the catalog's queries, and remembers what became of the transaction."""
+
+    def __init__(self):
+        self.said, self.closed = [], False
+
+    def cursor(self):
+        return self
+
+    def execute(self, sql, parameters=()):
+        self.said.append(sql)
+
+    def fetchone(self):
+        return ("170002",)
+
+    def fetchall(self):
+        rows = {
+            "tables": [("public", "t", "boss", False, False, False, 1)], "policies": [], "relation_privileges": [("public", "t", "boss", 5, "anon", "SELECT", False)], "schema_privileges": [("public", "boss", 0, None, "USAGE", False)],
+            "default_privileges": [], "roles": [("anon", False, False, True)], "memberships": [],
+        }
+        return rows[next(k for k, v in catalog.QUERIES.items() if v == self.said[-1])]
+
+    def close(self):
+        self.closed = True
+
+
+def test_command_line_reads_a_database(repository, capsys, monkeypatch):
+    monkeypatch.setenv("DATABASE_URL", "postgres://me:hidden-word@db.test/x")
+    database, seen = Catalog(), []
+    args = ["audit", str(repository[0]), "--with-database", "--json", "--fail-on", "none"]
+    assert cli.main(args, connect=lambda at: seen.append(at) or database) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert "database/rls/rls-disabled-exposed" in {f["ruleId"] for f in report["findings"]} and database.closed and database.said[-1] == "commit" and seen == ["postgres://me:hidden-word@db.test/x"]
+
+    def refuse(at):
+        raise RuntimeError(f"can't reach {at}")
+
+    assert cli.main(args, connect=refuse) == 2
+    out = capsys.readouterr().out
+    assert "hidden-word" not in out and "can't reach" in out
+
+
+def test_planned_checks_are_run(spark, tmp_path):
+    plans = spark.createDataFrame(
+        [("p:1", "p", "one", "sh", ["-c", "echo $CI $SECRET_TOKEN; exit 3"], ".", 5000, 0), ("p:2", "p", "two", "sh", ["-c", "sleep 60 & sleep 60"], ".", 300, 1), ("p:3", "p", "three", "no-such-program", [], ".", 5000, 2), ("p:4", "p", "four", "sh", ["-c", "yes | head -c 100000; echo hush-hush"], ".", 5000, 3)],
+        "plan_id string, project_id string, label string, executable string, args array<string>, cwd string, timeout_ms int, position int",
+    )
+    import os
+
+    began = time.monotonic()
+    runs = {r["label"]: r for r in commands.run_plans(spark, str(tmp_path), plans, {"PATH": os.environ["PATH"], "SECRET_TOKEN": "hush-hush"}).collect()}
+    assert {k: (r["status"], r["exit_code"]) for k, r in runs.items() if k != "two"} == {"one": ("failed", 3), "three": ("skipped", None), "four": ("passed", 0)}
+    assert runs["two"]["status"] == "timed-out" and runs["two"]["timed_out"] and time.monotonic() - began < 20
+    assert runs["one"]["output"].strip() == "1" and len(runs["four"]["output"]) <= commands.OUTPUT
+
+
+def test_checks_module_runs_plans(spark, repository):
+    request = engine.Request(str(repository[0]), run_checks=True)
+    result = engine.scan(spark, request, modules=[m for m in engine.modules_for(request) if m.id == "checks"])
+    runs = result.snapshot["check_runs"].collect()
+    assert {r["plan_id"] for r in runs} == {"root:javascript:test", "root:javascript:lint"}
+    assert result.runs.first()["status"] == "completed"
+
+
+def test_no_limitation_is_lost(spark):
+    many = spark.range(engine.NOTES + 5).selectExpr("concat('note ', id) as value")
+    row = engine.covered(spark, "m", "s", 1, many).first()
+    assert len(row["limitations"]) == engine.NOTES + 1 and row["limitations"][-1].startswith("5 additional limitations")
+
+
+def test_many_ignore_rules_hold(spark, tmp_path):
+    """Every ignore rule counts, however many there are."""
+    write(tmp_path, {".gitignore": "\n".join(f"out{i}/" for i in range(10_500)), "src/a.ts": "import '../out9999/gone.ts';\nimport './lost.ts';\n", "package.json": "{}"})
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    s = engine.take_snapshot(spark, engine.Request(str(tmp_path)))
+    proofs = {r["target_path"]: r["missing_target_proof"] for r in s["edges"].collect()}
+    assert proofs == {"out9999/gone.ts": None, "src/lost.ts": "relative-explicit"}
