@@ -50,8 +50,8 @@ IDENTIFIERS = (
 AROUND, DICTIONARY, TOP, SURROUNDINGS = 200, 64 << 10, 20_000, 8
 #: First lengths of the ranges with a threshold each, planted strings for each, and the share of identifiers that may be taken for secrets.
 RANGES, PLANTED, MISTAKEN = (8, 12, 16, 24), 600, 0.002
-#: Words whose surroundings a task counts before it hands them on.
-HELD = 200_000
+#: Words whose surroundings a task counts before it hands them on; tasks that look for the most frequent ones.
+HELD, TAKERS = 200_000, 8
 MARKER, BODY = re.compile("-----(BEGIN|END)", re.IGNORECASE | re.ASCII), re.compile(r"[ \t]*[A-Za-z0-9+/=]+[ \t\r]*(?:\n|\Z)")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Classes of the code of letter pairs: letters, one for a word's edge.
@@ -93,7 +93,8 @@ def corpus_words(docs: DataFrame, top: int = TOP, surroundings: int = SURROUNDIN
             yield flush()
 
     found = docs.select("text").mapInArrow(count, "word string, n bigint, bits bigint").groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"))
-    found = found.where(F.bit_count("bits") >= surroundings).orderBy(F.desc("n"), "word").limit(top)
+    # Each task hands its own top to the driver, so few tasks do this: no more than TAKERS x top words are sent.
+    found = found.where(F.bit_count("bits") >= surroundings).select("word", "n").repartition(TAKERS).orderBy(F.desc("n"), "word").limit(top)
     return [r["word"] for r in found.select("word").collect()]
 
 
