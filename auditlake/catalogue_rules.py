@@ -17,6 +17,7 @@ from auditlake.functions import core, packages as N, paths as P, redaction, rls
 from auditlake.functions.lazy import lazy_udf
 from auditlake.functions.sqltext import sql_operation, sql_statements
 from auditlake.operators import closures, coverage, dependencies, findings, projects, resolution, rls, secrets, sqlrls
+from auditlake.operators.lineage import cut
 from auditlake.sources import configs, files, git, locks, migrations
 
 
@@ -281,7 +282,7 @@ def v_streams(spark, d) -> tuple[DataFrame, DataFrame]:
 def r32_static_rules(spark, d) -> DataFrame:
     """All rules on the replayed tables of a stream for each customer."""
     ops, _ = sqlrls.operations(*v_streams(spark, d))
-    found = sqlrls.static_findings(sqlrls.replay(ops))
+    found = sqlrls.static_findings(cut(sqlrls.replay(ops)))
     return found.select("path", F.substring_index("rule_id", "/", -1).alias("rule"), "severity", "line", "fingerprint")
 
 

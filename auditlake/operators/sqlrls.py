@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import rls as R
 from auditlake.functions.core import evidence, findings, json_list
 from auditlake.functions.sqltext import sql_operation, sql_statements
-from auditlake.schemas import TABLE_STATE
+from auditlake.operators.lineage import cut
+from auditlake.schemas import GRANT_STATE, POLICY_STATE
 
 DOCTOR = "database/sql-rls"
 OPERATION_FIELDS = "kind schema name enabled policy command permissive roles using_known using_expression check_known check_expression privileges reason".split()
@@ -26,108 +26,63 @@ def operations(streams: DataFrame, contents: DataFrame) -> tuple[DataFrame, Data
     return rows, split.where("s.trouble is not null").select("stream_id", "path", F.col("s.trouble").alias("trouble"))
 
 
-class Table:
-    """A table's state under replay; None stands for unknown."""
-
-    def __init__(self, key: tuple[str, str], at: dict, created: bool):
-        off, seen = (False, at) if created else (None, None)
-        self.state = {"schema": key[0], "name": key[1], "declared": created, "dropped": False, "rls_enabled": off, "force_rls": off, "policies_complete": created,
-                      "grants_complete": created, "last_evidence": at, "rls_evidence": seen, "force_rls_evidence": seen}
-        self.policies: dict[str, dict] = {}
-        self.grants: dict[tuple[str, str], dict] = {}
-
-    def apply(self, op: dict, at: dict) -> None:
-        self.state |= {"last_evidence": at, "dropped": False}
-        getattr(self, op["kind"].replace("-", "_"))(op, at)
-
-    def drop_table(self, op, at):
-        self.state["dropped"] = True
-        self.policies.clear()
-        self.grants.clear()
-
-    def set_rls(self, op, at):
-        self.state |= {"rls_enabled": op["enabled"], "rls_evidence": at}
-
-    def set_force_rls(self, op, at):
-        self.state |= {"force_rls": op["enabled"], "force_rls_evidence": at}
-
-    def create_policy(self, op, at):
-        parts = ("command", "permissive", "using_known", "using_expression", "check_known", "check_expression")
-        self.policies[op["policy"]] = {"name": op["policy"], "roles": list(op["roles"]), **{k: op[k] for k in parts}, **dict.fromkeys(("evidence", "roles_evidence", "using_evidence", "check_evidence"), at)}
-
-    def alter_policy(self, op, at):
-        p = self.policies.setdefault(op["policy"], {"name": op["policy"], "command": None, "permissive": None, "roles": None, "using_known": False, "using_expression": None,
-                                                    "check_known": False, "check_expression": None, "roles_evidence": None, "using_evidence": None, "check_evidence": None})
-        p["evidence"] = at
-        if op["roles"] is not None:
-            p |= {"roles": list(op["roles"]), "roles_evidence": at}
-        for part in ("using", "check"):
-            if op[f"{part}_known"]:
-                p |= {f"{part}_known": True, f"{part}_expression": op[f"{part}_expression"], f"{part}_evidence": at}
-
-    def drop_policy(self, op, at):
-        self.policies.pop(op["policy"], None)
-
-    def grant(self, op, at):
-        for role in op["roles"]:
-            for p in op["privileges"]:
-                self.grants[p, role] = {"role": role, "privilege": p, "evidence": at}
-
-    def revoke(self, op, at):
-        for role in op["roles"]:
-            for p in op["privileges"]:
-                self.grants.pop((p, role), None)
-
-    def row(self) -> dict:
-        return self.state | {"policies": [self.policies[k] for k in sorted(self.policies)], "grants": [self.grants[k] for k in sorted(self.grants)]}
-
-
-def replayed(ops) -> list[dict]:
-    """Final table rows of (op, evidence) pairs in order. CREATE TABLE always starts a table anew; whatever follows a DROP revives it."""
-    tables: dict[tuple[str, str], Table] = {}
-    for op, at in ops:
-        if op["kind"] in ("ignored", "unsupported-relevant"):
-            continue
-        key = op["schema"], op["name"]
-        if op["kind"] == "create-table":
-            tables[key] = Table(key, at, True)
-        else:
-            if key not in tables:
-                tables[key] = Table(key, at, False)
-            tables[key].apply(op, at)
-    return [tables[k].row() for k in sorted(tables)]
-
-
-def _clean(value):
-    """Arrow's missing values as None."""
-    if isinstance(value, (list, tuple)) or hasattr(value, "tolist") and not isinstance(value, (str, bytes)) and getattr(value, "ndim", 0):
-        return [*value]
-    return None if value is None or value is pd.NA or value != value else value
+TABLE = ["stream_id", "schema", "name"]
+POLICY_CHANGES, GRANT_CHANGES = ("create-policy", "alter-policy", "drop-policy"), ("grant", "revoke")
 
 
 def replay(ops: DataFrame) -> DataFrame:
-    """The final state of every table, a group for each table: operations on one table never touch another's state."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["position", "ordinal"], kind="stable")
-        pairs = [({k: _clean(v) for k, v in zip(OPERATION_FIELDS, r[1:])}, {"path": p, "line": int(n)}) for r, p, n in zip(pdf[["kind", *OPERATION_FIELDS]].itertuples(index=False), pdf["path"], pdf["line"])]
-        return pd.DataFrame([{"stream_id": pdf["stream_id"].iloc[0], **t} for t in replayed(pairs)], columns=[c.split()[0] for c in _columns(TABLE_STATE)])
-
-    flat = ops.where(~F.col("op.kind").isin("ignored", "unsupported-relevant")).select("stream_id", "path", "position", "ordinal", "line", "op.*")
-    return flat.groupBy("stream_id", "schema", "name").applyInPandas(fold, TABLE_STATE)
-
-
-def _columns(ddl: str) -> list[str]:
-    """Top-level column definitions of a DDL text."""
-    out, depth, part = [], 0, ""
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(part.strip())
-            part = ""
-        else:
-            part += c
-    return [*out, part.strip()]
+    """The final state of every table. Operations on one table never touch another's state.
+
+    A table's life begins anew with its last CREATE TABLE, and its policies and grants also with its last DROP TABLE, which whatever
+    follows revives. In a life the last operation on a flag, a grant or a part of a policy decides.
+    """
+    at = F.struct("path", F.col("line").cast("int").alias("line")).alias("at")
+    flat = ops.where(~F.col("op.kind").isin("ignored", "unsupported-relevant")).select("stream_id", "op.*", F.struct("position", "ordinal").alias("seq"), at)
+    flat = flat.select(*TABLE, *[c for c in OPERATION_FIELDS if c not in ("schema", "name", "reason")], "seq", "at")
+    kind = lambda *k: F.when(F.col("kind").isin(*k), F.col("seq"))
+    lives = flat.groupBy(*TABLE).agg(F.max(kind("create-table")).alias("born"), F.max(kind("create-table", "drop-table")).alias("cleared"))
+    live = cut(flat.join(lives, TABLE).where(F.col("born").isNull() | (F.col("seq") >= F.col("born"))))
+    flag = lambda k: F.max_by(F.struct("enabled", "at"), kind(k))
+    tables = live.groupBy(*TABLE).agg(
+        F.max("born").isNotNull().alias("declared"), (F.max_by("kind", "seq") == "drop-table").alias("dropped"), F.max_by("at", "seq").alias("last"), F.max_by("at", kind("create-table")).alias("made"),
+        flag("set-rls").alias("rls"), flag("set-force-rls").alias("force"),
+    )
+    after = live.where(F.col("cleared").isNull() | (F.col("seq") > F.col("cleared")))
+    j = tables.join(_replayed_policies(after), TABLE, "left").join(_replayed_grants(after), TABLE, "left")
+    off = F.when(F.col("declared"), F.lit(False))
+    listed = lambda c, ddl: F.coalesce(c, F.array().cast(ddl)).alias(c)
+    return j.select(
+        *TABLE, "declared", "dropped", F.coalesce("rls.enabled", off).alias("rls_enabled"), F.coalesce("force.enabled", off).alias("force_rls"), F.col("declared").alias("policies_complete"), F.col("declared").alias("grants_complete"),
+        listed("policies", f"array<{POLICY_STATE}>"), listed("grants", f"array<{GRANT_STATE}>"), F.col("last").alias("last_evidence"), F.coalesce("rls.at", "made").alias("rls_evidence"), F.coalesce("force.at", "made").alias("force_rls_evidence"),
+    )
+
+
+def _replayed_grants(after: DataFrame) -> DataFrame:
+    """The grants that no later revocation takes back, in order of privilege and role."""
+    each = after.where(F.col("kind").isin(*GRANT_CHANGES)).select(*TABLE, "seq", "kind", "at", F.explode("privileges").alias("privilege"), "roles").select(*TABLE, "seq", "kind", "at", "privilege", F.explode("roles").alias("role"))
+    last = each.groupBy(*TABLE, "privilege", "role").agg(F.max_by(F.struct("kind", "at"), "seq").alias("l")).where("l.kind = 'grant'")
+    ordered = F.array_sort(F.collect_list(F.struct("privilege", "role", F.col("l.at").alias("evidence"))))
+    return last.groupBy(*TABLE).agg(F.transform(ordered, lambda g: F.struct(g["role"].alias("role"), g["privilege"].alias("privilege"), g["evidence"].alias("evidence"))).alias("grants"))
+
+
+def _replayed_policies(after: DataFrame) -> DataFrame:
+    """Policies since their last creation or removal, by name; of one that was only altered, what was not is unknown."""
+    key = [*TABLE, "policy"]
+    rows = after.where(F.col("kind").isin(*POLICY_CHANGES))
+    lives = rows.groupBy(*key).agg(F.max(F.when(F.col("kind") != "alter-policy", F.col("seq"))).alias("reset"))
+    rows = rows.join(lives, key).where(F.col("reset").isNull() | (F.col("seq") >= F.col("reset")))
+    made, altered = F.when(F.col("kind") == "create-policy", F.col("seq")), F.when(F.col("kind") == "alter-policy", F.col("seq"))
+    part = lambda known, *fields: F.max_by(F.struct(*fields, "at"), F.when(F.col("kind").isin("create-policy", "alter-policy") & known, F.col("seq")))
+    one = rows.groupBy(*key).agg(
+        F.max_by(F.struct("command", "permissive"), made).alias("base"), F.max_by("at", F.coalesce(altered, made)).alias("evidence"), part(F.col("roles").isNotNull(), "roles").alias("r"),
+        part(F.col("using_known"), "using_expression").alias("u"), part(F.col("check_known"), "check_expression").alias("c"),
+    ).where("evidence is not null")
+    state = F.struct(
+        F.col("policy").alias("name"), "base.command", "base.permissive", F.col("r.roles").alias("roles"), F.col("u").isNotNull().alias("using_known"), F.col("u.using_expression").alias("using_expression"), F.col("c").isNotNull().alias("check_known"),
+        F.col("c.check_expression").alias("check_expression"), "evidence", F.col("r.at").alias("roles_evidence"), F.col("u.at").alias("using_evidence"), F.col("c.at").alias("check_evidence"),
+    )
+    by_name = F.array_sort(F.collect_list(F.struct(F.col("policy").alias("n"), state.alias("s"))))
+    return one.groupBy(*TABLE).agg(F.transform(by_name, lambda p: p["s"]).alias("policies"))
 
 
 def stream_coverage(ops: DataFrame, troubles: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import core, imports, packages, paths, redaction, rls, secrets, sqltext
 from auditlake.operators import sqlrls
+from tests.replay_model import replayed
 
 
 def values(spark, rows, expr, names="a"):
@@ -135,7 +136,7 @@ def replay(script):
     for a, _, text in sqltext.split_statements(script)[0]:
         op = dict.fromkeys(sqlrls.OPERATION_FIELDS) | sqltext.read_statement(text)
         ops.append((op, {"path": "m.sql", "line": a}))
-    return {t["name"]: t for t in sqlrls.replayed(ops)}
+    return {t["name"]: t for t in replayed(ops)}
 
 
 def test_replay_quirks():
