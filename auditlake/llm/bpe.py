@@ -14,6 +14,8 @@ import regex
 
 from auditlake.llm.common import worker_cache
 
+#: Characters to encode in one call: the more, the fewer chunks are met again by another one.
+CHARS = 4_000_000
 #: Cached chunks a worker holds at most, and the longest chunk that is cached.
 CACHED, LONGEST = 800_000, 64
 #: A sign beside a point or comma: they would be one piece of text to the pre-tokenizer.
@@ -28,13 +30,13 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 PLAIN, DOUBLED = frozenset(" .,"), ("..", ".,", ",.", ",,")
+ASCII_PLAIN = "".join(c for c in map(chr, range(128)) if c in PLAIN or c.isalnum()).encode()
 
 
 def lone_signs(text: str) -> bool:
     """No point or comma has another sign beside it."""
-    for c in set(text):
-        if c not in PLAIN and not c.isalnum():
-            return not SIGNS.search(text)
+    if text.encode().translate(None, ASCII_PLAIN) if text.isascii() else any(c not in PLAIN and not c.isalnum() for c in set(text)):
+        return not SIGNS.search(text)
     return not any(d in text for d in DOUBLED)
 
 
@@ -68,28 +70,40 @@ class Encoder:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text as an unsigned little-endian array."""
-        split = [spaced(t).split(" ") for t in texts]
+        """Ids of each text as an unsigned little-endian array.
+
+        The texts are split and their chunks numbered by Arrow, so Python meets each different chunk of a call once; the ids are then
+        gathered by those numbers.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pa.array([spaced(t) for t in texts], pa.large_string()), " ")
+        numbered = split.values.dictionary_encode()
+        chunks = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.chunks) > CACHED:
             self.chunks, self.words = {}, {}
         get = self.chunks.get
-        found = [[*map(get, c)] for c in split]
-        gaps = [[k for k, x in enumerate(ids) if x is None] for ids in found]
-        new: set[str] = set()
-        for chunks, at in zip(split, gaps):
-            new.update(map(chunks.__getitem__, at))
-        long = self._learn(new)
-        for chunks, ids, at in zip(split, found, gaps):
-            for k in at:
-                ids[k] = get(chunks[k])
-        out = [np.frombuffer(b"".join(ids), self.kind) for ids in found]
+        found = [*map(get, chunks)]
+        gaps = [k for k, x in enumerate(found) if x is None]
+        long = self._learn([chunks[k] for k in gaps])
+        for k in gaps:
+            found[k] = get(chunks[k])
         for c in long:
             del self.chunks[c]
-        return out
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        table, first = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
+        which = numbered.indices.to_numpy()
+        count = size[which]
+        begin = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(count, out=begin[1:])
+        ids = table[np.repeat(first[which] - begin[:-1], count) + np.arange(begin[-1])]
+        at = begin[split.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
     def _together(self, some: list[str], into: dict[str, bytes]) -> bool:
         """Encodes letter runs in one text; False if its words can't be told apart again."""
-        ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+        ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
         ends = (np.flatnonzero(self.closes[ids]) + 1) * self.kind.itemsize
         if len(ends) != len(some):
             return False
@@ -99,10 +113,10 @@ class Encoder:
             a = b
         return True
 
-    def _learn(self, new: set[str]) -> list[str]:
+    def _learn(self, new: list[str]) -> list[str]:
         runs, parts, rest, words = [], [], [], {}
         for c in new:
-            if c.isascii() and c.isalpha() and c.islower():
+            if c.isalpha() and c.islower() and plain_case(c):
                 runs.append(c)
             elif (m := SIMPLE.fullmatch(c)) and plain_case(c):
                 parts.append((c, m[1].lower(), m[2]))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditlake.llm.bpe import encoder, vocabulary
+from auditlake.llm.bpe import CHARS, encoder, vocabulary
 from auditlake.llm.common import Tables, bucket_of, id_cuts, order_key, small_frame
 from auditlake.llm.textkit import slices
 
@@ -117,7 +117,7 @@ def measured(docs: DataFrame, path: str, end: int, seq: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for first, texts in slices(batch):
+            for first, texts in slices(batch, chars=CHARS):
                 enc = encoder(path)
                 n, crcs = [], []
                 for ids in enc.encode(texts):
@@ -281,7 +281,7 @@ def _checked(rows: DataFrame, path: str, end: int) -> DataFrame:
 
         for batch in batches:
             docs, sizes, pieces = (batch.column(c).to_pylist() for c in ("doc", "n", "pieces"))
-            for first, texts in slices(batch):
+            for first, texts in slices(batch, chars=CHARS):
                 out = []
                 for i, ids in enumerate(encoder(path).encode(texts), first):
                     data = _bytes(ids, end)

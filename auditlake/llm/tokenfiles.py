@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditlake.llm.bpe import encoder, vocabulary
+from auditlake.llm.bpe import CHARS, encoder, vocabulary
 from auditlake.llm.common import small_frame
 from auditlake.llm.textkit import slices
 
@@ -45,7 +45,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int | None = 1)
 
         enc, end = encoder(where), [] if end_id is None else [end_id]
         for batch in batches:
-            for first, texts in slices(batch):
+            for first, texts in slices(batch, chars=CHARS):
                 ids = enc.encode(texts)
                 size = np.fromiter((len(x) + len(end) for x in ids), np.int64, len(ids))
                 flat = np.empty(int(size.sum()), np.int32)
