@@ -6,6 +6,7 @@ sees the inputs alone, the SQL holds the outputs.
 
 from __future__ import annotations
 
+import base64
 import json
 
 import pandas as pd
@@ -560,6 +561,57 @@ def r8_secret_rules(spark, d) -> DataFrame:
     return secrets.secret_findings(secrets.matches(rows)).select("path", F.col("rule_id").alias("rule"), "severity", "line", "col", "fingerprint")
 
 
+# Test vectors of published standards: a secret and its public point on P-256, and two seeds and public keys of Ed25519.
+P256 = bytes.fromhex("c9afa9d845ba75166b5c215767b1d6934e50c3db36e89b127b8a622b120f6721")
+P256_POINT = bytes.fromhex("0460fed4ba255a9d31c961eb74c6356d68c049b8923b61fa6ce669622e60f29fb67903fe1008b8bc99a41ae9e95628bc64f2f1b20c2d7e9f5177a3c294d4462299")
+SEEDS = [bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60"), bytes.fromhex("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb")]
+SEED_KEYS = [bytes.fromhex("d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"), bytes.fromhex("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c")]
+
+
+def der(tag: int, *content: bytes) -> bytes:
+    """A DER value of at most 65,535 bytes."""
+    whole = b"".join(content)
+    n = len(whole)
+    return bytes([tag] + ([n] if n < 128 else [0x81, n] if n < 256 else [0x82, n >> 8, n & 255])) + whole
+
+
+def pem(label: str, data: bytes) -> str:
+    return f"-----BEGIN {label}-----\n{base64.encodebytes(data).decode()}-----END {label}-----\n"
+
+
+ON_P256, ON_25519 = der(6, secrets.EC) + der(6, bytes.fromhex("2a8648ce3d030107")), der(6, secrets.ED25519)
+
+
+def certificate(names: list[str], others: list[tuple[int, bytes]], algorithm: bytes, key: bytes) -> str:
+    """An unsigned certificate of a public key with common names and alternative names."""
+    subject = der(0x30, *[der(0x31, der(0x30, der(6, secrets.COMMON_NAME), der(12, n.encode()))) for n in names])
+    held = [der(0xA3, der(0x30, der(0x30, der(6, secrets.ALTERNATIVE_NAMES), der(4, der(0x30, *[der(*o) for o in others])))))] if others else []
+    empty = der(0x30)
+    return pem("CERTIFICATE", der(0x30, der(0x30, der(0xA0, der(2, b"\2")), der(2, b"\1"), empty, empty, empty, subject, der(0x30, der(0x30, algorithm), der(3, b"\0", key)), *held), empty, der(3, b"\0")))
+
+
+CERTIFICATES = [
+    ("t/a.pem", certificate(["LocalHost"], [(0x82, b"localhost"), (0x87, bytes([127, 0, 0, 9]))], ON_P256, P256_POINT)),
+    ("t/b.crt", certificate([], [(0x87, bytes(15) + b"\1")], ON_25519, SEED_KEYS[0])),
+    ("t/c.cer", certificate(["127.0.0.1"], [(0x82, b"localhost")], ON_25519, SEED_KEYS[1])),
+    ("t/d.pem", certificate(["localhost"], [(0x82, b"localhost"), (0x82, b"h.test")], ON_25519, SEED_KEYS[1])),
+    ("t/e.txt", certificate(["localhost"], [], ON_25519, SEED_KEYS[1])),
+]
+_PRIVATE, _BARE = "PRIVATE" + " KEY", der(0x30, der(2, b"\1"), der(4, P256))
+TEST_KEYS = Cases("content", "start", [
+    ("{s}\n" + pem("EC " + _PRIVATE, der(0x30, der(2, b"\1"), der(4, P256), der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))))), 1), ("{s}\n" + pem(_PRIVATE, der(0x30, der(2, b"\0"), der(0x30, ON_P256), der(4, _BARE))), 1),
+    ("{s}\n" + pem(_PRIVATE, der(0x30, der(2, b"\0"), der(0x30, ON_25519), der(4, der(4, SEEDS[0])))), 1), ("{s}\n" + pem(_PRIVATE, der(0x30, der(2, b"\0"), der(0x30, ON_25519), der(4, der(4, SEEDS[1])))), None), (KEY.format(""), None),
+])
+
+
+@query(f"SELECT 'f' || doc_id AS path, length(source) + 1 AS start FROM documents WHERE doc_id % {len(TEST_KEYS.rows)} < 3")
+def j27_test_keys(spark, d) -> DataFrame:
+    """Private keys on named curves and Ed25519 whose public half a certificate of localhost alone holds; names and files of other kinds match none."""
+    f = TEST_KEYS.frame(spark, d)
+    keys = f.select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "content")
+    return secrets.test_keys(keys, spark.createDataFrame(CERTIFICATES, "path string, content string")).select(F.col("key_path").alias("path"), F.col("key_start").cast("bigint").alias("start"))
+
+
 REDACTED = Cases("text", "clean", [
     ("see https://u:p@h.test/{s} now", "see https://[redacted]@h.test/{s} now"), ("Authorization: Bearer abc.DEF-123 {s}", "Authorization: Bearer [redacted] {s}"), ("key sk-abcdefgh12345678 {s}", "key [redacted] {s}"), ("the hidden-{s}-value is hidden", "the hidden-{s}-value is hidden"),
     ("it says S3cretValue twice S3cretValue", "it says [redacted] twice [redacted]"),

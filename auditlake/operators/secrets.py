@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import paths as P
 from auditlake.functions.core import evidence, findings
+from auditlake.functions.curves import ed25519_public, uncompressed_point
 from auditlake.functions.lazy import lazy_udf
 from auditlake.functions.secrets import PEM_LABELS, secret_candidates
 from auditlake.operators.findings import capped, running_budget
@@ -75,7 +76,7 @@ def secret_findings(found: DataFrame) -> DataFrame:
     )
 
 
-# Localhost test keys: RSA keys whose public half an inventoried, localhost-only certificate carries.
+# Localhost test keys: private keys whose public half an inventoried, localhost-only certificate carries.
 
 
 def _der(data: bytes, at: int = 0):
@@ -104,10 +105,41 @@ def _value(tag: int, content: bytes) -> bytes:
     return bytes([tag]) + _length(len(content)) + content
 
 
-def _rsa_spki(modulus: bytes, exponent: bytes) -> bytes:
-    key = _value(0x30, _value(2, modulus) + _value(2, exponent))
-    algorithm = _value(0x30, _value(6, bytes.fromhex("2a864886f70d010101")) + _value(5, b""))
-    return _value(0x30, algorithm + _value(3, b"\0" + key))
+# Identifiers of a certificate's names and of key algorithms.
+COMMON_NAME, ALTERNATIVE_NAMES = bytes.fromhex("550403"), bytes.fromhex("551d11")
+RSA, EC, ED25519 = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2b6570")
+
+
+def _spki(algorithm: bytes, parameters: bytes, key: bytes) -> bytes:
+    return _value(0x30, _value(0x30, _value(6, algorithm) + parameters) + _value(3, b"\0" + key))
+
+
+def _values(content: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of the DER values that follow one another."""
+    return [(tag, content[x:y]) for tag, _, x, y in _children(content, 0, len(content))]
+
+
+def _fields(data: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of the values in a DER sequence."""
+    return _values(_values(data)[0][1])
+
+
+def _public(data: bytes, algorithm: bytes | None = None, curve: bytes | None = None) -> bytes | None:
+    """The public key, as a certificate holds it, of a private key: wrapped with its algorithm, or bare."""
+    if algorithm == ED25519:
+        return _spki(ED25519, b"", ed25519_public(_values(data)[0][1]))
+    parts = _fields(data)
+    tags = [tag for tag, _ in parts]
+    if algorithm is None and tags[:3] == [2, 0x30, 4]:
+        kind = _values(parts[1][1])
+        return _public(parts[2][1], kind[0][1], kind[1][1] if len(kind) > 1 else None)
+    if algorithm in (None, RSA) and tags[:9] == [2] * 9:
+        return _spki(RSA, _value(5, b""), _value(0x30, _value(2, parts[1][1]) + _value(2, parts[2][1])))
+    if algorithm in (None, EC) and tags[:2] == [2, 4]:
+        named = [_values(content)[0][1] for tag, content in parts if tag == 0xA0]
+        curve = (named or [curve or b""])[0]
+        return _spki(EC, _value(6, curve), uncompressed_point(curve, int.from_bytes(parts[1][1], "big")))
+    return None
 
 
 def _body(pem: str) -> bytes:
@@ -115,50 +147,33 @@ def _body(pem: str) -> bytes:
 
 
 def key_digest(pem: str) -> str | None:
-    """sha256 of the public key of an unencrypted RSA private key; null for anything else."""
+    """sha256 of the public key of an unencrypted RSA, Ed25519 or named-curve private key; null for anything else."""
     try:
-        data = _body(pem)
-        _, a, b = _der(data)
-        parts = [*_children(data, a, b)]
-        if len(parts) < 9 and len(parts) >= 3 and parts[2][0] == 4:
-            inner = data[parts[2][2] : parts[2][3]]
-            _, a, b = _der(inner)
-            data, parts = inner, [*_children(inner, a, b)]
-        if len(parts) < 9 or any(p[0] != 2 for p in parts[:9]):
-            return None
-        return hashlib.sha256(_rsa_spki(data[parts[1][2] : parts[1][3]], data[parts[2][2] : parts[2][3]])).hexdigest()
+        found = _public(_body(pem))
     except (ValueError, IndexError):
         return None
+    return found and hashlib.sha256(found).hexdigest()
 
 
-def loopback(name: str) -> bool:
-    return name == "::1" or bool(re.fullmatch(r"127(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}", name))
+def _local(tag: int, name: bytes) -> bool:
+    """A DNS name localhost, or a loopback address."""
+    return name.lower() == b"localhost" if tag == 0x82 else tag == 0x87 and (name[:1] == b"\x7f" and len(name) == 4 or name == b"\0" * 15 + b"\1")
 
 
 def local_certificate_digest(pem: str) -> str | None:
-    """sha256 of the certificate's public key, if its subject and all alternative names are local; else null."""
+    """sha256 of the certificate's public key, if its common names are localhost alone and its alternative names, of which there are
+    some, are local; without that extension a common name is needed. Else null."""
     try:
-        data = _body(pem)
-        _, a, b = _der(data)
-        tbs = next(_children(data, a, b))
-        fields = [*_children(data, tbs[2], tbs[3])]
-        fields = fields[1:] if fields[0][0] == 0xA0 else fields
-        subject, spki = fields[4], fields[5]
-        names = [data[v[2] : v[3]].decode() for s in _children(data, subject[2], subject[3]) for q in _children(data, s[2], s[3]) for v in [[*_children(data, q[2], q[3])][1]] if data[[*_children(data, q[2], q[3])][0][2] : [*_children(data, q[2], q[3])][0][3]] == bytes.fromhex("550403")]
-        if not names or any(n != "localhost" and not loopback(n) for n in names):
-            return None
-        at = data.find(bytes.fromhex("0603551d11"))
-        if at >= 0:
-            rest = at + 5 + (3 if data[at + 5] == 1 else 0)
-            _, x, y = _der(data, rest)
-            _, x, y = _der(data, x)
-            for tag, _, c, d in _children(data, x, y):
-                raw = data[c:d]
-                ok = raw == b"localhost" if tag == 0x82 else (raw[:1] == b"\x7f" and len(raw) == 4 or raw == b"\0" * 15 + b"\1") if tag == 0x87 else False
-                if not ok:
-                    return None
-        return hashlib.sha256(data[spki[1] : spki[3]]).hexdigest()
-    except (ValueError, IndexError, StopIteration, UnicodeDecodeError):
+        signed = _values(_fields(_body(pem))[0][1])
+        signed = signed[1:] if signed[0][0] == 0xA0 else signed
+        subject, key = signed[4][1], signed[5]
+        pairs = [_values(pair) for _, part in _values(subject) for _, pair in _values(part)]
+        common = [value.decode("utf-16-be" if tag == 30 else "utf-8").lower() for (_, kind), (tag, value) in pairs if kind == COMMON_NAME]
+        extensions = [_values(e) for tag, held in signed[6:] if tag == 0xA3 for _, e in _fields(held)]
+        others = [_fields(e[-1][1]) for e in extensions if e[0][1] == ALTERNATIVE_NAMES]
+        fit = all(names and all(_local(*n) for n in names) for names in others) if others else bool(common)
+        return hashlib.sha256(_value(*key)).hexdigest() if fit and all(n == "localhost" for n in common) else None
+    except (ValueError, IndexError):
         return None
 
 
