@@ -7,6 +7,7 @@ import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.operators.lineage import shared_dir
@@ -117,6 +118,28 @@ def bucket_of(key: Column, cuts: list[int]) -> Column:
     )
 
 
+def place(column: str = "_metadata") -> tuple[Column, Column]:
+    """The number of the written file a row is in, and the row's number in it."""
+    return F.regexp_extract(f"{column}.file_name", r"part-(\d+)", 1).cast("int").alias("file"), F.col(f"{column}.row_index").alias("row_index")
+
+
+def number_rows(rows: DataFrame, order: list[Column], tables: Tables) -> DataFrame:
+    """struct `row` of each row, and `number`: its place, from 0, in the order of the columns given; equal rows take any order.
+
+    The rows are written twice: as they come, which gives each a place of its own, and in ranges of `order`, then of that place,
+    so that one key with any share of the rows is dealt to many tasks. A row's number follows from its place in the second table
+    and the rows of the files before it; there are at most as many files as shuffle partitions, whatever the number of rows.
+    """
+    keys = [f"k{i}" for i in range(len(order))]
+    kept = tables.keep(rows.select(F.struct("*").alias("row"), *[c.alias(k) for c, k in zip(order, keys)]), "rows")
+    kept = kept.withColumn("salt", F.xxhash64("_metadata.file_name", "_metadata.row_index"))
+    ranges = kept.repartitionByRange(*keys, "salt").sortWithinPartitions(*keys, "salt").select("row")
+    ranges = tables.keep(ranges, "ordered", maxRecordsPerFile="0").select("row", *place())
+    before = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = ranges.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", before.alias("first"))
+    return ranges.join(F.broadcast(first), "file").select("row", (F.col("first") + F.col("row_index")).alias("number"))
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A frame of driver-made rows whose number is bounded by a parameter."""
     import pyarrow as pa

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import fingerprints, langid, linededup, media, mixing, neardup, packing, quality, secretscan, tokenfiles
+from auditlake.llm import fingerprints, importance, infill, langid, linededup, media, mixing, neardup, packing, quality, secretscan, sharding, tokenfiles
 from auditlake.llm.common import Tables, documents
 
 
@@ -70,12 +70,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shuffle(sharding.sized(documents(spark, sf_dir)), ties=["size", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(documents(spark, sf_dir), outputs=False)
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_fingerprints, op2_token_files, op3_near_dedup, op4_media_columns, op5_packing, op6_mixing, op7_line_dedup, op8_secret_scans, op9_language_id, op10_quality,
+        op11_sharding, op12_fill_in_middle, op13_importance,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL expresses the whole operator."""
-    return {"op7_line_dedup": linededup.ORACLE}
+    return {"op7_line_dedup": linededup.ORACLE, "op11_sharding": sharding.oracle(), "op12_fill_in_middle": infill.ORACLE, "op13_importance": importance.ORACLE}
