@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import core, packages, paths as P, rls as R, secrets as secret_functions
+from auditlake.functions.imports import source_imports
 from auditlake.operators import closures, coverage, dependencies, findings, integrity, ownership, projects, resolution, rls, secrets, sqlrls
 from auditlake.plans import reports, scope
 
@@ -544,3 +545,45 @@ def x60_missing_target_disposition(spark, d) -> DataFrame:
     i = F.col("doc_id")
     target = F.concat(F.lit("a/"), F.when(i % 5 == 0, "dist/x.ts").when(i % 5 == 1, F.concat(F.lit("fixtures/"), i.cast("string"), F.lit(".ts"))).when(i % 5 == 2, "distant/y.ts").otherwise("out/deep/z.ts"))
     return v_files(spark, d).select("doc_id", resolution.disposition(i % 7 == 0, target, F.col("path"), F.array(F.lit("a/dist"), F.lit("a/out/deep"))).alias("disposition"))
+
+
+# Imports of composed sources: every line of every document is prose in JSX text, in a template or in a comment, an import follows it.
+
+COMPOSED = (".tsx", ".jsx", ".ts", ".js")
+
+
+def v_sources(spark, d) -> DataFrame:
+    """doc_id, path, content: JSX text in a third of the files (never in .ts), a template or a comment in the others."""
+    lines, i3, ends = F.split(F.coalesce("text", F.lit("")), "\n"), F.col("doc_id") % 3, "\r  "
+    ext, wrap = F.get(F.array(*map(F.lit, COMPOSED)), (F.col("doc_id") % 4).cast("int")), F.when((i3 == 0) & (F.col("doc_id") % 4 == 2), 1).otherwise(i3)
+
+    def piece(line, i):
+        element = F.concat(F.lit("<p title=\"it's\">don't "), F.translate(line, "{}<>" + ends, "()()   "), F.lit(" {require(name)}<b>isn't</b></p>"))
+        template = F.concat(F.lit("`"), F.translate(line, "`$\\" + ends, "'" * 3 + " " * 3), F.lit("`"))
+        comment = F.concat(F.lit("/* "), F.translate(line, "*" + ends, "+   "), F.lit(" */ 0"))
+        number = i.cast("string")
+        types = F.concat(F.lit("import type { T"), number, F.lit(" } from './t.js';"))
+        values = F.concat(F.lit("import w"), number, F.lit(" from './m"), (i % 7).cast("string"), F.lit(".js';"))
+        what = F.when(ext.isin(".ts", ".tsx") & (i % 5 == 0), types).otherwise(values)
+        return F.concat(F.lit("const v"), number, F.lit(" = "), F.when(wrap == 0, element).when(wrap == 1, template).otherwise(comment), F.lit(";\n"), F.repeat(F.lit(" "), (i % 3).cast("int")), what, F.lit("\n"))
+
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("src/"), F.col("doc_id").cast("string"), ext).alias("path"), F.array_join(F.transform(lines, piece), "").alias("content"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n, doc_id % 4 AS ext, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 2 THEN 1 ELSE doc_id % 3 END AS wrap FROM documents),
+v AS (SELECT *, NOT (wrap = 0 AND ext = 3) AS parsed, CASE WHEN ext IN (0, 2) THEN (n + 4) // 5 ELSE 0 END AS typed, list_filter(range(n), lambda i: NOT (ext IN (0, 2) AND i % 5 = 0)) AS plain FROM d)
+SELECT doc_id, parsed, CASE WHEN parsed THEN len(plain) ELSE 0 END AS n_static, CASE WHEN parsed THEN typed ELSE 0 END AS n_type_only,
+  CASE WHEN parsed THEN len(list_distinct(list_transform(plain, lambda i: i % 7))) + (typed > 0)::BIGINT ELSE 0 END AS n_targets,
+  CASE WHEN parsed AND wrap = 0 THEN n ELSE 0 END AS n_dynamic, CASE WHEN parsed THEN 2 * n END AS last_line, CASE WHEN parsed THEN 1 + (n - 1) % 3 END AS last_col FROM v
+""")
+def x35_source_imports(spark, d):
+    """Imports found in a source composed of each whole document, with their kinds and the place of the last."""
+    found = v_sources(spark, d).select("doc_id", source_imports("path", "content").alias("s"))
+    all_ = F.col("s.imports")
+    of = lambda kind: F.size(F.filter(all_, lambda i: i["kind"] == kind)).cast("bigint").alias(f"n_{kind.replace('-', '_')}")
+    targets, last = F.size(F.array_distinct(F.transform(all_, lambda i: i["specifier"]))), F.try_element_at(all_, F.lit(-1))
+    return found.select(
+        "doc_id", F.col("s.parsed").alias("parsed"), of("static"), of("type-only"), targets.cast("bigint").alias("n_targets"),
+        F.col("s.dynamic").cast("bigint").alias("n_dynamic"), last["line"].cast("bigint").alias("last_line"), last["col"].cast("bigint").alias("last_col"),
+    )

@@ -31,7 +31,7 @@ def select_sources(files: DataFrame, each: int = FILE_BYTES, total: int = TOTAL_
 def build_graph(files: DataFrame, contents: DataFrame, projects: DataFrame, manifests: DataFrame, configs: DataFrame, ignored: DataFrame | None = None):
     """(nodes, edges, boundaries, limitations): selection, imports, resolution, first edge of each key, ownership."""
     chosen, notes = select_sources(files)
-    read = chosen.join(contents, "path").select("path", source_imports("content").alias("s"))
+    read = chosen.join(contents, "path").select("path", source_imports("path", "content").alias("s"))
     nodes = owned(chosen.select("path"), projects)
     found = read.select("path", F.explode("s.imports").alias("i")).select("path", "i.*")
     resolved = cut(resolve(cut(found), files, projects, manifests, configs, ignored))

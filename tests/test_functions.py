@@ -102,7 +102,7 @@ import 'side';
 """
     found, dynamic = imports.imports(source)
     assert [(k, s) for k, s, _ in found] == [
-        ("static", "./a"), ("type-only", "./t"), ("type-only", "./xy"), ("static", "./zw"), ("re-export", "../e"), ("re-export", "./q"), ("type-only", "./r"), ("require", "b"), ("dynamic-literal", "c"), ("require", "fs"), ("static", "mixed"), ("static", "side"),
+        ("static", "./a"), ("type-only", "./t"), ("type-only", "./xy"), ("static", "./zw"), ("re-export", "../e"), ("re-export", "./q"), ("type-only", "./r"), ("require", "b"), ("dynamic-literal", "c"), ("static", "mixed"), ("static", "side"),
     ]
     assert dynamic == 1
     for broken in ("'abc", "/* x", "`abc"):
