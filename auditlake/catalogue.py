@@ -164,9 +164,9 @@ def j6_import_resolution(spark, d) -> DataFrame:
     i = F.col("doc_id")
     ext = F.when(i % 3 == 0, "").when(i % 3 == 1, ".js").otherwise(".mjs")
     spec = F.concat(F.lit("./"), (i + 20 * (i % 6)).cast("string"), ext)
-    rows = files.select("doc_id", F.col("path").alias("importer_path")).withColumn("candidates", resolution.candidate_paths(P.dirname(F.col("importer_path")), spec, F.col("importer_path")))
+    rows = files.select("doc_id", F.col("path").alias("importer_path")).withColumn("probes", resolution.probes(P.dirname(F.col("importer_path")), spec, F.col("importer_path")))
     sources = files.where("kind = 'file'").where(P.is_source(F.col("path"))).select("path")
-    return resolution.first_hit(rows, sources, ["doc_id", "importer_path"]).select("doc_id", "importer_path", "target_path", "target_exists")
+    return resolution.first_hit(rows, resolution.stem_index(sources), ["doc_id", "importer_path"]).select("doc_id", "importer_path", "target_path", "target_exists")
 
 
 @query(f"""WITH {EDGES}, m AS (SELECT importer, target, target % 6 = 1 AS gone FROM edges), s AS (SELECT importer, target FROM m WHERE gone AND importer % 2 = 0 ORDER BY 'f/' || importer, 'f/' || target LIMIT 1000)

@@ -55,11 +55,11 @@ def findings(
     identity: Column, path: Column | None = None, line: Column | None = None, col: Column | None = None, impact: Column | None = None,
     constraints: Column | None = None, remediation: Column | None = None, located: bool = True,
 ) -> DataFrame:
-    """A row of the findings schema for each row of rows. located: whether the location is part of the fingerprint."""
+    """A row of the findings schema for each row of rows, under their repo_id if they have one. located: whether the location is part of the fingerprint."""
     none = F.lit(None)
     place = (path, line, col) if located else (None, None, None)
     return rows.select(
-        rule.alias("rule_id"), doctor.alias("doctor_id"), severity.alias("severity"), confidence.alias("confidence"), F.lit(category).alias("category"),
+        *[c for c in rows.columns if c == "repo_id"], rule.alias("rule_id"), doctor.alias("doctor_id"), severity.alias("severity"), confidence.alias("confidence"), F.lit(category).alias("category"),
         title.alias("title"), message.alias("message"), (none if path is None else path).cast("string").alias("path"),
         (none if line is None else line).cast("int").alias("line"), (none if col is None else col).cast("int").alias("col"), evidence.alias("evidence"),
         (none if impact is None else impact).cast("string").alias("impact"), (F.array().cast("array<string>") if constraints is None else constraints).alias("remediation_constraints"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditlake.operators.lineage import cut
+from auditlake.operators.findings import first_of_each
+from auditlake.operators.lineage import cut, repo_key
 
 VISITS, LEVELS = 100_000, 10_000
 
@@ -83,7 +84,8 @@ def reported(impact: DataFrame, most: int = 1_000) -> tuple[DataFrame, DataFrame
 
 
 def first_edges(edges: DataFrame, most: int = 100_000) -> DataFrame:
-    """The first edge of each (importer, target, kind, exists), by ordinal; at most `most` of them in source order."""
-    w = W.partitionBy("importer_path", "target_path", "kind", "target_exists").orderBy("ordinal", "line", "col")
+    """The first edge of each (importer, target, kind, exists), by ordinal; at most `most` of them (of each repository) in source order."""
+    k = repo_key(edges)
+    w = W.partitionBy(*k, "importer_path", "target_path", "kind", "target_exists").orderBy("ordinal", "line", "col")
     one = edges.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return one.orderBy("importer_path", "ordinal").limit(most)
+    return first_of_each(one, k, ["importer_path", "ordinal"], most)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.functions.core import SEVERITIES, STATUS_PRIORITY, finding_order, ranked, severity_rank
-from auditlake.operators.lineage import cut
+from auditlake.operators.lineage import cut, repo_key
 
 # Reasons that a path may head in a limitation.
 PATH_REASONS = (
@@ -117,9 +117,17 @@ def bounded_limitations(values: DataFrame, inline: int = INLINE, sample: int = S
 
 
 def capped(found: DataFrame, group: list[str], order: list, each: int, most: int) -> DataFrame:
-    """The first `each` rows of each group, and of those the first `most`, in order; group columns come first in the order."""
-    first = found.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= each).drop("_r")
-    return first.orderBy(*group, *order).limit(most)
+    """The first `each` rows of each group, and of those the first `most` (of each repository), in order; group columns come first in the order."""
+    repo = repo_key(found)
+    first = found.withColumn("_r", F.row_number().over(W.partitionBy(*repo, *group).orderBy(*order))).where(F.col("_r") <= each).drop("_r")
+    return first_of_each(first, repo, [*group, *order], most)
+
+
+def first_of_each(rows: DataFrame, group: list[str], order: list, most: int) -> DataFrame:
+    """The first `most` rows of each group; without groups, of all. Ranks are cut off before anything is shuffled."""
+    if not group:
+        return rows.orderBy(*order).limit(most)
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
 
 
 def merged_changes(*views: DataFrame) -> DataFrame:
@@ -133,21 +141,19 @@ def merged_changes(*views: DataFrame) -> DataFrame:
 def running_budget(files: DataFrame, each: int, total: int, group: list[str] | None = None) -> DataFrame:
     """files with oversize, and within: whether the sizes up to here, by path, fit the total. What no longer fits ends the run.
 
-    Without groups the sums are of two levels: ranges of paths, and paths in a range.
+    Groups (by default, repositories) have a budget each. Sums are of two levels, ranges of paths and paths in a range, so that one
+    group with most of the files is read by many tasks; the sums of ranges are as many as partitions and groups.
     """
+    group = repo_key(files) if group is None else group
     small = files.where(F.col("size") <= each)
     over = files.where(F.col("size") > each).select("*", F.lit(True).alias("oversize"), F.lit(False).alias("within"))
-    if group:
-        w = W.partitionBy(*group).orderBy("path").rowsBetween(W.unboundedPreceding, 0)
-        return small.select("*", F.lit(False).alias("oversize"), (F.sum("size").over(w) <= total).alias("within")).unionByName(over)
-    parted = cut(small.repartitionByRange("path").withColumn("_part", F.spark_partition_id()))
-    sums, before, rows = parted.groupBy("_part").agg(F.sum("size").alias("n")).orderBy("_part").collect(), 0, []  # a row for each partition
-    for r in sums:
-        rows.append((r["_part"], before))
-        before += r["n"]
-    start = F.broadcast(files.sparkSession.createDataFrame(rows, "_part int, _before bigint"))
-    w = W.partitionBy("_part").orderBy("path").rowsBetween(W.unboundedPreceding, 0)
-    summed = parted.withColumn("_sum", F.sum("size").over(w)).join(start, "_part")
+    parted = cut(small.repartitionByRange(*group, "path").withColumn("_part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = parted.groupBy(*group, "_part").agg(F.sum("size").alias("_n"))
+    start = start.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_part").alias("_at"), before.alias("_before"))
+    w = W.partitionBy(*group, "_part").orderBy("path").rowsBetween(W.unboundedPreceding, 0)
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    summed = parted.withColumn("_sum", F.sum("size").over(w)).join(start, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_at")))
     return summed.select(*files.columns, F.lit(False).alias("oversize"), (F.col("_sum") + F.col("_before") <= total).alias("within")).unionByName(over)
 
 

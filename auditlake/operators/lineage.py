@@ -26,6 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def repo_key(frame: DataFrame) -> list[str]:
+    """The columns that tell repositories apart: repo_id in a scan of many, none in a scan of one."""
+    return ["repo_id"] if "repo_id" in frame.columns else []
+
+
+def with_content(chosen: DataFrame, contents) -> DataFrame:
+    """path, content (and repo_id) of chosen files; contents: a relation, or a function that reads what is chosen, without a shuffle of texts."""
+    k = [*repo_key(chosen), "path"]
+    return contents(chosen) if callable(contents) else chosen.select(*k).join(contents.select(*k, "content"), k)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import paths as P
+from auditlake.operators.lineage import repo_key
 
 
 def owned(files: DataFrame, projects: DataFrame, path: str = "path") -> DataFrame:
     """files with project_id, the deepest project (id, root) that holds the path; null where none does."""
-    up = files.select(path).distinct().select(path, F.explode(P.ancestors(F.col(path))).alias("root"))
-    best = up.join(projects.select("id", "root"), "root").groupBy(path).agg(F.max_by("id", F.struct(P.depth(F.col("root")), "id")).alias("project_id"))
-    return files.drop("project_id").join(best, path, "left")
+    k = repo_key(files)
+    up = files.select(*k, path).distinct().select(*k, path, F.explode(P.ancestors(F.col(path))).alias("root"))
+    best = up.join(projects.select(*k, "id", "root"), [*k, "root"]).groupBy(*k, path).agg(F.max_by("id", F.struct(P.depth(F.col("root")), "id")).alias("project_id"))
+    return files.drop("project_id").join(best, [*k, path], "left")
 
 
 def owned_or_first(files: DataFrame, projects: DataFrame, path: str = "path") -> DataFrame:
@@ -24,9 +26,10 @@ def owned_or_first(files: DataFrame, projects: DataFrame, path: str = "path") ->
 def nearest(files: DataFrame, places: DataFrame, path: str = "path") -> DataFrame:
     """files with place, the nearest of places (directory, place) above the path. The root counts one segment and so ties
     with top-level directories; ties go to the first place by text."""
-    up = files.select(path).distinct().select(path, F.explode(P.ancestors(F.col(path))).alias("directory"))
-    best = up.join(places.select("directory", "place"), "directory").groupBy(path).agg(F.min_by("place", F.struct(-P.tied_depth(F.col("directory")), "place")).alias("place"))
-    return files.join(best, path, "left")
+    k = repo_key(files)
+    up = files.select(*k, path).distinct().select(*k, path, F.explode(P.ancestors(F.col(path))).alias("directory"))
+    best = up.join(places.select(*k, "directory", "place"), [*k, "directory"]).groupBy(*k, path).agg(F.min_by("place", F.struct(-P.tied_depth(F.col("directory")), "place")).alias("place"))
+    return files.join(best, [*k, path], "left")
 
 
 def python_owned(files: DataFrame, projects: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import packages as N
 from auditlake.functions import paths as P
 from auditlake.functions.core import evidence, findings
+from auditlake.operators.lineage import repo_key
 from auditlake.operators.ownership import python_owned
 
 # File names that mark an ecosystem, and dependencies that mark a framework.
@@ -24,62 +25,63 @@ def _names(section: str):
 
 def detect(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """The projects that manifests and file names show, one for each directory."""
-    none = F.array().cast("array<string>")
+    none, k = F.array().cast("array<string>"), repo_key(files)
     ok = F.col("status") == "valid"
     direct = F.array_union(_names("dependencies"), _names("devDependencies"))
     node = manifests.select(
-        P.dirname(F.col("path")).alias("root"), F.array(F.lit("node")).alias("ecosystems"),
+        *k, P.dirname(F.col("path")).alias("root"), F.array(F.lit("node")).alias("ecosystems"),
         F.when(ok & F.array_contains(direct, "typescript"), F.array(F.lit("javascript"), F.lit("typescript"))).otherwise(F.array(F.lit("javascript"))).alias("languages"),
         F.when(ok, F.array_compact(F.array(*[F.when(F.array_contains(direct, d), f) for d, f in FRAMEWORKS.items()]))).otherwise(none).alias("frameworks"), F.array("path").alias("manifest_paths"),
         F.when(ok, N.declared_manager(F.get_json_object("data", "$.packageManager"))).alias("declared"), F.when(ok, F.nullif(F.trim(F.get_json_object("data", "$.name")), F.lit(""))).alias("package_name"),
         F.when(ok, F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten(F.array(*map(_names, N.SECTIONS))), F.trim), lambda n: n != "")))).alias("dependency_names"),
     )
-    regular = files.where("kind = 'file'").select("path", P.basename(F.col("path")).alias("n"))
+    regular = files.where("kind = 'file'").select(*k, "path", P.basename(F.col("path")).alias("n"))
     lang = F.lit(None).cast("string")
     for pattern, name in SIGNALS:
         lang = F.when(F.rlike("n", F.lit(pattern)), name).otherwise(lang)
     text = F.lit(None).cast("string")
     extra = {"frameworks": none, "declared": text, "package_name": text, "dependency_names": F.lit(None).cast("array<string>")}
-    marked = regular.withColumn("l", lang).where("l is not null").select(P.dirname(F.col("path")).alias("root"), F.array("l").alias("ecosystems"), F.array("l").alias("languages"), F.array("path").alias("manifest_paths")).withColumns(extra)
-    typed = regular.where(F.rlike("n", F.lit(r"^tsconfig(?:\..+)?\.json\z"))).select(P.dirname(F.col("path")).alias("root"), F.array(F.lit("node")).alias("ecosystems"), F.array(F.lit("javascript"), F.lit("typescript")).alias("languages"), none.alias("manifest_paths")).withColumns(extra)
+    marked = regular.withColumn("l", lang).where("l is not null").select(*k, P.dirname(F.col("path")).alias("root"), F.array("l").alias("ecosystems"), F.array("l").alias("languages"), F.array("path").alias("manifest_paths")).withColumns(extra)
+    typed = regular.where(F.rlike("n", F.lit(r"^tsconfig(?:\..+)?\.json\z"))).select(*k, P.dirname(F.col("path")).alias("root"), F.array(F.lit("node")).alias("ecosystems"), F.array(F.lit("javascript"), F.lit("typescript")).alias("languages"), none.alias("manifest_paths")).withColumns(extra)
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    base = node.unionByName(marked).unionByName(typed).groupBy("root").agg(*map(merged, ("ecosystems", "languages", "frameworks", "manifest_paths")), *[F.max(c).alias(c) for c in ("declared", "package_name", "dependency_names")])
+    base = node.unionByName(marked).unionByName(typed).groupBy(*k, "root").agg(*map(merged, ("ecosystems", "languages", "frameworks", "manifest_paths")), *[F.max(c).alias(c) for c in ("declared", "package_name", "dependency_names")])
     manager = F.lit(None).cast("string")
     for lock, name in N.LOCKFILES.items():
         manager = F.when(F.col("n") == lock, name).otherwise(manager)
-    locks = regular.withColumn("m", manager).where("m is not null").groupBy(P.dirname(F.col("path")).alias("root")).agg(F.when(F.count_distinct("m") == 1, F.min("m")).alias("locked"))
+    locks = regular.withColumn("m", manager).where("m is not null").groupBy(*k, P.dirname(F.col("path")).alias("root")).agg(F.when(F.count_distinct("m") == 1, F.min("m")).alias("locked"))
     supported = F.when(F.arrays_overlap("ecosystems", F.array(F.lit("node"), F.lit("python"))), "supported").otherwise("detected-only")
-    return base.join(locks, "root", "left").select(
-        P.project_id(F.col("root")).alias("id"), "root", "ecosystems", "languages", "frameworks", F.coalesce("declared", "locked").alias("package_manager"), "package_name", "dependency_names", "manifest_paths", supported.alias("execution_support")
+    return base.join(locks, [*k, "root"], "left").select(
+        *k, P.project_id(F.col("root")).alias("id"), "root", "ecosystems", "languages", "frameworks", F.coalesce("declared", "locked").alias("package_manager"), "package_name", "dependency_names", "manifest_paths", supported.alias("execution_support")
     )
 
 
 def workspaces(manifests: DataFrame, projects: DataFrame) -> DataFrame:
     """Workspace patterns with the projects they match: an exact root, or the direct children of a directory."""
+    repo = repo_key(manifests)
     listed = F.coalesce(F.from_json(F.get_json_object("data", "$.workspaces"), "array<string>"), F.from_json(F.get_json_object("data", "$.workspaces.packages"), "array<string>"))
-    rows = manifests.where("status = 'valid'").select(P.dirname(F.col("path")).alias("root"), F.col("path").alias("source_path"), F.explode(listed).alias("raw"))
+    rows = manifests.where("status = 'valid'").select(*repo, P.dirname(F.col("path")).alias("root"), F.col("path").alias("source_path"), F.explode(listed).alias("raw"))
     pattern = P.normalized(F.replace("raw", F.lit("\\"), F.lit("/")))
     star = F.locate("*", F.col("pattern"))
     rows = rows.withColumn("pattern", pattern).withColumn("supported", (star == 0) | (F.endswith("pattern", F.lit("/*")) & (star == F.length("pattern"))))
     whole = P.at_root(F.col("root"), F.col("pattern"))
     rows = rows.withColumns({"exact": F.when(F.col("supported") & (star == 0), whole), "parent": F.when(F.col("supported") & (star > 0), F.regexp_replace(whole, r"/\*\z", ""))})
-    key = ["root", "source_path", "pattern"]
-    a = rows.join(projects.select(F.col("root").alias("hit")), F.col("exact") == F.col("hit")).select(*key, "hit")
-    kids = projects.select(F.col("root").alias("hit"), P.dirname(F.col("root")).alias("_up"))
-    b = rows.join(kids, F.col("parent") == F.col("_up")).where("hit <> root").select(*key, "hit")
+    key = [*repo, "root", "source_path", "pattern"]
+    a = rows.join(projects.select(*repo, F.col("root").alias("hit"), F.col("root").alias("exact")), [*repo, "exact"]).select(*key, "hit")
+    kids = projects.select(*repo, F.col("root").alias("hit"), P.dirname(F.col("root")).alias("parent"))
+    b = rows.join(kids, [*repo, "parent"]).where("hit <> root").select(*key, "hit")
     hits = a.unionByName(b).groupBy(*key).agg(F.array_sort(F.collect_set("hit")).alias("matched_project_roots"))
     out = rows.join(hits, key, "left")
-    return out.select(P.project_id(F.col("root")).alias("owner_project_id"), "source_path", "pattern", "supported", F.coalesce("matched_project_roots", F.array().cast("array<string>")).alias("matched_project_roots"))
+    return out.select(*repo, P.project_id(F.col("root")).alias("owner_project_id"), "source_path", "pattern", "supported", F.coalesce("matched_project_roots", F.array().cast("array<string>")).alias("matched_project_roots"))
 
 
 def conflicting_lockfiles(projects: DataFrame, files: DataFrame) -> DataFrame:
     """root, managers, lockfiles of project roots that hold lockfiles of two managers or more."""
-    manager = F.lit(None).cast("string")
+    manager, k = F.lit(None).cast("string"), repo_key(files)
     name = P.basename(F.col("path"))
     for lock, m in N.LOCKFILES.items():
         manager = F.when(name == lock, m).otherwise(manager)
-    rows = files.where("kind = 'file'").select(P.dirname(F.col("path")).alias("root"), "path", manager.alias("m")).where("m is not null").join(projects.select("root"), "root", "left_semi")
-    return rows.groupBy("root").agg(F.array_sort(F.collect_set("m")).alias("managers"), F.array_sort(F.collect_set("path")).alias("lockfiles")).where(F.size("managers") >= 2)
+    rows = files.where("kind = 'file'").select(*k, P.dirname(F.col("path")).alias("root"), "path", manager.alias("m")).where("m is not null").join(projects.select(*k, "root"), [*k, "root"], "left_semi")
+    return rows.groupBy(*k, "root").agg(F.array_sort(F.collect_set("m")).alias("managers"), F.array_sort(F.collect_set("path")).alias("lockfiles")).where(F.size("managers") >= 2)
 
 
 def structural_findings(projects: DataFrame, files: DataFrame, manifests: DataFrame, spaces: DataFrame) -> DataFrame:
@@ -96,9 +98,10 @@ def structural_findings(projects: DataFrame, files: DataFrame, manifests: DataFr
     lost = spaces.where(F.col("supported") & (F.size("matched_project_roots") == 0))
     r3 = findings(lost, rule=F.lit("repository/missing-workspace"), severity=F.lit("medium"), title=F.lit("A workspace pattern matches no project"), message=F.concat(F.lit("Workspace pattern "), "pattern", F.lit(" matches nothing.")),
                   evidence=F.array(evidence("manifest", F.concat(F.lit("Pattern "), "pattern"), F.col("source_path"))), identity=F.concat("owner_project_id", F.lit(":"), "pattern"), path=F.col("source_path"), **base)
-    tests = files.agg(F.coalesce(F.bool_or((F.col("kind") == "file") & P.looks_like_test(F.col("path"))), F.lit(False)).alias("t"), F.count(F.lit(1)).alias("n"))
-    some = projects.agg((F.count(F.lit(1)) > 0).alias("p"))
-    r4 = findings(tests.join(some).where("p and not t"), rule=F.lit("repository/no-visible-tests"), severity=F.lit("info"), title=F.lit("No tests in sight"), message=F.lit("No file has a common test name or place."),
+    k = repo_key(files)
+    tests = files.groupBy(*k).agg(F.coalesce(F.bool_or((F.col("kind") == "file") & P.looks_like_test(F.col("path"))), F.lit(False)).alias("t"), F.count(F.lit(1)).alias("n"))
+    some = projects.groupBy(*k).agg((F.count(F.lit(1)) > 0).alias("p"))
+    r4 = findings((tests.join(some, k) if k else tests.join(some)).where("p and not t"), rule=F.lit("repository/no-visible-tests"), severity=F.lit("info"), title=F.lit("No tests in sight"), message=F.lit("No file has a common test name or place."),
                   evidence=F.array(evidence("observation", F.concat(F.lit("Inspected "), F.col("n").cast("string"), F.lit(" records.")))), identity=F.lit("repository-no-visible-tests"), **(base | {"confidence": F.lit("medium"), "category": "testing"}))
     return r1.unionByName(r2).unionByName(r3).unionByName(r4)
 

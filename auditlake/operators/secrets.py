@@ -16,7 +16,7 @@ from auditlake.functions.curves import ed25519_public, uncompressed_point
 from auditlake.functions.lazy import lazy_udf
 from auditlake.functions.secrets import PEM_LABELS, secret_candidates
 from auditlake.operators.findings import capped, running_budget
-from auditlake.operators.lineage import cut
+from auditlake.operators.lineage import cut, repo_key, with_content
 
 DOCTOR = "security/secrets"
 FILE_BYTES, TOTAL_BYTES, PER_FILE, TOTAL = 1_000_000, 100_000_000, 100, 1_000
@@ -29,7 +29,7 @@ TITLES = {
 def shareable(files: DataFrame, listed: DataFrame | None) -> DataFrame:
     """Regular files that version control shares; without its list, all but local environment files."""
     regular = files.where("kind = 'file'")
-    return regular.where(~P.is_local_environment(F.col("path"))) if listed is None else regular.join(listed.select("path"), "path", "left_semi")
+    return regular.where(~P.is_local_environment(F.col("path"))) if listed is None else regular.join(listed.select(*repo_key(files), "path"), [*repo_key(files), "path"], "left_semi")
 
 
 def changed_files(files: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -42,24 +42,31 @@ def changed_files(files: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
 def matches(contents: DataFrame) -> DataFrame:
     """path and the spans that remain, one row each; texts with a NUL are binary and skipped."""
     text = contents.where(~F.contains("content", F.lit("\0")))
-    return text.select("path", F.explode(secret_candidates("content")).alias("s")).select("path", "s.*")
+    k = repo_key(contents)
+    return text.select(*k, "path", F.explode(secret_candidates("content")).alias("s")).select(*k, "path", "s.*")
 
 
-def audit(files: DataFrame, contents: DataFrame, certificates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings within the caps; coverage limitations (value)). Sizes beyond the budgets are left out and said so."""
+def audit(files: DataFrame, contents, certificates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings within the caps; coverage limitations (value)). Sizes beyond the budgets are left out and said so.
+
+    contents: a relation or a function that reads what is chosen; certificates: with content, or files to be read."""
+    k = repo_key(files)
     sized = running_budget(files, FILE_BYTES, TOTAL_BYTES)
-    text = sized.where("within").select("path").join(contents, "path")
-    found = cut(matches(text))
-    notes = sized.where("oversize").select(F.concat("path", F.lit(f": file exceeds the {FILE_BYTES}-byte limit.")).alias("value"))
-    notes = notes.unionByName(sized.where("not oversize and not within").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(f"Secret scanning stopped at the {TOTAL_BYTES}-byte total limit.").alias("value")))
+    text = with_content(sized.where("within"), contents)
+    # Candidates and private keys are found in one reading.
+    read = cut(text.where(~F.contains("content", F.lit("\0"))).select(*k, "path", secret_candidates("content").alias("s"), F.when(F.contains("content", F.lit("PRIVATE KEY")), F.col("content")).alias("content")))
+    found = read.select(*k, "path", F.explode("s").alias("s")).select(*k, "path", "s.*")
+    notes = sized.where("oversize").select(*k, F.concat("path", F.lit(f": file exceeds the {FILE_BYTES}-byte limit.")).alias("value"))
+    notes = notes.unionByName(sized.where("not oversize and not within").groupBy(*k).agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(*k, F.lit(f"Secret scanning stopped at the {TOTAL_BYTES}-byte total limit.").alias("value")))
     if certificates is not None:
-        local = test_keys(text, certificates)
-        hit = found.join(local, (found.family == "private-key") & (found.path == local.key_path) & (found.start == local.key_start), "left_semi")
-        notes = notes.unionByName(hit.select(F.concat("path", F.lit(": private key matched an inventoried localhost-only test certificate; no finding was emitted.")).alias("value")).distinct())
-        found = found.join(local, (found.family == "private-key") & (found.path == local.key_path) & (found.start == local.key_start), "left_anti")
+        held = certificates if "content" in certificates.columns else with_content(certificates, contents)
+        local = cut(test_keys(read.where("content is not null"), held)).select(*k, F.col("key_path").alias("path"), F.col("key_start").alias("start"), F.lit("private-key").alias("family"))
+        hit = found.join(local, local.columns, "left_semi")
+        notes = notes.unionByName(hit.select(*k, F.concat("path", F.lit(": private key matched an inventoried localhost-only test certificate; no finding was emitted.")).alias("value")).distinct())
+        found = found.join(local, local.columns, "left_anti")
     order = [F.col("line"), F.col("col"), F.col("detector_id")]
     kept = capped(found, ["path"], order, PER_FILE, TOTAL)
-    over = found.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_FILE).select(F.concat("path", F.lit(f": findings stopped at the {PER_FILE}-finding limit.")).alias("value"))
+    over = found.groupBy(*k, "path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PER_FILE).select(*k, F.concat("path", F.lit(f": findings stopped at the {PER_FILE}-finding limit.")).alias("value"))
     return secret_findings(kept), notes.unionByName(over)
 
 
@@ -181,18 +188,36 @@ _KEY = re.compile("-----BEGIN (" + "|".join(PEM_LABELS) + r")-----.*?-----END \1
 _CERTIFICATE = re.compile(r"-----BEGIN CERTIFICATE-----.*?-----END CERTIFICATE-----", re.S)
 
 
-@lazy_udf("array<struct<start:int,digest:string>>")
-def key_digests(content: pd.Series) -> pd.Series:
-    return content.map(lambda t: [{"start": m.start(), "digest": d} for m in _KEY.finditer(t or "") if (d := key_digest(m[0]))])
+@lazy_udf("array<struct<start:int,pem:string>>")
+def key_blocks(content: pd.Series) -> pd.Series:
+    return content.map(lambda t: [{"start": m.start(), "pem": m[0]} for m in _KEY.finditer(t or "")])
 
 
 @lazy_udf("array<string>")
-def local_certificates(content: pd.Series) -> pd.Series:
-    return content.map(lambda t: [d for m in _CERTIFICATE.finditer(t or "") if (d := local_certificate_digest(m[0]))])
+def certificate_blocks(content: pd.Series) -> pd.Series:
+    return content.map(lambda t: _CERTIFICATE.findall(t or ""))
+
+
+@lazy_udf("string")
+def key_digests(pem: pd.Series) -> pd.Series:
+    return pem.map(key_digest)
+
+
+@lazy_udf("string")
+def local_certificate_digests(pem: pd.Series) -> pd.Series:
+    return pem.map(local_certificate_digest)
 
 
 def test_keys(contents: DataFrame, certificates: DataFrame) -> DataFrame:
-    """key_path, key_start of private keys that a localhost-only certificate matches. certificates: path, content of candidates."""
-    keys = contents.where(F.contains("content", F.lit("PRIVATE KEY"))).select(F.col("path").alias("key_path"), F.explode(key_digests("content")).alias("k")).select("key_path", F.col("k.start").alias("key_start"), F.col("k.digest").alias("digest"))
-    local = certificates.where(P.is_certificate_candidate(F.col("path"))).select(F.explode(local_certificates("content")).alias("digest")).distinct()
-    return keys.join(local, "digest", "left_semi").select("key_path", "key_start")
+    """key_path, key_start of private keys that a localhost-only certificate (of the same repository) matches.
+
+    certificates: path, content of candidates. Each different key and certificate is read once, however often it stands.
+    """
+    k = repo_key(contents)
+    keys = contents.where(F.contains("content", F.lit("PRIVATE KEY"))).select(*k, F.col("path").alias("key_path"), F.explode(key_blocks("content")).alias("b"))
+    keys = keys.select(*k, "key_path", F.col("b.start").alias("key_start"), F.col("b.pem").alias("pem"))
+    held = certificates.where(P.is_certificate_candidate(F.col("path"))).select(*k, F.explode(certificate_blocks("content")).alias("certificate"))
+    digests = keys.select("pem").distinct().select("pem", key_digests("pem").alias("digest"))
+    local = held.select("certificate").distinct().select("certificate", local_certificate_digests("certificate").alias("digest")).where("digest is not null")
+    local = held.join(local, "certificate").select(*k, "digest").distinct()
+    return keys.join(digests, "pem").join(local, [*k, "digest"], "left_semi").select(*k, "key_path", "key_start")

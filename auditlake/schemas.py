@@ -1,6 +1,8 @@
 """Schemas of the relations that the engine reads and makes."""
 
 FILES = "path string, kind string, size bigint"
+#: Of many repositories: a row without a path tells why a repository (or a folder of it) couldn't be listed.
+REPOSITORIES = "repo_id string, path string, kind string, size bigint, problem string"
 CONTENTS = "path string, content string"
 MANIFESTS = "path string, status string, data string, error string"
 PROJECTS = (

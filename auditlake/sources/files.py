@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +13,9 @@ from pyspark.sql import functions as F
 
 from auditlake import schemas as S
 from auditlake.functions import paths as P
+from auditlake.operators.lineage import repo_key
 
-FILES, DEPTH = 100_000, 50
+FILES, DEPTH, IGNORE_BYTES = 100_000, 50, 131_072
 
 
 class InventoryError(ValueError):
@@ -29,33 +32,36 @@ def limit(value: int, name: str) -> int:
     return value
 
 
-def walk(root: str, exclude: list[str] | None = None, max_files: int = FILES, max_depth: int = DEPTH) -> list[tuple[str, str, int]]:
-    """(path, kind, size) of everything below root in order of name. Links are recorded and not followed, excluded and ignored
-    directories never entered; too many files or levels are an error, never a silent cut."""
-    import re
+def excluded(patterns: list[str]) -> list[re.Pattern[str]]:
+    return [re.compile(P.glob_regex(P.exclude_pattern(p))) for p in patterns]
+
+
+def entries(folder: Path, prefix: str, depth: int, patterns: list[re.Pattern[str]], max_depth: int, deep: bool = True) -> Iterator[tuple[str, str, int]]:
+    """(path, kind, size) of a folder's entries and, if deep, of all below, in order of name. Links are recorded and not followed,
+    excluded and ignored directories never entered; too many levels are an error."""
+    if depth > max_depth:
+        raise InventoryError(f"the repository is deeper than {max_depth} levels")
+    for e in sorted(os.scandir(folder), key=lambda e: e.name):
+        path = prefix + e.name
+        if any(p.match(path) or p.match(path + "/") for p in patterns):
+            continue
+        if e.is_symlink():
+            yield path, "symlink", 0
+        elif e.is_dir():
+            if deep and not ignored_directory(e.name):
+                yield from entries(Path(e.path), path + "/", depth + 1, patterns, max_depth)
+        elif e.is_file():
+            yield path, "file", e.stat().st_size
+
 
-    patterns = [re.compile(P.glob_regex(P.exclude_pattern(p))) for p in exclude or []]
+def walk(root: str, exclude: list[str] | None = None, max_files: int = FILES, max_depth: int = DEPTH) -> list[tuple[str, str, int]]:
+    """All entries below root. Too many files or levels are an error, never a silent cut."""
     limit(max_files, "max_files"), limit(max_depth, "max_depth")
     out: list[tuple[str, str, int]] = []
-
-    def enter(folder: Path, prefix: str, depth: int) -> None:
-        if depth > max_depth:
-            raise InventoryError(f"the repository is deeper than {max_depth} levels")
-        for e in sorted(os.scandir(folder), key=lambda e: e.name):
-            path = prefix + e.name
-            if any(p.match(path) or p.match(path + "/") for p in patterns):
-                continue
-            if e.is_symlink():
-                out.append((path, "symlink", 0))
-            elif e.is_dir():
-                if not ignored_directory(e.name):
-                    enter(Path(e.path), path + "/", depth + 1)
-            elif e.is_file():
-                out.append((path, "file", e.stat().st_size))
-            if len(out) > max_files:
-                raise InventoryError(f"the repository has more than {max_files} files")
-
-    enter(Path(root), "", 0)
+    for entry in entries(Path(root), "", 0, excluded(exclude or []), max_depth):
+        out.append(entry)
+        if len(out) > max_files:
+            raise InventoryError(f"the repository has more than {max_files} files")
     return out
 
 
@@ -63,23 +69,29 @@ def inventory(spark: SparkSession, root: str, exclude: list[str] | None = None,
     return spark.createDataFrame(walk(root, exclude, **limits), S.FILES)
 
 
+def read_text(base: Path, path: str, most_bytes: int) -> str | None:
+    """The text of a file inside base (a resolved folder); null for one that is too large, gone, or reached by a link that leaves base."""
+    real = (base / path).resolve()
+    if not real.is_relative_to(base) or not real.is_file() or real.stat().st_size > most_bytes:
+        return None
+    return real.read_bytes().decode("utf-8", "replace")
+
+
 def contents(spark: SparkSession, root: str, paths: list[str], most_bytes: int = 1_048_576) -> DataFrame:
     """path, content of files inside root that are text of at most so many bytes; links that leave root are refused."""
-    base, rows = Path(root).resolve(), []
-    for p in paths:
-        real = (base / p).resolve()
-        if real.is_relative_to(base) and real.is_file() and real.stat().st_size <= most_bytes:
-            rows.append((p, real.read_bytes().decode("utf-8", "replace")))
+    base = Path(root).resolve()
+    rows = [(p, text) for p in paths if (text := read_text(base, p, most_bytes)) is not None]
     return spark.createDataFrame(rows, S.CONTENTS)
 
 
 def manifests(files: DataFrame, texts: DataFrame) -> DataFrame:
     """A row for each package.json: valid with its JSON, or invalid with the reason."""
-    rows = files.where("kind = 'file'").where(P.basename(F.col("path")) == "package.json").select("path").join(texts, "path", "left")
+    k = repo_key(files)
+    rows = files.where("kind = 'file'").where(P.basename(F.col("path")) == "package.json").select(*k, "path").join(texts.select(*k, "path", "content"), [*k, "path"], "left")
     parsed = F.try_parse_json("content")
     whole = parsed.isNotNull() & F.startswith(F.to_json(parsed), F.lit("{"))
     why = F.when(F.col("content").isNull(), "could not be read").when(parsed.isNull(), "is not valid JSON").when(~whole, "is not a JSON object")
-    return rows.select("path", F.when(whole, "valid").otherwise("invalid").alias("status"), F.when(whole, F.col("content")).alias("data"), why.alias("error"))
+    return rows.select(*k, "path", F.when(whole, "valid").otherwise("invalid").alias("status"), F.when(whole, F.col("content")).alias("data"), why.alias("error"))
 
 
 def config(root: str) -> dict:
@@ -115,9 +127,10 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "fingerprint string, severity string")
 
 
-def ignore_prefixes(files: DataFrame, texts: DataFrame, most_bytes: int = 131_072) -> tuple[DataFrame, DataFrame]:
+def ignore_prefixes(files: DataFrame, texts: DataFrame, most_bytes: int = IGNORE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(path prefixes that literal ignore rules cover; limitations (value) of ignore files that are too large)."""
+    k = repo_key(files)
     rows = files.where("kind = 'file'").where(P.basename(F.col("path")) == ".gitignore")
-    big = rows.where(F.col("size") > most_bytes).select(F.concat("path", F.lit(f": ignore evidence exceeds the {most_bytes}-byte limit.")).alias("value"))
-    lines = rows.where(F.col("size") <= most_bytes).join(texts, "path").select("path", F.explode(F.split("content", "\r?\n")).alias("line"))
-    return lines.select(P.ignore_prefix(F.col("path"), F.col("line")).alias("prefix")).where("prefix is not null").distinct(), big
+    big = rows.where(F.col("size") > most_bytes).select(*k, F.concat("path", F.lit(f": ignore evidence exceeds the {most_bytes}-byte limit.")).alias("value"))
+    lines = rows.where(F.col("size") <= most_bytes).join(texts.select(*k, "path", "content"), [*k, "path"]).select(*k, "path", F.explode(F.split("content", "\r?\n")).alias("line"))
+    return lines.select(*k, P.ignore_prefix(F.col("path"), F.col("line")).alias("prefix")).where("prefix is not null").distinct(), big
