@@ -51,7 +51,7 @@ def rows(frame, repo=None):
     return sorted(map(repr, frame.select(*sorted(frame.columns)).collect()))
 
 
-@pytest.mark.parametrize("name", sorted(TREES))
+@pytest.mark.parametrize("name", ["alias", "leaks", "spaces"])
 def test_each_repository_as_alone(spark, root, scanned, name):
     patterns = files.config(str(root / name))["exclude"]
     listed = files.inventory(spark, str(root / name), patterns)
