@@ -82,7 +82,7 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least: int
     t = Tables(docs.sparkSession, "importance")
     table = t.keep(positions(docs, order, buckets), "positions")
     aim = positions(target.select(F.lit(0).alias("doc_id"), "text"), order, buckets)
-    gain = t.keep(gains(counts(table, "s", order), counts(aim, "t", order), buckets).coalesce(1), "gains")
+    gain = t.keep(gains(counts(table, "s", order), counts(aim, "t", order), buckets), "gains")
     found = table
     for n in range(1, order + 1):
         found = found.join(F.broadcast(gain.select(F.col("bucket").alias(f"b{n}"), F.col("gain").alias(f"g{n}"))), f"b{n}", "left")
