@@ -1,66 +1,119 @@
-"""Transitive closures as level-synchronous joins."""
+"""Transitive closures as level-synchronous joins over an append-only table of levels.
+
+A level is written once, with the parent through which each node was reached first, and never again; paths are rebuilt at the end by
+doubling the pointers to parents. What is written is so in proportion to the nodes (and to the paths that are returned).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.operators.findings import first_of_each
-from auditlake.operators.lineage import cut, repo_key
+from auditlake.operators.lineage import cut, repo_key, shared_dir
 
 VISITS, LEVELS = 100_000, 10_000
 
 
+class Levels:
+    """Rows (keys, parent, level) in the shared folder, appended level by level, each in the order of its ranks.
+
+    A row's rank in its level is its place in the files: the number of the file, then that of the row.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[T.StructField], parent: T.DataType):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/auditlake/levels-{uuid.uuid4().hex[:12]}"
+        self.schema = T.StructType([*keys, T.StructField("parent", parent), T.StructField("level", T.IntegerType())])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        self.files, self.path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+        self.files.deleteOnExit(path)
+
+    def append(self, rows: DataFrame, level: int, *order: str) -> bool:
+        """Whether there was a row."""
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("level", F.lit(level))
+        placed.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.option("maxRecordsPerFile", "0").parquet(f"{self.root}/{level}")
+        return not self.at(level).isEmpty()
+
+    def at(self, level: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{level}").select("*", rank().alias("rank"))
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.root).select("*", rank().alias("rank"))
+
+    def drop(self) -> None:
+        self.files.delete(self.path, True)
+
+
+def rank() -> Column:
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
+
+
+def _grown(seeds: DataFrame, edges: DataFrame, levels: int) -> tuple[Levels, int]:
+    """(levels of what seeds reach over edges (source, target), the last level). seeds: node, and whatever it is reached for.
+
+    Among the parents of the level before, the one of the least rank counts, and ranks follow the parent's rank and then the node: they
+    are in the order of the paths, element by element, although no path is written.
+    """
+    spark, keys = seeds.sparkSession, seeds.columns
+    table = Levels(spark, [T.StructField(f.name, f.dataType) for f in seeds.schema], seeds.schema["node"].dataType)
+    table.append(seeds.distinct().withColumn("parent", F.lit(None)), 0, *keys)
+    # Dealt by source once, so that a level shuffles its frontier and not the edges.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = edges.select(F.col("source").alias("parent"), F.col("target").alias("_to")).distinct().repartition(parts, "parent").persist()
+    level = 0
+    while level < levels:
+        front = table.at(level).drop("parent").withColumnRenamed("node", "parent")
+        step = front.join(near, "parent").groupBy(*[F.col("_to").alias(k) if k == "node" else F.col(k) for k in keys]).agg(F.min(F.struct("rank", "parent")).alias("_b"))
+        new = step.join(table.all().select(*keys), keys, "left_anti").select(*keys, "_b.*")
+        if not table.append(new, level + 1, "rank", *keys):
+            break
+        level += 1
+    near.unpersist()
+    return table, level
+
+
+def paths_of(tree: DataFrame, deepest: int) -> DataFrame:
+    """tree (node, parent, level; no parent is null but a seed's) with path, from the seed to the node: pointers are doubled, each round the paths grow twofold."""
+    rows = cut(tree.select("node", "level", F.col("parent").alias("_up"), F.array("node").alias("path")))
+    reach = 1
+    while reach <= deepest:
+        above = rows.select(F.col("node").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_head"))
+        longer = F.concat(F.coalesce("_head", F.array_repeat("node", F.lit(0))), "path")
+        rows = cut(rows.join(above, "_up", "left").select("node", "level", F.col("_next").alias("_up"), longer.alias("path")))
+        reach *= 2
+    return rows.select("node", "path", "level")
+
+
 def shortest_paths(seeds: DataFrame, edges: DataFrame, visits: int | None = VISITS, levels: int = LEVELS) -> DataFrame:
     """node, path, level: for every node reachable from seeds (node) over edges (source, target), its shortest path from a
     seed, the smallest element by element among equals. Seeds have level 0. Cycles end by themselves. At most `visits`
     other nodes are kept, nearest first and then by path."""
-    edges = edges.select("source", "target").distinct()
-    seen = cut(seeds.select("node").distinct().select("node", F.array("node").alias("path"), F.lit(0).alias("level")))
-    frontier, level = seen, 0
-    while level < levels:
-        level += 1
-        step = frontier.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.concat("path", F.array("target")).alias("path"))
-        step = step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti")
-        frontier = cut(step.withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    if visits is None:
-        return seen
-    reached = seen.where("level > 0")
-    if reached.count() <= visits:
-        return seen
-    return seen.where("level = 0").unionByName(reached.orderBy("level", "path").limit(visits))
+    table, deepest = _grown(seeds.select("node"), edges, levels)
+    found = table.all()
+    if visits is not None and table.all().where("level > 0").count() > visits:
+        # A path's nodes are nearer than its end, so the first rows hold their own parents.
+        found = found.where("level = 0").unionByName(found.where("level > 0").orderBy("level", "rank").limit(visits))
+    out = paths_of(found, deepest)
+    table.drop()
+    return out
 
 
 def reachable(starts: DataFrame, edges: DataFrame, levels: int = LEVELS) -> DataFrame:
     """start, node: everything that each start reaches over edges (source, target), itself included."""
-    edges = edges.select("source", "target").distinct()
-    seen = cut(starts.select(F.col("start"), F.col("start").alias("node")).distinct())
-    frontier = seen
-    for _ in range(levels):
-        step = frontier.join(edges, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    table, _ = _grown(starts.select("start", F.col("start").alias("node")), edges, levels)
+    return table.all().select("start", "node")
 
 
 def component(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """node: all nodes connected to a seed, whatever the edges' direction."""
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    one = seeds.select(F.lit(0).alias("start"), "node").distinct()
-    seen = cut(one)
-    frontier = seen
-    while True:
-        step = frontier.join(both, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen.select("node")
-        seen = cut(seen.unionByName(frontier))
+    table, _ = _grown(seeds.select("node"), both, 2**31 - 1)
+    return table.all().select("node")
 
 
 def impact_seeds(changes: DataFrame, supported) -> DataFrame:
