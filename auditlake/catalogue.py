@@ -587,3 +587,47 @@ def x35_source_imports(spark, d):
         "doc_id", F.col("s.parsed").alias("parsed"), of("static"), of("type-only"), targets.cast("bigint").alias("n_targets"),
         F.col("s.dynamic").cast("bigint").alias("n_dynamic"), last["line"].cast("bigint").alias("last_line"), last["col"].cast("bigint").alias("last_col"),
     )
+
+
+# Imports of many repositories (the sources of documents): relative ones, aliases with one target and with two, a package with a main
+# file, a package name that some repositories declare twice, and a package of none.
+
+REPOSITORIES = """d AS (SELECT coalesce(source, '') AS repo_id, doc_id AS i, doc_id // 3 AS k, ['.ts', '.tsx', '.js'][doc_id % 3 + 1] AS ext, CASE WHEN doc_id % 2 = 0 THEN 'lib' ELSE 'packages/ui' END AS dir FROM documents),
+f AS (SELECT *, dir || '/' || k || ext AS path, CASE WHEN ext = '.js' THEN ['.js', '.ts', '.tsx'] ELSE ['.ts', '.tsx', '.js'] END AS pref FROM d),
+r AS (SELECT repo_id, max(i) // 3 AS main, count(*) % 2 = 0 AS twice FROM d GROUP BY repo_id)"""
+
+
+def v_repositories(spark, d) -> dict[str, DataFrame]:
+    """files, manifests, projects, configs and imports of all repositories."""
+    i = F.col("doc_id")
+    k, ext = F.floor(i / 3).cast("string"), F.get(F.array(*map(F.lit, (".ts", ".tsx", ".js"))), (i % 3).cast("int"))
+    path = F.concat(F.when(i % 2 == 0, "lib").otherwise("packages/ui"), F.lit("/"), k, ext)
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("repo_id"), "doc_id", path.alias("path"))
+    repos = docs.groupBy("repo_id").agg(F.floor(F.max("doc_id") / 3).cast("string").alias("main"), (F.count(F.lit(1)) % 2 == 0).alias("twice"))
+    name = lambda text: F.concat(F.lit('{"name": "'), F.lit(text), F.lit('"}'))
+    held = F.array(F.struct(F.lit("packages/ui").alias("root"), F.lit("ui").alias("package_name"), F.concat(F.lit('{"name": "ui", "main": "'), F.col("main"), F.lit('"}')).alias("data")),
+                   F.struct(F.lit("packages/d1").alias("root"), F.lit("dup").alias("package_name"), name("dup").alias("data")), F.struct(F.lit("packages/d2").alias("root"), F.lit("dup").alias("package_name"), name("dup").alias("data")))
+    packages_ = repos.select("repo_id", F.explode(F.slice(held, F.lit(1), F.when(F.col("twice"), 3).otherwise(2))).alias("p")).select("repo_id", "p.*").withColumn("path", F.concat("root", F.lit("/package.json")))
+    alias = lambda pattern, *targets: F.struct(F.lit(pattern).alias("pattern"), F.array(*map(F.lit, targets)).alias("targets"))
+    spec = F.when(i % 6 == 0, F.concat(F.lit("./"), (F.floor(i / 3) + 1).cast("string"))).when(i % 6 == 1, F.concat(F.lit("@lib/"), (F.floor(i / 3) + i % 5).cast("string"))).when(i % 6 == 2, F.concat(F.lit("@both/"), k))
+    return {
+        "files": docs.select("repo_id", "path", F.lit("file").alias("kind"), F.lit(1).cast("bigint").alias("size")), "manifests": packages_.select("repo_id", "path", F.lit("valid").alias("status"), "data", F.lit(None).cast("string").alias("error")),
+        "projects": packages_.select("repo_id", P.project_id(F.col("root")).alias("id"), "root", "package_name", F.array("path").alias("manifest_paths")),
+        "configs": repos.select("repo_id", F.lit("tsconfig.json").alias("path"), F.lit(".").alias("directory"), F.lit(".").alias("base_path"), F.array(alias("@both/*", "lib/*", "packages/ui/*"), alias("@lib/*", "lib/*")).alias("aliases")),
+        "imports": docs.select("repo_id", "path", F.lit("static").alias("kind"), spec.when(i % 6 == 3, "ui").when(i % 6 == 4, "dup").otherwise("react").alias("specifier"), F.lit(1).alias("line"), F.lit(1).alias("col"), i.cast("int").alias("ordinal")),
+    }
+
+
+@query(f"""WITH {REPOSITORIES},
+q AS (SELECT f.*, main, twice, i % 6 AS way, CASE i % 6 WHEN 0 THEN [dir || '/' || (k + 1)] WHEN 1 THEN ['lib/' || (k + i % 5)] WHEN 2 THEN ['lib/' || k, 'packages/ui/' || k] WHEN 3 THEN ['packages/ui/' || main] WHEN 4 THEN ['packages/d1/index'] ELSE [] END AS stems FROM f JOIN r USING (repo_id)),
+c AS (SELECT repo_id, i, unnest(flatten(list_transform(stems, lambda s: list_transform(pref, lambda e: s || e)))) AS path, generate_subscripts(flatten(list_transform(stems, lambda s: list_transform(pref, lambda e: s || e))), 1) AS place FROM q),
+h AS (SELECT repo_id, c.i, count(*) AS n, min_by(path, place) AS first, min(path) AS least FROM c JOIN (SELECT repo_id, path FROM f) t USING (repo_id, path) GROUP BY repo_id, c.i),
+o AS (SELECT q.*, coalesce(n, 0) AS n, first, least, CASE WHEN way = 5 THEN 'external' WHEN way = 4 AND twice OR way IN (1, 2) AND n > 1 OR way = 2 AND n IS NULL THEN 'unsupported' ELSE 'internal' END AS outcome FROM q LEFT JOIN h ON h.repo_id = q.repo_id AND h.i = q.i)
+SELECT repo_id, path AS importer_path, i AS ordinal, outcome, CASE WHEN outcome = 'internal' THEN coalesce(CASE WHEN way IN (1, 2) THEN least ELSE first END, stems[1] || pref[1]) END AS target_path, CASE WHEN outcome = 'internal' THEN n > 0 END AS target_exists,
+  CASE WHEN outcome = 'unsupported' AND way = 4 THEN 'internal workspace package identity is ambiguous.' WHEN outcome = 'unsupported' THEN 'source alias resolves ambiguously.' WHEN outcome = 'internal' AND n = 0 THEN
+    ['relative source target was not found in the current inventory.', 'source alias target was not found in the current inventory.', '', 'workspace publication target was not found in the current inventory; the entry may require a build.', 'workspace source target was not found in the current inventory.'][way + 1] END AS reason FROM o""")
+def x34_import_resolution(spark, d) -> DataFrame:
+    """The import of each file, resolved among the files, aliases and packages of its own repository."""
+    v = v_repositories(spark, d)
+    found = resolution.resolve(v["imports"], v["files"], v["projects"], v["manifests"], v["configs"])
+    return found.select("repo_id", "importer_path", F.col("ordinal").cast("bigint").alias("ordinal"), "outcome", "target_path", "target_exists", F.substring("limitation", F.length("importer_path") + 3, F.length("limitation")).alias("reason"))
