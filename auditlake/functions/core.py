@@ -53,10 +53,12 @@ def evidence(type_: str, detail: Column, path: Column | None = None, schema: Col
 def findings(
     rows: DataFrame, *, rule: Column, doctor: Column, severity: Column, confidence: Column, category: str, title: Column, message: Column, evidence: Column,
     identity: Column, path: Column | None = None, line: Column | None = None, col: Column | None = None, impact: Column | None = None,
-    constraints: Column | None = None, remediation: Column | None = None, located: bool = True,
+    constraints: Column | None = None, remediation: Column | None = None, located: bool = True, verification: tuple[str, str] | None = None,
 ) -> DataFrame:
     """A row of the findings schema for each row of rows, under their repo_id if they have one. located: whether the location is part of the fingerprint."""
     none = F.lit(None)
+    expected = F.concat(F.lit("This fingerprint is absent and coverage of "), doctor, F.lit(" is completed.")) if verification is None else F.lit(verification[1])
+    verified = F.struct(F.lit("auditlake audit . --format json" if verification is None else verification[0]).alias("command"), expected.alias("expected"))
     place = (path, line, col) if located else (None, None, None)
     return rows.select(
         *[c for c in rows.columns if c == "repo_id"], rule.alias("rule_id"), doctor.alias("doctor_id"), severity.alias("severity"), confidence.alias("confidence"), F.lit(category).alias("category"),
@@ -64,7 +66,7 @@ def findings(
         (none if line is None else line).cast("int").alias("line"), (none if col is None else col).cast("int").alias("col"), evidence.alias("evidence"),
         (none if impact is None else impact).cast("string").alias("impact"), (F.array().cast("array<string>") if constraints is None else constraints).alias("remediation_constraints"),
         (none if remediation is None else remediation).cast("string").alias("remediation"),
-        F.struct(F.lit("auditlake audit . --format json").alias("command"), F.concat(F.lit("This fingerprint is absent and coverage of "), doctor, F.lit(" is completed.")).alias("expected")).alias("verification"),
+        verified.alias("verification"),
         fingerprint(doctor, rule, identity, *place).alias("fingerprint"),
     )
 

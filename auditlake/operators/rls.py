@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions import guidance as G
 from auditlake.functions import rls as R
 from auditlake.functions.core import SEVERITIES, evidence, findings, json_list, severity_rank
 from auditlake.operators.closures import component, reachable
@@ -57,24 +60,29 @@ def phrase(mode: Column, app: Column, target: Column) -> Column:
     return F.when(mode == 0, who).when(mode == 1, F.concat(who, F.lit(" reaches "), target, F.lit(" through inherited membership"))).otherwise(F.concat(who, F.lit(" reaches "), target, F.lit(" through SET ROLE")))
 
 
-def schema_usage(graph: RoleGraph, schemas: DataFrame, privileges: DataFrame | None) -> DataFrame:
-    """schema, app_role, selected: contexts that hold USAGE; every context of every schema where schema privileges are unknown."""
-    all_contexts = graph.contexts.select("app_role", "selected").distinct()
+def schema_usage(graph: RoleGraph, schemas: DataFrame, privileges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(schema: those in which every context holds USAGE; schema, app_role, selected: the contexts that hold it in any other).
+
+    Where schema privileges are unknown every context holds it everywhere. Contexts and schemas are never multiplied.
+    """
     if privileges is None:
-        return schemas.select("schema").distinct().join(F.broadcast(all_contexts))
+        return schemas.select("schema").distinct(), graph.contexts.where("false").select(F.lit("").alias("schema"), "app_role", "selected")
     usage = privileges.where("privilege = 'USAGE'").select("schema", "grantee").distinct()
-    everyone = usage.where("grantee = 'PUBLIC'").select("schema").distinct().join(F.broadcast(all_contexts))
-    own = usage.join(graph.contexts, F.col("grantee") == F.col("effective")).select("schema", "app_role", "selected")
-    return everyone.unionByName(own).distinct()
+    everyone = usage.where("grantee = 'PUBLIC'").select("schema").distinct()
+    named = usage.join(everyone, "schema", "left_anti").withColumnRenamed("grantee", "effective")
+    return everyone, named.join(graph.contexts, "effective").select("schema", "app_role", "selected").distinct()
 
 
-def exposure(tables: DataFrame, privileges: DataFrame, graph: RoleGraph, usage: DataFrame, accepted: tuple[str, ...]) -> DataFrame:
+def exposure(tables: DataFrame, privileges: DataFrame, graph: RoleGraph, usage: tuple[DataFrame, DataFrame], accepted: tuple[str, ...]) -> DataFrame:
     """schema, name, phrase of tables that an application role can reach with an accepted privilege."""
     rows = privileges.where(F.col("privilege").isin(*accepted)).select("schema", F.col("table").alias("name"), "grantee", "privilege").join(tables.select("schema", "name"), ["schema", "name"], "left_semi")
-    public = rows.where("grantee = 'PUBLIC'").join(usage.select("schema").distinct(), "schema", "left_semi").select("schema", "name", "grantee", "privilege", F.concat(F.lit("PUBLIC has "), "privilege").alias("phrase"))
-    best = graph.access(usage).withColumnRenamed("target", "grantee")
+    everyone, own = usage
+    public = rows.where("grantee = 'PUBLIC'").join(everyone.unionByName(own.select("schema").distinct()), "schema", "left_semi").select("schema", "name", "grantee", "privilege", F.concat(F.lit("PUBLIC has "), "privilege").alias("phrase"))
+    roles = rows.where("grantee <> 'PUBLIC'")
+    anywhere, there = graph.access().withColumnRenamed("target", "grantee"), graph.access(own).withColumnRenamed("target", "grantee")
     said = F.concat(phrase(F.col("mode"), F.col("app_role"), F.col("grantee")), F.lit(" and can exercise "), "privilege", F.lit(" granted to "), "grantee")
-    named = rows.where("grantee <> 'PUBLIC'").join(best, ["grantee", "schema"]).select("schema", "name", "grantee", "privilege", said.alias("phrase"))
+    shown = ["schema", "name", "grantee", "privilege", said.alias("phrase")]
+    named = roles.join(everyone, "schema", "left_semi").join(anywhere, "grantee").select(*shown).unionByName(roles.join(there, ["grantee", "schema"]).select(*shown))
     first = public.unionByName(named).groupBy("schema", "name").agg(F.min_by("phrase", F.struct("grantee", "privilege")).alias("phrase"))
     # A superuser within reach exposes every table.
     supers = graph.bypass().join(graph.roles.where("superuser").select(F.col("name").alias("target")), "target").agg(F.min(F.struct("mode", "app_role", "target")).alias("s")).where("s is not null")
@@ -102,18 +110,23 @@ def _quoted(names: Column) -> Column:
     return F.array_join(F.transform(names, lambda n: F.concat(F.lit('"'), n, F.lit('"'))), ", ")
 
 
-def _rule(rows: DataFrame, rule: str, severity, detail: Column, title: str, schema: Column | None = None, table: Column | None = None, policy: Column | None = None) -> DataFrame:
+def _finding(rows: DataFrame, rule: str, severity, detail: Column, title: str, schema: Column | None = None, table: Column | None = None, policy: Column | None = None, advice: Column | None = None, schemas: tuple[str, ...] = ()) -> DataFrame:
+    said = G.RULES[rule]
+    sql = None if table is None else G.suggested_sql(rule, F.col("schema"), table, F.col("name") if "command" in rows.columns else None, F.col("command") if "command" in rows.columns else None)
     at = F.coalesce(F.col("schema") if schema is None else schema, F.lit("<database>"))
     tab = F.lit(None).cast("string") if table is None else table
     return findings(
         rows, rule=F.lit(f"{DOCTOR}/{rule}"), doctor=F.lit(DOCTOR), severity=F.lit(severity) if isinstance(severity, str) else severity, confidence=F.lit("high"), category="database-security",
         title=F.lit(title), message=detail, evidence=F.array(evidence("database", detail, schema=at, table=tab, policy=policy)), identity=json_list(at, tab, F.lit(rule), detail),
-        impact=F.lit("Rows may be read or changed against the intended access model."), remediation=F.lit("Adapt grants, memberships or policies and audit again."),
+        impact=F.lit(said.impact), constraints=F.array(F.lit(said.keep), F.lit(G.live_constraint(schemas))), remediation=G.remediation(F.lit(said.advice) if advice is None else advice, sql), verification=G.live_verification(schemas),
     )
 
 
-def catalog_findings(catalog: dict[str, DataFrame]) -> DataFrame:
-    """All findings of a catalog: tables, policies, relation_privileges, default_privileges, roles, memberships and, where known, schema_privileges."""
+def catalog_findings(catalog: dict[str, DataFrame], schemas: tuple[str, ...] = ("public",)) -> DataFrame:
+    """All findings of a catalog: tables, policies, relation_privileges, default_privileges, roles, memberships and, where known, schema_privileges.
+
+    schemas: those that were audited; an audit of the same verifies a remedy."""
+    _rule = partial(_finding, schemas=schemas)
     tables, policies = catalog["tables"], catalog["policies"]
     graph = RoleGraph(catalog)
     usage = schema_usage(graph, tables, catalog.get("schema_privileges"))
@@ -144,7 +157,7 @@ def catalog_findings(catalog: dict[str, DataFrame]) -> DataFrame:
         _rule(bare, "rls-enabled-no-policies", "medium", say(name, " will default-deny access for non-owner roles, which may break application reads or writes."), "RLS is on without any policy", table=table),
         _rule(on.where("not force_rls"), "force-rls-disabled", "info", F.lit("The table owner bypasses RLS while FORCE RLS is disabled. Superusers and BYPASSRLS roles bypass RLS regardless of FORCE RLS."), "The owner is not forced through RLS", table=table),
         _rule(mine.where(public & command.isin("SELECT", "ALL") & R.unconditional(using)), "public-unconditional-read", "high", say(policy, " grants ", command, " to ", roles, " with no row predicate."), "Anyone can read every row", table=t),
-        _rule(mine.where(public & R.unconditional_write(command, using, check)), "public-unconditional-write", "critical", say(policy, " allows ", command, " for ", roles, " with an unconditional predicate."), "Anyone can write any row", table=t),
+        _rule(mine.where(public & R.unconditional_write(command, using, check)), "public-unconditional-write", "critical", say(policy, " allows ", command, " for ", roles, " with an unconditional predicate."), "Anyone can write any row", table=t, advice=G.write_advice(command)),
         _rule(mine.where(R.missing_check(command, using, check)), "write-policy-missing-check", "medium", say(policy, " handles ", command, " without an explicit insert/update constraint."), "A write policy checks nothing", table=t),
         _rule(mine.where(F.col("permissive") & public), "public-permissive-policy", "low", say(policy, " is permissive, so it is OR-combined with other permissive policies."), "A permissive policy serves a public role", table=t),
         _rule(groups, "multiple-permissive-policies", F.when(F.lower("role").isin(*R.PUBLIC_LIKE), "medium").otherwise("low"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions import guidance as G
 from auditlake.functions import rls as R
 from auditlake.functions.core import evidence, findings, json_list
 from auditlake.functions.sqltext import sql_operation, sql_statements
@@ -21,8 +22,10 @@ def operations(streams: DataFrame, contents: DataFrame) -> tuple[DataFrame, Data
     streams: stream_id, files (paths in order).
     """
     files = streams.select("stream_id", F.posexplode("files").alias("position", "path"))
-    split = files.join(contents, "path").select("stream_id", "position", "path", sql_statements("content").alias("s"))
-    rows = split.select("stream_id", "position", "path", F.explode("s.statements").alias("t")).select("stream_id", "position", "path", F.col("t.ordinal").alias("ordinal"), F.col("t.start_line").alias("line"), sql_operation("t.text").alias("op"))
+    # Statements are lexed once, whatever reads them, and dealt out: one file may hold most of them.
+    split = cut(files.join(contents, "path").select("stream_id", "position", "path", sql_statements("content").alias("s")))
+    rows = split.select("stream_id", "position", "path", F.explode("s.statements").alias("t")).select("stream_id", "position", "path", F.col("t.ordinal").alias("ordinal"), F.col("t.start_line").alias("line"), F.col("t.text").alias("text"))
+    rows = cut(rows.repartition("path", "ordinal").select("stream_id", "position", "path", "ordinal", "line", sql_operation("text").alias("op")))
     return rows, split.where("s.trouble is not null").select("stream_id", "path", F.col("s.trouble").alias("trouble"))
 
 
@@ -104,7 +107,7 @@ def _rule(rows: DataFrame, rule: str, severity: str, title: str, message: Column
         rows, rule=F.lit(f"{DOCTOR}/{rule}"), doctor=F.lit(DOCTOR), severity=F.lit(severity), confidence=F.lit("high"), category="database-security", title=F.lit(title), message=message,
         evidence=F.array(evidence("database", message, schema=F.col("schema"), table=F.col("name"), policy=policy), evidence("file", F.concat(F.lit("SQL statement at line "), at["line"].cast("string"), F.lit(".")), at["path"])),
         identity=json_list(F.col("stream_id"), F.col("schema"), F.col("name"), named, *(identity or [])), path=at["path"], line=at["line"], located=False,
-        impact=F.lit("Rows may be read or changed against the intended access model."), remediation=F.lit("Adapt the migrations and audit again."),
+        impact=F.lit(G.RULES[rule].impact), constraints=F.array(F.lit(G.RULES[rule].keep)), remediation=F.lit(G.RULES[rule].advice),
     )
 
 

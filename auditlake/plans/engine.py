@@ -165,7 +165,6 @@ def sql_module(s: Snapshot) -> Outcome:
         streams = streams.join(keep, "stream_id", "left_semi")
         notes = gone.select(F.concat("stream_id", F.lit(": historical migration content is unavailable.")).alias("value"))
     ops, troubles = sqlrls.operations(streams, s["contents"])
-    ops = cut(ops)
     state = sqlrls.stream_coverage(ops, troubles)
     rows = state.select(F.lit(sqlrls.DOCTOR).alias("module_id"), "status", F.col("stream_id").alias("scope"), F.lit(None).cast("bigint").alias("files_examined"), "statements_examined", "statements_recognized", "limitations")
     if notes is not None:
@@ -182,7 +181,7 @@ def catalog_module(load: Callable[[Snapshot], Mapping[str, DataFrame]]) -> Funct
 
     def run(s: Snapshot) -> Outcome:
         found = dict(load(s))
-        return Outcome(rls.catalog_findings(found), covered(s.spark, rls.DOCTOR, ",".join(s.request.schemas), found["tables"].count(), None))
+        return Outcome(rls.catalog_findings(found, s.request.schemas), covered(s.spark, rls.DOCTOR, ",".join(s.request.schemas), found["tables"].count(), None))
 
     return Function(rls.DOCTOR, run, frozenset({"repository:read", "network:access"}))
 
@@ -251,22 +250,22 @@ def run_modules(snapshot: Snapshot, modules: list[Module], allowed: frozenset[st
         began = time.monotonic()
         denied = sorted(m.capabilities - allowed)
         if denied:
-            runs.append((m.id, "skipped", 0, None, f"Module requires denied capabilities: {', '.join(denied)}."))
+            runs.append((m.id, "skipped", 0, 0, None, f"Module requires denied capabilities: {', '.join(denied)}."))
             continue
         if not m.supports(snapshot):
-            runs.append((m.id, "skipped", 0, None, "Module does not support this repository."))
+            runs.append((m.id, "skipped", 0, 0, None, "Module does not support this repository."))
             continue
         try:
             out = m.run(snapshot)
             # An action here, so that what fails does so within its module.
-            f = None if out.findings is None else cut(out.findings)
+            f = None if out.findings is None else cut(out.findings.distinct())
             c = None if out.coverage is None else cut(out.coverage)
         except Exception as e:  # noqa: BLE001
-            runs.append((m.id, "failed", int(1000 * (time.monotonic() - began)), str(e).splitlines()[0][:500], None))
+            runs.append((m.id, "failed", int(1000 * (time.monotonic() - began)), 0, str(e).splitlines()[0][:500], None))
             continue
         found += [f] if f is not None else []
         cover += [c] if c is not None else []
-        runs.append((m.id, "failed" if out.error else "completed", int(1000 * (time.monotonic() - began)), out.error, None))
+        runs.append((m.id, "failed" if out.error else "completed", int(1000 * (time.monotonic() - began)), 0 if f is None else f.count(), out.error, None))
     return findings.union(*found), findings.union(*cover), spark.createDataFrame(runs, S.RUNS)
 
 

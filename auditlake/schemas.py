@@ -53,5 +53,5 @@ FINDINGS = (
     "verification struct<command:string,expected:string>, fingerprint string"
 )
 COVERAGE = "module_id string, status string, scope string, files_examined bigint, statements_examined bigint, statements_recognized bigint, limitations array<string>"
-RUNS = "doctor_id string, status string, duration_ms bigint, error string, skip_reason string"
+RUNS = "doctor_id string, status string, duration_ms bigint, finding_count bigint, error string, skip_reason string"
 CHECK_RUNS = "plan_id string, project_id string, label string, executable string, args array<string>, status string, exit_code int, timed_out boolean, duration_ms bigint, output string"

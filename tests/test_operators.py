@@ -166,7 +166,7 @@ def test_nearest_manager_and_python_ownership(spark):
 def test_empty_inputs_still_give_rows(spark):
     none = spark.createDataFrame([], S.FINDINGS)
     assert findings.summary(none).first()["total"] == 0 and findings.exit_code(none, spark.createDataFrame([], S.RUNS), "info") == 0
-    modules = coverage.module_coverage(spark.createDataFrame([("project", "completed", 0, None, None), ("security/secrets", "skipped", 0, None, "denied")], S.RUNS), spark.createDataFrame([], S.COVERAGE))
+    modules = coverage.module_coverage(spark.createDataFrame([("project", "completed", 0, 0, None, None), ("security/secrets", "skipped", 0, 0, None, "denied")], S.RUNS), spark.createDataFrame([], S.COVERAGE))
     shown = coverage.evidence(spark.createDataFrame([], S.PROJECTS), spark.createDataFrame([], S.FILES))
     rows = {r["domain"]: (r["status"], r["applicability"], r["coverage_complete"]) for r in coverage.domain_coverage(spark, modules, shown, spark.createDataFrame([], "plan_id string")).collect()}
     assert len(rows) == 9 and rows["repository"] == ("completed", "detected", True) and rows["security"] == ("skipped", "detected", False) and rows["performance"] == ("unsupported", "unknown", False) and rows["ai"] == ("not-applicable", "not-detected", True)
