@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from auditlake.catalogue import query, table
 from auditlake.catalogue_rules import sql_fingerprint
 from auditlake.functions import rls as R
-from auditlake.operators import rls
+from auditlake.operators import rls, sqlrls
 
 
 def pick(values, at):
@@ -136,3 +136,81 @@ def a2_computed_summary(spark, d) -> DataFrame:
     c = v_catalog(spark, d)
     out = rls.summary(c["tables"], c["policies"], rls.catalog_findings(c))
     return out.select("tables", "without_rls", "policies", *("critical high medium low info".split()), "findings")
+
+
+# Migrations: a file of nine lines for each part, a stream for each size. Each line is a statement whose form depends on the part's key.
+
+S_ROLES, S_USING, S_CHECK = ("public", "anon, staff", "authenticated", "staff"), (None, "true", "((true))", "owner = me", "1=1"), (None, "owner = me", "TRUE")
+G_ROLES, G_PRIVILEGES = ("anon", "staff", 'authenticated, "Reader"', "PUBLIC"), ("select", "truncate", "insert, update", "truncate, delete")
+
+
+def v_migrations(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(streams, contents)."""
+    k = F.col("p_partkey")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    part = lambda n: F.floor(k / n)
+    t, key = say("t", k.cast("string")), k.cast("string")
+    command = F.lower(pick(COMMANDS, part(5) % 5))
+    using, check = pick(S_USING, part(2) % 5), pick(S_CHECK, part(4) % 3)
+    using = F.when((command != "insert") & using.isNotNull(), say(" USING (", using, ")")).otherwise("")
+    check = F.when(~command.isin("select", "delete") & check.isNotNull(), say(" with check (", check, ")")).otherwise("")
+    made = say('create policy "P ', key, '" on public.', t, F.when(k % 7 == 0, " as restrictive").otherwise(""), " for ", command, " to ", pick(S_ROLES, part(3) % 4), using, check, ";")
+    lines = [
+        F.lit("select 0 /* it's ; */;"),
+        F.when(k % 5 != 0, say("CREATE TABLE IF NOT EXISTS public.", t, " (id int, note text default ';');")).otherwise("select 1;"),
+        F.when(k % 3 != 0, say('alter table "', t, '" ENABLE row level security;')).otherwise(say("comment on table ", t, " is 'x';")),
+        F.when(k % 4 == 0, say("alter table ", t, " force\trow level security;")).otherwise("select $q$create policy;$q$;"),
+        F.when(k % 2 == 0, say("grant ", pick(G_PRIVILEGES, part(2) % 4), " on table ", t, " to ", pick(G_ROLES, part(6) % 4), ";")).otherwise("select 2;"),
+        F.when(k % 4 != 1, made).otherwise("select 3;"), F.when(k % 3 == 1, say("create policy q", key, " on ", t, " for select to public using (true);")).otherwise("select 4;"),
+        F.when(k % 11 == 0, say("revoke select, truncate on ", t, " from anon;")).otherwise("select 5;"), F.when(k % 13 == 0, say("drop table ", t, ";")).otherwise("select 6;"),
+    ]
+    rows = table(spark, d, "part").select(say("st", F.col("p_size").cast("string")).alias("stream_id"), say("m/", F.lpad(key, 12, "0"), ".sql").alias("path"), F.concat_ws("\n", *lines).alias("content"))
+    return rows.groupBy("stream_id").agg(F.array_sort(F.collect_list("path")).alias("files")), rows.select("path", "content")
+
+
+FACING = "len(list_filter(roles, lambda r: lower(r) IN ('public', 'anon', 'anonymous', 'authenticated'))) > 0"
+STATES = f"""k AS (SELECT p_partkey AS k, 'st' || p_size AS stream, 't' || p_partkey AS name, p_partkey % 5 <> 0 AS made, CASE WHEN p_partkey % 3 <> 0 THEN true WHEN p_partkey % 5 <> 0 THEN false END AS on_ FROM part WHERE p_partkey % 13 <> 0),
+g AS (SELECT *, unnest(string_split({sql_list(G_PRIVILEGES)}[k // 2 % 4 + 1], ', ')) AS privilege FROM k WHERE k % 2 = 0),
+h AS (SELECT k, upper(privilege) AS privilege, unnest(string_split(replace(replace({sql_list(G_ROLES)}[k // 6 % 4 + 1], '"', ''), 'PUBLIC', 'public'), ', ')) AS role FROM g),
+held AS (SELECT * FROM h WHERE lower(role) IN ('public', 'anon', 'anonymous', 'authenticated') AND NOT (k % 11 = 0 AND role = 'anon' AND privilege IN ('SELECT', 'TRUNCATE'))),
+cutting AS (SELECT k, min(role) AS role FROM held WHERE privilege = 'TRUNCATE' GROUP BY k),
+opening AS (SELECT k, min({{'p': privilege, 'r': role}}) AS o FROM held WHERE privilege IN ('SELECT', 'INSERT', 'UPDATE', 'DELETE') GROUP BY k),
+q AS (SELECT k, 'P ' || k AS pname, {sql_list(COMMANDS)}[k // 5 % 5 + 1] AS command, k % 7 <> 0 AS permissive, string_split({sql_list(S_ROLES)}[k // 3 % 4 + 1], ', ') AS roles, {sql_list(S_USING)}[k // 2 % 5 + 1] AS u, {sql_list(S_CHECK)}[k // 4 % 3 + 1] AS c, 6 AS line FROM k WHERE k % 4 <> 1
+  UNION ALL SELECT k, 'q' || k, 'SELECT', true, ['public'], 'true', NULL, 7 FROM k WHERE k % 3 = 1),
+pol AS (SELECT k, pname, command, permissive, roles, line, CASE WHEN command <> 'INSERT' THEN u END AS using_, CASE WHEN command NOT IN ('SELECT', 'DELETE') THEN c END AS check_ FROM q),
+p AS (SELECT stream, name, pol.*, coalesce(check_, CASE WHEN command IN ('UPDATE', 'ALL') THEN using_ END) AS checked, 'Policy "' || pname || '"' AS policy, array_to_string(roles, ', ') AS listed FROM pol JOIN k USING (k) WHERE on_),
+w AS (SELECT *, check_ IS NULL AND command IN ('INSERT', 'UPDATE', 'ALL') AND {TRUE_CHECK} AS missing FROM p),
+found AS (
+SELECT 'reachable-truncate' AS rule, 'high' AS severity, stream, name, NULL AS pname, 5 AS line, 'public.' || name || ' grants TRUNCATE directly to ' || role || '. RLS never protects TRUNCATE.' AS detail, [role, 'TRUNCATE'] AS more, '' AS tail FROM cutting JOIN k USING (k)
+UNION ALL SELECT 'rls-disabled', 'medium', stream, name, NULL, 2, 'public.' || name || ' has RLS disabled.', [], '' FROM k WHERE NOT on_ AND k NOT IN (SELECT k FROM opening)
+UNION ALL SELECT 'rls-disabled-exposed', 'high', stream, name, NULL, 5, 'public.' || name || ' has RLS disabled and grants ' || o.p || ' directly to ' || o.r || '.', [o.r, o.p], '' FROM opening JOIN k USING (k) WHERE NOT on_
+UNION ALL SELECT 'rls-enabled-no-policies', 'medium', stream, name, NULL, 3, 'public.' || name || ' denies non-owners everything: its reconstructed policies are empty.', [], '' FROM k WHERE on_ AND made AND k NOT IN (SELECT k FROM pol)
+UNION ALL SELECT 'force-rls-disabled', 'info', stream, name, NULL, 2, 'public.' || name || ' does not force its owner through RLS policies.', [], '' FROM k WHERE on_ AND made AND k % 4 <> 0
+UNION ALL SELECT 'public-unconditional-read', 'high', stream, name, pname, line, policy || ' grants ' || command || ' to ' || listed || ' without a row predicate.', [command, 'read'], '' FROM w WHERE {PUBLIC} AND command IN ('SELECT', 'ALL') AND {TRUE_USING}
+UNION ALL SELECT 'public-unconditional-write', 'critical', stream, name, pname, line, policy || ' allows ' || command || ' for ' || listed || ' without a write predicate.', [command, 'write'], '' FROM w WHERE {PUBLIC} AND (command = 'DELETE' AND {TRUE_USING} OR command = 'INSERT' AND {TRUE_CHECK} OR command IN ('UPDATE', 'ALL') AND ({TRUE_USING} OR {TRUE_CHECK}))
+UNION ALL SELECT 'write-policy-missing-check', 'medium', stream, name, pname, line, policy || ' handles ' || command || ' without a row check.', [command], '' FROM w WHERE {FACING} AND missing
+UNION ALL SELECT 'write-policy-unconditional-check', 'medium', stream, name, pname, line, policy || ' has an unconditional check for ' || command || '.', [command], '' FROM w WHERE {FACING} AND NOT missing AND command <> 'SELECT' AND {TRUE_CHECK}
+UNION ALL SELECT 'public-permissive-policy', 'low', stream, name, pname, line, policy || ' is OR-combined with other permissive policies for a public role.', [command], '' FROM w WHERE permissive AND {PUBLIC}
+UNION ALL SELECT 'multiple-permissive-policies', 'medium', stream, name, NULL, 6, 'Role ' || role || ' has 2 permissive policies for SELECT: "P ' || k || '", "q' || k || '". Their predicates are OR-combined.', [role, 'SELECT'], ',["P ' || k || '","q' || k || '"]'
+  FROM (SELECT stream, name, k, unnest(roles) AS role FROM w WHERE line = 6 AND permissive AND command IN ('ALL', 'SELECT') AND k % 3 = 1))"""
+S_IDENTITY = "'[' || to_json(stream)::VARCHAR || ',\"public\",' || to_json(name)::VARCHAR || ',' || coalesce(to_json(pname)::VARCHAR, 'null') || array_to_string(list_transform(more, lambda x: ',' || to_json(x)::VARCHAR), '') || tail || ']'"
+
+
+@query(f"""WITH {STATES} SELECT rule, severity, stream AS stream_id, 'm/' || lpad(name[2:], 12, '0') || '.sql' AS path, line, detail, {sql_fingerprint("'database/sql-rls'", "'database/sql-rls/' || rule", "'null'", S_IDENTITY)} AS fingerprint FROM found""")
+def r32_computed_rules(spark, d) -> DataFrame:
+    """The rules on migrations: statements are composed from the parts' keys, lexed, read, replayed and judged."""
+    streams, contents = v_migrations(spark, d)
+    ops, _ = sqlrls.operations(streams, contents)
+    found = sqlrls.static_findings(sqlrls.replay(ops))
+    stream = F.col("files.stream_id")
+    placed = found.alias("found").join(streams.select("stream_id", F.explode("files").alias("path")).alias("files"), "path")
+    return placed.select(F.substring_index("rule_id", "/", -1).alias("rule"), "severity", stream.alias("stream_id"), "path", F.col("line").cast("int").alias("line"), F.col("message").alias("detail"), "fingerprint")
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT 'st' || s AS stream_id, 'completed' AS status, 9 * count(*) AS statements_examined, count(*) FILTER (k % 5 <> 0) + count(*) FILTER (k % 3 <> 0) + count(*) FILTER (k % 4 = 0) + count(*) FILTER (k % 2 = 0) + count(*) FILTER (k % 4 <> 1) + count(*) FILTER (k % 3 = 1) + count(*) FILTER (k % 11 = 0) + count(*) FILTER (k % 13 = 0) AS statements_recognized,
+  0::BIGINT AS limitations FROM k GROUP BY s""")
+def t7_computed_coverage(spark, d) -> DataFrame:
+    """Statements examined and recognised in each stream."""
+    ops, troubles = sqlrls.operations(*v_migrations(spark, d))
+    return sqlrls.stream_coverage(ops, troubles).withColumn("limitations", F.size("limitations").cast("bigint"))
