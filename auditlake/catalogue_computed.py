@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from auditlake.catalogue import query, table
 from auditlake.catalogue_rules import sql_fingerprint
+from auditlake.functions import packages
 from auditlake.functions import rls as R
-from auditlake.operators import rls, sqlrls
+from auditlake.operators import dependencies, rls, sqlrls
 
 
 def pick(values, at):
@@ -214,3 +215,62 @@ def t7_computed_coverage(spark, d) -> DataFrame:
     """Statements examined and recognised in each stream."""
     ops, troubles = sqlrls.operations(*v_migrations(spark, d))
     return sqlrls.stream_coverage(ops, troubles).withColumn("limitations", F.size("limitations").cast("bigint"))
+
+
+# Dependencies: a root for each customer, whose orders are dependencies; what is locked and installed follows from the same orders.
+
+SPECS = ("^1", "http://h.test/x.tgz", "git://h.test/x", "github:a/b#main", "github:a/b#" + "0" * 40, "workspace:*", "file:../x", "https://h.test/x.tgz")
+CLASSES = ("registry", "insecure-http", "insecure-git", "git-mutable", "git-pinned", "workspace", "local-file", "secure-https")
+SECTIONS_, SOURCES_, STATES_ = ("dependencies", "devDependencies", "peerDependencies"), ("registry", "insecure-http", "insecure-git", "secure-https", "git-pinned"), ("valid", "missing", "invalid", "not-required")
+
+
+def v_dependencies(spark, d) -> tuple[DataFrame, ...]:
+    """(targets, covered, sections, entries, internal)."""
+    o, c = F.col("o"), F.col("c_custkey")
+    text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    name = lambda n: F.concat("lock_root", F.lit("/" + n))
+    roots = table(spark, d, "customer").select(text("r", c).alias("lock_root"), pick(("package-lock", "package-lock", "shrinkwrap", "none", "none"), c % 5).alias("authority"), F.when(c % 5 < 3, "governed").when(c % 5 == 3, "explicit-standalone").otherwise("unresolved").alias("lock_ownership"))
+    lockfile = F.when(F.col("authority") == "shrinkwrap", name("npm-shrinkwrap.json")).when(F.col("authority") == "package-lock", name("package-lock.json"))
+    targets = roots.withColumns({"lockfile": lockfile, "competing": F.when(F.col("authority") == "shrinkwrap", F.array(name("package-lock.json"))).otherwise(F.array().cast("array<string>"))})
+    covered = roots.select("lock_root", F.concat(F.lit("project:"), "lock_root").alias("project_id"), F.col("lock_root").alias("root"), name("package.json").alias("manifest_path"))
+    orders = table(spark, d, "orders").select(text("r", F.col("o_custkey")).alias("lock_root"), F.col("o_orderkey").alias("o")).join(roots.select("lock_root", "authority"), "lock_root")
+    wanted = orders.groupBy("lock_root", "authority", pick(SECTIONS_, o % 3).alias("section"), (o % 40).alias("n")).agg(F.max("o").alias("o"))
+    sections = wanted.select(name("package.json").alias("path"), "section", text("d", F.col("n")).alias("name"), pick(SPECS, o % 8).alias("spec"))
+    kept = wanted.where("authority <> 'none'")
+    spec = F.when(o % 9 == 0, "^9").otherwise(pick(SPECS, o % 8))
+    more = kept.where(o % 11 == 0).select("lock_root", F.lit("dependencies").alias("section"), text("z", F.col("n")).alias("name"), F.lit("1").alias("spec")).distinct()
+    held = kept.where(o % 10 != 0).select("lock_root", "section", text("d", F.col("n")).alias("name"), spec.alias("spec")).unionByName(more)
+    held = held.groupBy("lock_root", "section").agg(F.map_from_entries(F.collect_list(F.struct("name", "spec"))).alias("m")).groupBy("lock_root").agg(F.map_from_entries(F.collect_list(F.struct("section", "m"))).alias("sections"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    head = held.select("lock_root", F.lit("").alias("path"), none.alias("package_name"), no.alias("link"), none.alias("resolved_workspace_path"), F.lit("registry").alias("source_class"), no.alias("git_pinned"), no.alias("tarball"), F.lit("not-required").alias("integrity"), "sections")
+    n, source = F.col("n"), pick(SOURCES_, o % 5)
+    had = kept.groupBy("lock_root", "n").agg(F.max("o").alias("o")).select(
+        "lock_root", text("node_modules/d", n).alias("path"), text("d", n).alias("package_name"), (n % 8 == 0).alias("link"), text("", F.when(o % 3 == 0, F.concat(F.lit("w"), n.cast("string"))).otherwise(F.concat(F.lit("../packages/w"), n.cast("string")))).alias("resolved_workspace_path"),
+        source.alias("source_class"), (source == "git-pinned").alias("git_pinned"), no.alias("tarball"), pick(STATES_, F.floor(o / 5) % 4).alias("integrity"), F.lit(None).cast(head.schema["sections"].dataType).alias("sections"),
+    )
+    internal = table(spark, d, "part").select((F.col("p_partkey") % 40).alias("n")).distinct().where("n % 4 = 0").select(text("d", n).alias("name"), text("packages/w", n).alias("root"))
+    return targets, covered, sections, head.unionByName(had), internal
+
+
+LOCKED = f"""c AS (SELECT 'r' || c_custkey AS root, c_custkey % 5 AS k, CASE c_custkey % 5 WHEN 2 THEN 'r' || c_custkey || '/npm-shrinkwrap.json' WHEN 0 THEN 'r' || c_custkey || '/package-lock.json' WHEN 1 THEN 'r' || c_custkey || '/package-lock.json' END AS lock FROM customer),
+w AS (SELECT root, k, lock, {sql_list(SECTIONS_)}[o_orderkey % 3 + 1] AS section, o_orderkey % 40 AS n, max(o_orderkey) AS o FROM orders JOIN c ON root = 'r' || o_custkey GROUP BY ALL),
+m AS (SELECT *, 'd' || n AS name, {sql_list(SPECS)}[o % 8 + 1] AS spec, {sql_list(CLASSES)}[o % 8 + 1] AS class, root || '/package.json' AS path FROM w),
+l AS (SELECT root, section, name, CASE WHEN o % 9 = 0 THEN '^9' ELSE spec END AS locked FROM m WHERE k < 3 AND o % 10 <> 0 UNION SELECT root, 'dependencies', 'z' || n, '1' FROM m WHERE k < 3 AND o % 11 = 0),
+e AS (SELECT root, lock, n, 'd' || n AS name, n % 8 = 0 AS link, CASE WHEN max(o) % 3 = 0 THEN 'w' || n ELSE '../packages/w' || n END AS at_, {sql_list(SOURCES_)}[max(o) % 5 + 1] AS source, {sql_list(STATES_)}[max(o) // 5 % 4 + 1] AS state FROM w WHERE k < 3 GROUP BY root, lock, n),
+internal AS (SELECT DISTINCT p_partkey % 40 AS n FROM part WHERE p_partkey % 40 % 4 = 0),
+found AS (
+SELECT 'insecure-source' AS rule, 'high' AS severity, path, name || ':' || section || ':' || class AS identity FROM m WHERE class IN ('insecure-http', 'insecure-git')
+UNION SELECT 'mutable-git-source', 'medium', path, m.name || ':' || section || ':' || class FROM m LEFT JOIN e ON e.root = m.root AND e.name = m.name AND source = 'git-pinned' WHERE class = 'git-mutable' AND e.root IS NULL
+UNION SELECT 'missing-lockfile', 'medium', path, '::' FROM m WHERE k = 3 AND section IN ({", ".join(f"'{x}'" for x in packages.INSTALLED_SECTIONS)}) AND n NOT IN (SELECT n FROM internal) AND class NOT IN ('local-file', 'local-link', 'workspace')
+UNION SELECT 'manifest-lock-drift', 'medium', coalesce(m.root, l.root) || '/package.json', coalesce(m.name, l.name) || ':' || coalesce(m.section, l.section) || ':' FROM (SELECT * FROM m WHERE k < 3) m FULL JOIN l ON m.root = l.root AND m.section = l.section AND m.name = l.name WHERE spec IS DISTINCT FROM locked
+UNION SELECT 'workspace-registry-resolution', 'high', path, m.name || ':' || section || ':' FROM m JOIN e ON m.root = e.root AND m.name = e.name WHERE k < 3 AND section IN ({", ".join(f"'{x}'" for x in packages.INSTALLED_SECTIONS)}) AND m.n IN (SELECT n FROM internal) AND (NOT link OR at_ <> '../packages/w' || m.n)
+UNION SELECT 'insecure-source', 'high', lock, name || '::' || source FROM e WHERE source IN ('insecure-http', 'insecure-git')
+UNION SELECT 'missing-integrity', 'medium', lock, name || '::' || source FROM e WHERE state IN ('missing', 'invalid')
+UNION SELECT 'competing-npm-lockfiles', 'low', root || '/package-lock.json', '::' FROM c WHERE k = 2)"""
+
+
+@query(f"""WITH {LOCKED} SELECT rule, severity, path, {sql_fingerprint("'security/dependencies'", "'security/dependencies/' || rule", "'[' || to_json(path)::VARCHAR || ',null,null]'", "identity")} AS fingerprint FROM found""")
+def r13_computed_rules(spark, d) -> DataFrame:
+    """The rules on manifests and lockfiles, whose dependencies, locked specifications and installed packages follow from orders."""
+    found = dependencies.dependency_findings(dependencies.matches(*v_dependencies(spark, d)))
+    return found.select(F.substring_index("rule_id", "/", -1).alias("rule"), "severity", "path", "fingerprint")
