@@ -378,13 +378,8 @@ def j20_table_exposure(spark, d) -> DataFrame:
 OPS = """o AS (SELECT user_id, event_id AS seq, 't' || event_id % 3 AS tab, event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)"""
 
 
-@query(f"""WITH {OPS}, b AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN seq END) OVER (PARTITION BY user_id, tab) AS made FROM o), live AS (SELECT * FROM b WHERE seq >= coalesce(made, -1)),
-g AS (SELECT user_id, tab, k % 4 AS role, max_by(event_type = 'purchase', seq) AS granted FROM live WHERE event_type IN ('purchase', 'error') GROUP BY user_id, tab, k % 4),
-l AS (SELECT user_id, tab, bool_or(made IS NOT NULL) AS declared, max_by(k % 2 = 0, seq) FILTER (event_type = 'click') AS rls, max_by(k % 2 = 0, seq) FILTER (event_type = 'view') AS frc FROM live GROUP BY user_id, tab)
-SELECT 'u' || l.user_id AS stream_id, l.tab AS name, declared, coalesce(rls, CASE WHEN declared THEN FALSE END) AS rls_enabled, coalesce(frc, CASE WHEN declared THEN FALSE END) AS force_rls,
-  coalesce((SELECT string_agg('r' || role, ',' ORDER BY role) FROM g WHERE g.user_id = l.user_id AND g.tab = l.tab AND granted), '') AS granted FROM l""")
-def t1_replay(spark, d) -> DataFrame:
-    """Ordered replay of table operations: creation starts anew, flags and grants are last-writer-wins."""
+def v_operations(spark, d) -> DataFrame:
+    """Events as operations on three tables of each user."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type") == "signup", "create-table").when(F.col("event_type") == "click", "set-rls").when(F.col("event_type") == "view", "set-force-rls").when(F.col("event_type") == "purchase", "grant").otherwise("revoke")
     null = lambda t: F.lit(None).cast(t)
@@ -392,8 +387,17 @@ def t1_replay(spark, d) -> DataFrame:
         kind.alias("kind"), F.lit("public").alias("schema"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("name"), (k % 2 == 0).alias("enabled"), null("string").alias("policy"), null("string").alias("command"), null("boolean").alias("permissive"),
         F.array(F.concat(F.lit("r"), (k % 4).cast("string"))).alias("roles"), F.lit(False).alias("using_known"), null("string").alias("using_expression"), F.lit(False).alias("check_known"), null("string").alias("check_expression"), F.array(F.lit("SELECT")).alias("privileges"), null("string").alias("reason"),
     )
-    ops = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("stream_id"), F.lit("m.sql").alias("path"), F.lit(0).alias("position"), F.col("event_id").cast("int").alias("ordinal"), F.lit(1).alias("line"), op.alias("op"))
-    state = sqlrls.replay(ops)
+    return table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("stream_id"), F.lit("m.sql").alias("path"), F.lit(0).alias("position"), F.col("event_id").cast("int").alias("ordinal"), F.lit(1).alias("line"), op.alias("op"))
+
+
+@query(f"""WITH {OPS}, b AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN seq END) OVER (PARTITION BY user_id, tab) AS made FROM o), live AS (SELECT * FROM b WHERE seq >= coalesce(made, -1)),
+g AS (SELECT user_id, tab, k % 4 AS role, max_by(event_type = 'purchase', seq) AS granted FROM live WHERE event_type IN ('purchase', 'error') GROUP BY user_id, tab, k % 4),
+l AS (SELECT user_id, tab, bool_or(made IS NOT NULL) AS declared, max_by(k % 2 = 0, seq) FILTER (event_type = 'click') AS rls, max_by(k % 2 = 0, seq) FILTER (event_type = 'view') AS frc FROM live GROUP BY user_id, tab)
+SELECT 'u' || l.user_id AS stream_id, l.tab AS name, declared, coalesce(rls, CASE WHEN declared THEN FALSE END) AS rls_enabled, coalesce(frc, CASE WHEN declared THEN FALSE END) AS force_rls,
+  coalesce((SELECT string_agg('r' || role, ',' ORDER BY role) FROM g WHERE g.user_id = l.user_id AND g.tab = l.tab AND granted), '') AS granted FROM l""")
+def t1_replay(spark, d) -> DataFrame:
+    """Ordered replay of table operations: creation starts anew, flags and grants are last-writer-wins."""
+    state = sqlrls.replay(v_operations(spark, d))
     return state.select("stream_id", "name", "declared", "rls_enabled", "force_rls", F.array_join(F.array_sort(F.transform("grants", lambda g: g["role"])), ",").alias("granted"))
 
 

@@ -178,26 +178,8 @@ def test_no_value_column_in_findings(spark):
     assert [r["path"] for r in rows.collect()] == ["a"] and "Zx81" not in str(secrets.secret_findings(rows).collect())
 
 
-def test_streaming_replay_equals_batch(spark, tmp_path):
-    kinds = ["create-table", "set-rls", "grant", "create-policy", "revoke", "drop-policy", "set-force-rls", "drop-table"]
-    rows = [(f"s{i % 3}", "public", f"t{i % 2}", i, kinds[(i * 5) % 8], i % 4 < 2, f"p{i % 3}", ["SELECT"], [f"r{i % 2}"]) for i in range(60)]
-    ddl = "stream_id string, schema string, name string, seq bigint, kind string, enabled boolean, policy string, privileges array<string>, roles array<string>"
-    for k in range(3):
-        spark.createDataFrame(rows[k * 20 : k * 20 + 20], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = replay.replay_stream(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = {(r["stream_id"], r["name"]): tuple(r)[3:] for r in replay.last_state(spark.table("states")).collect()}
-    want = {}
-    for s, _, n, seq, kind, enabled, policy, privileges, roles in rows:
-        now = want.get((s, n), (-1, False, None, None, [], []))
-        want[s, n] = replay.step(now, {"kind": kind, "enabled": enabled, "policy": policy, "privileges": privileges, "roles": roles, "seq": seq})
-    assert got == {k: tuple(v) for k, v in want.items()}
-
-
-def test_replay_equals_a_plain_fold(spark):
-    """Random scripts of all nine kinds of operations, two tables a stream."""
+def scripts():
+    """(rows of operations, final tables by a plain fold) of random scripts of all nine kinds of operations, two tables a stream."""
     import random
 
     from auditlake.functions import sqltext
@@ -217,8 +199,74 @@ def test_replay_equals_a_plain_fold(spark):
             ops.append((op, {"path": f"m{n // 10}.sql", "line": n}))
             rows.append((f"s{k}", f"m{n // 10}.sql", n // 10, n % 10, n, tuple(op[c] for c in sqlrls.OPERATION_FIELDS)))
         want |= {(f"s{k}", t["schema"], t["name"]): t for t in replayed(ops)}
-    df = spark.createDataFrame(rows, f"stream_id string, path string, position int, ordinal int, line int, op {S.OPERATION}")
-    got = {(r["stream_id"], r["schema"], r["name"]): r.asDict(recursive=True) for r in sqlrls.replay(df).collect()}
+    return rows, want
+
+
+OPERATIONS = f"stream_id string, path string, position int, ordinal int, line int, op {S.OPERATION}"
+
+
+def test_replay_equals_a_plain_fold(spark):
+    rows, want = scripts()
+    got = {(r["stream_id"], r["schema"], r["name"]): r.asDict(recursive=True) for r in sqlrls.replay(spark.createDataFrame(rows, OPERATIONS)).collect()}
     assert got.keys() == want.keys() and len(got) > 80
     for key, state in want.items():
         assert {k: v for k, v in got[key].items() if k != "stream_id"} == state, key
+
+
+def test_registers_take_operations_in_any_order():
+    import random
+
+    rows, want = scripts()
+    fields = [c for c in sqlrls.OPERATION_FIELDS]
+    for seed in range(3):
+        tables = {}
+        for stream, path, position, ordinal, line, op in random.Random(seed).sample(rows, len(rows)) + rows[:50]:
+            op = dict(zip(fields, op)) | {"seq": (position << 32) + ordinal, "path": path, "line": line}
+            if op["kind"] in ("ignored", "unsupported-relevant"):
+                continue
+            flags, policies, grants = tables.setdefault((stream, op["schema"], op["name"]), ({}, {}, {}))
+            replay.apply_to_table(flags, op)
+            if op["kind"].endswith("policy"):
+                replay.apply_to_policy(policies.setdefault(op["policy"], {}), op)
+            elif op["kind"] in ("grant", "revoke"):
+                for held in ((p, r) for p in op["privileges"] for r in op["roles"]):
+                    grants[held] = replay.newer(grants.get(held), op["seq"], op["kind"], [path, line])
+        for key, (flags, policies, grants) in tables.items():
+            for p in policies.values():
+                replay.void(p, flags.get("cleared", -1))
+            grants = {k: g for k, g in grants.items() if g[0] > flags.get("cleared", -1)}
+            assert {k: v for k, v in replay.row(key, flags, policies, grants).items() if k != "stream_id"} == want[key], key
+        assert tables.keys() == want.keys()
+
+
+def test_stream_and_batch_agree_in_shuffled_order(spark, tmp_path):
+    """The whole input of t1 and random scripts, in four triggers and in no order: the last state of each table is the batch's."""
+    from auditlake import catalogue
+
+    rows, _ = scripts()
+    both = catalogue.v_operations(spark, "/root/testdata/sf0.001").unionByName(spark.createDataFrame(rows, OPERATIONS))
+    flat = replay.sequenced(both).withColumn("part", (F.rand(3) * 4).cast("int")).orderBy(F.rand(7))
+    flat.repartition("part").write.partitionBy("part").parquet(str(tmp_path / "all"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", replay.PROVIDER)
+    try:
+        schema, names = flat.drop("part").schema, []
+        for k in range(4):
+            spark.read.parquet(str(tmp_path / "all")).where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+        def keep(frame, number):
+            frame.withColumn("trigger", F.lit(number)).write.mode("append").parquet(str(tmp_path / "out"))
+            names.append(number)
+
+        q = replay.replay_stream(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if old is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert len(names) >= 4
+    batch = {(r["stream_id"], r["schema"], r["name"]): r.asDict(recursive=True) for r in sqlrls.replay(both).collect()}
+    states = {}
+    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r["trigger"]):
+        states[r["stream_id"], r["schema"], r["name"]] = {k: v for k, v in r.asDict(recursive=True).items() if k != "trigger"}
+    assert states == batch
