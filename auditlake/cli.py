@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("path", nargs="?", default=".")
         p.add_argument("--format", choices=("text", "json", "sarif"))
         p.add_argument("--json", action="store_true")
+        p.add_argument("--output", help="a file on a folder that all executors share: JSON and SARIF findings are written by them")
         p.add_argument("--fail-on", choices=("info", "low", "medium", "high", "critical", "none"), default="high")
         p.add_argument("--exclude", action="append", default=[])
         p.add_argument("--changed", action="store_true")
@@ -62,11 +63,13 @@ def main(argv: list[str] | None = None, connect=connect) -> int:
     args = parser().parse_args(argv)
     if args.json and args.format not in (None, "json"):
         parser().error("--json and another --format exclude each other")
+    if args.output and (args.format or "text") == "text" and not args.json:
+        parser().error("--output needs --format json or sarif")
     if args.base is not None and (not args.changed or not args.base.strip()):
         parser().error("--base needs --changed and must not be blank")
     from pyspark.sql import SparkSession
 
-    from auditlake.plans import engine, reports
+    from auditlake.plans import engine, export, reports
     from auditlake.sources.files import InventoryError, baseline
     from auditlake.sources.git import GitError
 
@@ -80,6 +83,9 @@ def main(argv: list[str] | None = None, connect=connect) -> int:
         result = result.with_baseline(old) if old is not None else result
         kind = "json" if args.json else args.format or "text"
         color = sys.stdout.isatty() and "NO_COLOR" not in os.environ
+        if args.output and kind != "text":
+            {"json": export.write_json, "sarif": export.write_sarif}[kind](result, args.output)
+            return result.exit_code(args.fail_on)
         sys.stdout.write({"json": reports.to_json, "sarif": reports.to_sarif}[kind](result) if kind != "text" else reports.to_text(result, color))
         return result.exit_code(args.fail_on)
     except (InventoryError, GitError, ValueError) as e:

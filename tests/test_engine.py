@@ -180,3 +180,52 @@ def test_many_ignore_rules_hold(spark, tmp_path):
     s = engine.take_snapshot(spark, engine.Request(str(tmp_path)))
     proofs = {r["target_path"]: r["missing_target_proof"] for r in s["edges"].collect()}
     assert proofs == {"out9999/gone.ts": None, "src/lost.ts": "relative-explicit"}
+
+
+def test_reports_written_by_executors(spark, audited, repository, tmp_path):
+    """The same documents as those made on the driver; a failed attempt leaves the earlier one."""
+    from pyspark.sql import functions as F
+
+    from auditlake.plans import export
+
+    at = str(tmp_path / "report")
+    audited.comparison = None
+    export.write_sarif(audited, at)
+    assert json.loads(open(at).read()) == json.loads(reports.to_sarif(audited))
+    export.write_json(audited, at)
+    assert json.loads(open(at).read()) == json.loads(reports.to_json(audited))
+    assert [p.name for p in tmp_path.iterdir()] == ["report"]
+    broken = audited.findings.select(F.when(F.col("severity") == "high", F.raise_error(F.lit("lost"))).otherwise("1").alias("item"))
+    with pytest.raises(Exception):  # noqa: B017
+        export.write_list(broken, at, "[", "]")
+    assert json.loads(open(at).read()) == json.loads(reports.to_json(audited)) and [p.name for p in tmp_path.iterdir()] == ["report"]
+    paths = spark.createDataFrame([("a b/ç*~+%/x(1).ts",)], "p string").select(export.uri(F.col("p"))).first()[0]
+    from urllib.parse import quote
+
+    assert paths == "/".join(quote(x, safe="") for x in "a b/ç*~+%/x(1).ts".split("/"))
+    export.write_list(spark.createDataFrame([], "item string"), at, "[", "]")
+    assert json.loads(open(at).read()) == []
+
+
+def test_many_findings_are_written_in_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from auditlake.functions import core
+    from auditlake.plans import export
+
+    rows = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("i"))
+    many = core.findings(rows, rule=F.concat(F.lit("r/"), (F.col("i") % 9).cast("string")), doctor=F.lit("d"), severity=F.get(F.array(*map(F.lit, core.SEVERITIES)), (F.col("i") % 5).cast("int")), confidence=F.lit("high"), category="c", title=F.lit("t"),
+                         message=F.lit('say "it"\n'), evidence=F.array(core.evidence("observation", F.lit("d"))), identity=F.col("i").cast("string"), path=F.concat(F.lit("p"), F.col("i").cast("string")))
+    at = str(tmp_path / "many.json")
+    export.write_list(export.sarif_results(many), at, "[", "]")
+    found = json.loads(open(at).read())
+    ranks = [{"error": 2, "warning": 1, "note": 0}[f["level"]] for f in found]
+    assert len(found) == 100_000 and ranks == sorted(ranks, reverse=True) and len({f["partialFingerprints"]["auditlake/v1"] for f in found}) == 100_000
+
+
+def test_runs_count_their_findings_and_text_shows_limitations(audited):
+    counts = {r["doctor_id"]: r["finding_count"] for r in audited.runs.collect()}
+    by = {r["doctor_id"]: r["count"] for r in audited.findings.groupBy("doctor_id").count().collect()}
+    assert sum(counts.values()) == sum(by.values()) and counts["security/secrets"] == by["security/secrets"] and counts["checks"] == 0
+    text = reports.to_text(audited)
+    assert f"security/secrets: completed, {counts['security/secrets']} findings" in text and "Limitations" in text
