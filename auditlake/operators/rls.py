@@ -11,6 +11,7 @@ from auditlake.functions import guidance as G
 from auditlake.functions import rls as R
 from auditlake.functions.core import SEVERITIES, evidence, findings, json_list, severity_rank
 from auditlake.operators.closures import component, reachable
+from auditlake.operators.lineage import cut as cut_lineage
 
 DOCTOR = "database/rls"
 MODES = ("direct", "inherited", "set-role")
@@ -216,3 +217,12 @@ def relevant_roles(catalog: dict[str, DataFrame]) -> DataFrame:
             seeds = seeds.unionByName(catalog[t].select(F.col(c).alias("node")))
     seeds = seeds.unionByName(catalog["policies"].select(F.explode("roles").alias("node"))).where("node is not null").distinct()
     return component(seeds, edges).select(F.col("node").alias("name"))
+
+
+def narrowed(catalog: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The catalog with the roles and memberships that can matter: on a shared server most roles belong to other databases."""
+    kept = cut_lineage(relevant_roles(catalog))
+    members = catalog["memberships"]
+    for side in ("role", "member"):
+        members = members.join(kept.withColumnRenamed("name", side), side, "left_semi")
+    return catalog | {"roles": catalog["roles"].join(kept, "name", "left_semi"), "memberships": members.select(*catalog["memberships"].columns)}

@@ -180,7 +180,7 @@ def catalog_module(load: Callable[[Snapshot], Mapping[str, DataFrame]]) -> Funct
     """The live catalog, loaded only where network access is allowed; its errors are reported without credentials."""
 
     def run(s: Snapshot) -> Outcome:
-        found = dict(load(s))
+        found = rls.narrowed(dict(load(s)))
         return Outcome(rls.catalog_findings(found, s.request.schemas), covered(s.spark, rls.DOCTOR, ",".join(s.request.schemas), found["tables"].count(), None))
 
     return Function(rls.DOCTOR, run, frozenset({"repository:read", "network:access"}))

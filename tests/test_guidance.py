@@ -11,17 +11,21 @@ from auditlake.operators import rls, sqlrls
 
 
 @pytest.fixture(scope="module")
-def found(spark):
+def catalog(spark):
     table = lambda name, on, force: ("it's", name, "owner", on, force, False, 1)
     policy = lambda t, name, command, using, check: ("it's", t, name, command, True, ["public"], using, check)
     frame = lambda rows, name: spark.createDataFrame(rows, S.CATALOG[name])
-    catalog = {
+    return {
         "tables": frame([table("open", False, False), table("shut", False, False), table("bare", True, False), table('quo"ted', True, True)], "tables"),
         "policies": frame([policy('quo"ted', f'p {c}"', c, "true", "true") for c in ("SELECT", "INSERT", "UPDATE", "DELETE", "ALL")] + [policy('quo"ted', "none", "INSERT", None, None)], "policies"),
         "relation_privileges": frame([("it's", "open", "o", "anon", "SELECT", False), ("it's", "open", "o", "anon", "TRUNCATE", False)], "relation_privileges"),
         "default_privileges": frame([("it's", "owner", "anon", "table", "SELECT", False)], "default_privileges"),
         "roles": frame([("anon", False, True, True)], "roles"), "memberships": frame([], "memberships"),
     }
+
+
+@pytest.fixture(scope="module")
+def found(catalog):
     return rls.catalog_findings(catalog, ("it's", "b")).collect()
 
 
@@ -84,3 +88,14 @@ def test_usage_is_not_multiplied(spark):
     # anon reaches r0 .. r40 by SET ROLE and inheritance; all of them may use each schema.
     assert {*out} == {f"s{i}" for i in range(n) if i % 60 <= 40}
     assert not any(x in own._jdf.queryExecution().executedPlan().toString() for x in ("NestedLoop", "Cartesian"))
+
+
+def test_narrowed_roles_change_no_finding(spark, found, catalog):
+    """Roles that nothing connects to the audited tables go, with their memberships."""
+    more = spark.createDataFrame([(f"x{i}", False, True, True) if i == 0 else (f"x{i}", False, False, True) for i in range(5)], S.CATALOG["roles"])
+    links = spark.createDataFrame([("x2", "x1", True, True), ("x4", "x3", True, True), ("x1", "x0", True, True)], S.CATALOG["memberships"])
+    wide = catalog | {"roles": catalog["roles"].unionByName(more), "memberships": catalog["memberships"].unionByName(links)}
+    kept = rls.narrowed(wide)
+    # x0 may bypass policies, so what it reaches stays; x3 and x4 go.
+    assert {r["name"] for r in kept["roles"].collect()} == {"anon", "x0", "x1", "x2"} and kept["memberships"].count() == 2
+    assert sorted(r["fingerprint"] for r in rls.catalog_findings(kept, ("it's", "b")).collect()) == sorted(r["fingerprint"] for r in found)
