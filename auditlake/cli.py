@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("path", nargs="?", default=".")
         p.add_argument("--format", choices=("text", "json", "sarif"))
         p.add_argument("--json", action="store_true")
-        p.add_argument("--output", help="a file on a folder that all executors share: JSON and SARIF findings are written by them")
+        p.add_argument("--output", help="a file in a folder that all executors share: JSON and SARIF findings are written by them")
         p.add_argument("--fail-on", choices=("info", "low", "medium", "high", "critical", "none"), default="high")
         p.add_argument("--exclude", action="append", default=[])
         p.add_argument("--changed", action="store_true")
