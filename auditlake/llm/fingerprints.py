@@ -2,8 +2,9 @@
 
 A sketch keeps every distinct shingle hash below a fixed fraction (1/scale) of the hash range, and the number of distinct
 shingles beside them. Sketches of very unequal documents share one hash threshold, the union of two is the sketch of the joined
-documents, and the share of the smaller one found in the larger estimates containment. Where the smaller sketch holds fewer than
-LEAST hashes the estimate is undefined (null); who has both texts compares all their shingles.
+documents, and the share of the smaller one found in the larger estimates containment. Estimates come from sketches alone, whatever
+the length of the texts: half of all hashes are kept, so texts of a few sentences are told apart too. Where the smaller sketch has no hash
+(a text of n shingles has none in one of 2^n cases), equal sketches are alike and others are not.
 
 Words are maximal runs of letters, marks and digits, in lower case. A shingle is `width` words in a row; a text of
 fewer words has one shingle of all of them; a text without words (also a null or empty one) has the empty sketch.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import LONG_MIN, bucket_of, id_cuts, let, longs, order_key
 
-WIDTH, SCALE, LEAST = 5, 8, 32
+WIDTH, SCALE = 5, 2
 
 
 def threshold(scale: int) -> int:
@@ -56,29 +57,21 @@ def _share(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
 
-def containment(a: Column, b: Column, least: int = LEAST) -> Column:
-    """Estimated share of the smaller shingle set that lies in the larger; two empty sets are alike (1), one is not (0); null where a sketch is too small to tell."""
-    some = F.least(F.size(a["hashes"]), F.size(b["hashes"]))
-    return (
-        F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).when((a["n"] == 0) | (b["n"] == 0), F.lit(0.0))
-        .when(some >= least, _share(a["hashes"], b["hashes"]))
-    )
-
-
-def resemblance(a: Column, b: Column, least: int = LEAST) -> Column:
-    """Estimated Jaccard likeness of the shingle sets; null where the sketches together are too small to tell."""
-    both, all_ = F.size(F.array_intersect(a["hashes"], b["hashes"])), F.size(F.array_union(a["hashes"], b["hashes"]))
-    return F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).when((a["n"] == 0) | (b["n"] == 0), F.lit(0.0)).when(all_ >= least, both / all_)
+def _estimate(a: Column, b: Column, some: Column, share: Column) -> Column:
+    """share where there are hashes to tell by; two empty shingle sets are alike (1), one is not (0); without hashes, equal sketches are."""
+    same = (a["n"] == b["n"]) & (a["hashes"] == b["hashes"])
+    return F.when((a["n"] == 0) | (b["n"] == 0), (a["n"] == b["n"]).cast("double")).when(some > 0, share).otherwise(same.cast("double"))
 
 
-def exact(a: Column, b: Column, jaccard: bool, width: int = WIDTH) -> Column:
-    """Containment or Jaccard likeness of two texts, each of which has words, by all their shingles."""
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of the smaller shingle set that lies in the larger."""
+    return _estimate(a, b, F.least(F.size(a["hashes"]), F.size(b["hashes"])), _share(a["hashes"], b["hashes"]))
 
-    def of(x: Column, y: Column) -> Column:
-        return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) if jaccard else _share(x, y)
 
-    shingle_set = lambda t: F.array_distinct(shingle_hashes(t, width))
-    return let(shingle_set(a), lambda x: let(shingle_set(b), lambda y: of(x, y)))
+def resemblance(a: Column, b: Column) -> Column:
+    """Estimated Jaccard likeness of the shingle sets."""
+    all_ = F.size(F.array_union(a["hashes"], b["hashes"]))
+    return _estimate(a, b, all_, F.size(F.array_intersect(a["hashes"], b["hashes"])) / all_)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
@@ -125,16 +118,10 @@ def edited_pairs(docs: DataFrame, width: int = WIDTH, scale: int = SCALE, rows_e
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = id_cuts(base.select("doc_id"), order_key(F.col("doc_id")), rows_each, 65_536)
-    base = base.withColumn("sketch", sketch(F.col("text"), width, scale))
-    paired = with_next(base, ["text", "sketch"], cuts)
+    # Texts alone are shuffled: sketches are made where both neighbours are.
+    paired = with_next(base, ["text"], cuts)
     n = F.length("text").cast("bigint")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", (n - quarter).cast("int")), F.left("next.text", quarter))
-    out = paired.select("doc_id", "text", "sketch", F.col("next.text").alias("next_text"), F.col("next.sketch").alias("next_sketch"), n.alias("n_chars"), edited.alias("edited"))
-    return out.withColumn("edited_sketch", sketch(F.col("edited"), width, scale))
-
-
-def likeness(text: str, other: str, jaccard: bool = False) -> Column:
-    """Of two texts and their sketches (columns text and sketch, `other` and its sketch): by the sketches, or exactly where those can't tell."""
-    a, b = F.col("sketch"), F.col(f"{other}_sketch")
-    return F.coalesce((resemblance if jaccard else containment)(a, b), exact(F.col(text), F.col("edited" if other == "edited" else f"{other}_text"), jaccard))
+    out = paired.select("doc_id", "text", F.col("next.text").alias("next_text"), n.alias("n_chars"), edited.alias("edited"))
+    return out.withColumns({"sketch": sketch(F.col("text"), width, scale), "edited_sketch": sketch(F.col("edited"), width, scale), "next_sketch": sketch(F.col("next_text"), width, scale)})

@@ -23,6 +23,8 @@ ORDER, BUCKETS, SHARE, LEAST, SEED = 3, 10_000, 5, 20, 42
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Exploded words need about ten times the room of the compressed text: partitions of positions are that much smaller than those of a scan.
 FINER = 8
+#: More partitions than this cost more in blocks than they save in spills.
+MOST_PARTS = 50_000
 
 
 def words(text: Column) -> Column:
@@ -38,7 +40,7 @@ def positions(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> Da
     """
     spark = docs.sparkSession
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), FINER * own.rdd.getNumPartitions())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, FINER * own.rdd.getNumPartitions()))
     table = own.repartition(parts, "row").sortWithinPartitions("row").select("row", "doc_id", F.posexplode_outer(words(F.col("text"))).alias("pos", "w1"))
     after = W.partitionBy("row").orderBy("pos")
     table = table.select("*", *[F.lead("w1", i).over(after).alias(f"w{i + 1}") for i in range(1, order)])

@@ -16,8 +16,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         fingerprints.as_text(F.col("sketch")).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        *[fingerprints.likeness("text", other).alias(f"near_{other}") for other in ("edited", "next")],
-        *[fingerprints.likeness("text", other, jaccard=True).alias(f"resemblance_{other}") for other in ("edited", "next")],
+        *[fingerprints.containment(F.col("sketch"), F.col(f"{other}_sketch")).alias(f"near_{other}") for other in ("edited", "next")],
+        *[fingerprints.resemblance(F.col("sketch"), F.col(f"{other}_sketch")).alias(f"resemblance_{other}") for other in ("edited", "next")],
     )
 
 
