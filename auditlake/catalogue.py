@@ -187,11 +187,9 @@ def r7_missing_targets(spark, d) -> DataFrame:
 FROM (SELECT DISTINCT * FROM {sql_findings('now')} UNION SELECT DISTINCT * FROM {sql_findings('then')})""")
 def o1_finding_order(spark, d) -> DataFrame:
     """Union of two modules' findings, exact duplicates removed, in finding order (paths normalise to one)."""
-    from pyspark.sql import Window as W
-
     rows = findings.union(v_findings(spark, d, "now"), v_findings(spark, d, "then"))
-    w = W.orderBy(*core.finding_order(), "path", "line")
-    return rows.select("severity", "doctor_id", "rule_id", "path", F.col("line").cast("bigint").alias("line"), "fingerprint", F.row_number().over(w).cast("bigint").alias("position"))
+    placed = findings.positions(rows, [*core.finding_order(), F.col("path"), F.col("line")])
+    return placed.select("severity", "doctor_id", "rule_id", "path", F.col("line").cast("bigint").alias("line"), "fingerprint", "position")
 
 
 @query(f"""SELECT count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high,

@@ -37,6 +37,15 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(*finding_order())
 
 
+def positions(rows: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """rows with their place, from 1, in an order: places in ranges, after the sizes of the ranges before; rows that tie take any."""
+    parted = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))  # a row for each range
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parted.withColumn("_at", inside).join(start, "_part").select(*rows.columns, (F.col("_before") + F.col("_at")).alias(name))
+
+
 def summary(found: DataFrame) -> DataFrame:
     """One row: a count for each severity, total, and highest (null for no finding)."""
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]

@@ -38,12 +38,13 @@ def changed_scope(changes: DataFrame, projects: DataFrame, impact: DataFrame | N
     paths = relevant_paths(changes)
     context = paths.where(P.is_root_context(F.col("path")))
     ids = projects.select(F.col("id").alias("project_id"))
-    root = context.join(F.broadcast(ids)).select("project_id", F.lit("root-context").alias("reason"), F.col("path").alias("source"))
+    root = context.crossJoin(ids).select("project_id", F.lit("root-context").alias("reason"), F.col("path").alias("source"))
     direct = owned(paths.where(~P.is_root_context(F.col("path"))), projects).where("project_id is not null").select("project_id", F.lit("direct-change").alias("reason"), F.col("path").alias("source"))
+    # A changed root file is a reason of every project, so these rows are the result and not a by-product; Spark chooses the side by its size.
     seeds = direct.unionByName(root).distinct()
     manifests = paths.where(F.endswith("path", F.lit("/package.json")))
     untouched = projects.where(F.array_contains("ecosystems", "node")).select(F.col("id").alias("project_id")).join(seeds, "project_id", "left_anti")
-    stale = untouched.join(F.broadcast(manifests)).select("project_id", F.lit("workspace-dependent").alias("reason"), F.col("path").alias("source"))
+    stale = untouched.crossJoin(manifests).select("project_id", F.lit("workspace-dependent").alias("reason"), F.col("path").alias("source"))
     first = seeds.unionByName(stale)
     edges, notes = reverse_edges(projects)
     reached = shortest_paths(first.select(F.col("project_id").alias("node")).distinct(), edges.select(F.col("dependency").alias("source"), F.col("consumer").alias("target")), None).where("level > 0")

@@ -270,3 +270,10 @@ def test_stream_and_batch_agree_in_shuffled_order(spark, tmp_path):
     for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r["trigger"]):
         states[r["stream_id"], r["schema"], r["name"]] = {k: v for k, v in r.asDict(recursive=True).items() if k != "trigger"}
     assert states == batch
+
+
+def test_positions_are_those_of_one_sort(spark):
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("a"), (F.col("id") % 3).alias("b"))
+    got = [(r["position"], r["b"], r["a"]) for r in findings.positions(rows, [F.col("b").desc(), F.col("a")]).collect()]
+    assert [r[1:] for r in sorted(got)] == sorted(((r[1], r[2]) for r in got), key=lambda r: (-r[0], r[1])) and sorted(r[0] for r in got) == [*range(1, 1001)]
+    assert findings.positions(rows.where("false"), [F.col("a")]).count() == 0
