@@ -64,3 +64,17 @@ def test_a_long_chain_is_written_in_proportion(spark):
         assert all(r["path"] == list(range(r["node"] + 1)) for r in paths) and len(paths) == n + 1
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_source_impact_goes_as_deep_as_its_sql(spark, tmp_path):
+    """Beyond 3 * 2^13 documents files are reached by paths of more than 14 nodes, which the SQL leaves out; it has no limit on visits."""
+    import duckdb
+
+    from auditlake import catalogue
+
+    spark.range(51_000).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["g1_source_impact"](spark, str(tmp_path)).select("node", "path", "level").collect()))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.sql(f"select node, path, level from ({catalogue.ORACLE['g1_source_impact']})").fetchall())
+    assert max(r[2] for r in want) == 13 and got == want
