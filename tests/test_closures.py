@@ -66,6 +66,24 @@ def test_a_long_chain_is_written_in_proportion(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_levels_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    """The driver builds what is broadcast: a level, and what was seen, stay away from it once they have more rows than the bound."""
+    monkeypatch.setattr(closures, "BROADCAST", 8, raising=False)
+    plans, append = [], closures.Levels.append
+
+    def spied(self, rows, level, *order):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return append(self, rows, level, *order)
+
+    monkeypatch.setattr(closures.Levels, "append", spied)
+    edges = spark.range(80).select(F.floor(F.col("id") / 2).alias("source"), F.col("id").alias("target"))
+    got = closures.component(spark.createDataFrame([(1,)], "node bigint"), edges)
+    assert sorted(r["node"] for r in got.collect()) == list(range(80))
+    joins = [p.count("BroadcastHashJoin") for p in plans[1:]]
+    # Levels of 1, 3, 4, 8, 16 and 32 rows; 1, 4, 8, 16, 32 and 64 were seen.
+    assert joins[:6] == [2, 2, 2, 1, 0, 0] and all("SortMergeJoin" in p for p in plans[4:7])
+
+
 def test_source_impact_goes_as_deep_as_its_sql(spark, tmp_path):
     """Beyond 3 * 2^13 documents files are reached by paths of more than 14 nodes, which the SQL leaves out; it has no limit on visits."""
     import duckdb
