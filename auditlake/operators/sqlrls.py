@@ -126,7 +126,8 @@ def static_composition(tables: DataFrame) -> DataFrame:
 
 def static_findings(tables: DataFrame) -> DataFrame:
     """All findings of replayed table states. Dropped tables have none; unknown flags and policies say nothing."""
-    live = tables.where("not dropped")
+    # Eleven rules read the states, which are joined and gathered once.
+    live = cut(tables.where("not dropped"))
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     name = F.concat("schema", F.lit("."), "name")
     grants = F.filter("grants", lambda g: R.is_application_role(g["role"]))
